@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from .mixing import op9_mix_sources
 from .quality_rules import op3_quality_rules
+from .url_filter import op1_url_filter
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules,)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op3_quality_rules, op9_mix_sources)}
 
 ORACLE: dict[str, str] = {}
