@@ -6,9 +6,10 @@ from .bpe import op6_bpe
 from .mixing import op9_mix_sources
 from .quality_crf import op5_quality_classifier
 from .quality_rules import op3_quality_rules
+from .repeats import op10_remove_repeats
 from .simhash import op2_simhash
 from .url_filter import op1_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash, op3_quality_rules, op5_quality_classifier, op6_bpe, op9_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash, op3_quality_rules, op5_quality_classifier, op6_bpe, op9_mix_sources, op10_remove_repeats)}
 
 ORACLE: dict[str, str] = {}
