@@ -8,8 +8,9 @@ from .quality_crf import op5_quality_classifier
 from .quality_rules import op3_quality_rules
 from .repeats import op10_remove_repeats
 from .simhash import op2_simhash
+from .spotsigs import op8_spotsigs
 from .url_filter import op1_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash, op3_quality_rules, op5_quality_classifier, op6_bpe, op9_mix_sources, op10_remove_repeats)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash, op3_quality_rules, op5_quality_classifier, op6_bpe, op8_spotsigs, op9_mix_sources, op10_remove_repeats)}
 
 ORACLE: dict[str, str] = {}
