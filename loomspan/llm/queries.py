@@ -10,7 +10,8 @@ from .repeats import op10_remove_repeats
 from .simhash import op2_simhash
 from .spotsigs import op8_spotsigs
 from .url_filter import op1_url_filter
+from .warc import OP7_SQL, op7_warc
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash, op3_quality_rules, op5_quality_classifier, op6_bpe, op8_spotsigs, op9_mix_sources, op10_remove_repeats)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash, op3_quality_rules, op5_quality_classifier, op6_bpe, op7_warc, op8_spotsigs, op9_mix_sources, op10_remove_repeats)}
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op7_warc": OP7_SQL}
