@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op6_bpe
+from .licenses import op4_license_scan
 from .mixing import op9_mix_sources
 from .quality_crf import op5_quality_classifier
 from .quality_rules import op3_quality_rules
@@ -12,6 +13,6 @@ from .spotsigs import op8_spotsigs
 from .url_filter import op1_url_filter
 from .warc import OP7_SQL, op7_warc
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash, op3_quality_rules, op5_quality_classifier, op6_bpe, op7_warc, op8_spotsigs, op9_mix_sources, op10_remove_repeats)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash, op3_quality_rules, op4_license_scan, op5_quality_classifier, op6_bpe, op7_warc, op8_spotsigs, op9_mix_sources, op10_remove_repeats)}
 
 ORACLE: dict[str, str] = {"op7_warc": OP7_SQL}

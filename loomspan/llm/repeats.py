@@ -174,10 +174,10 @@ def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(lo, hi) for lo, hi in out]
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _keyed(docs: DataFrame, carry: Iterable[str] = ()) -> DataFrame:
     """Each row by doc_id and a hash of its text, so that rows that repeat a doc_id are texts of their own."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc"), F.hash(text).alias("tk"), text.alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc"), F.hash(text).alias("tk"), text.alias("text"), *[F.col(c).alias(f"carried_{c}") for c in carry])
 
 
 def _places(keyed: DataFrame, length: int, gram: int, located: bool) -> DataFrame:
@@ -202,9 +202,10 @@ def _zipped(keyed: DataFrame) -> DataFrame:
         pack = zstandard.ZstdCompressor(level=1).compress
         for b in batches:
             z = [pack(t.as_buffer()) for t in b.column(2).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(z, pa.binary())], ["doc", "tk", "z"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(z, pa.binary()), *b.columns[3:]], ["doc", "tk", "z", *b.schema.names[3:]])
 
-    return keyed.mapInArrow(run, "doc long, tk int, z binary")
+    kinds = dict(keyed.dtypes)
+    return keyed.mapInArrow(run, ", ".join(["doc long, tk int, z binary", *(f"`{c}` {kinds[c]}" for c in keyed.columns[3:])]))
 
 
 def _with_contexts(keyed: DataFrame, wanted: DataFrame, length: int, gram: int) -> DataFrame:
@@ -306,16 +307,20 @@ def _cut(text: bytes, spans: list[tuple[int, int]], length: int) -> tuple[list[t
     return runs, b"".join(kept)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, largest: int = LARGEST, keep_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, largest: int = LARGEST, keep_text: bool = False, carry: Iterable[str] = ()) -> DataFrame:
     """docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, a row per row; with keep_text also
-    the text that is left (bytes of a character that was cut in two are dropped) and the spans removed.
+    the text that is left (bytes of a character that was cut in two are dropped) and the spans removed. The columns
+    named in carry come along.
 
     A byte goes if any string of length bytes over it starts anywhere else too, in this text or another; what repeats is
     judged on the input. A null text is empty. Rows that repeat a doc_id count as texts of their own, so repeated rows
     remove each other. Texts shorter than length stay whole. An empty table gives an empty result.
     """
     spans = repeat_spans(docs, length, gram, largest).withColumnsRenamed({"doc": "_d", "tk": "_t"})
-    both = _zipped(_keyed(docs)).join(spans, F.col("doc").eqNullSafe(F.col("_d")) & (F.col("tk") == F.col("_t")), "left").select("doc", "z", "spans")
+    carry = list(carry)
+    also = [f"carried_{c}" for c in carry]
+    both = _zipped(_keyed(docs, carry)).join(spans, F.col("doc").eqNullSafe(F.col("_d")) & (F.col("tk") == F.col("_t")), "left").select("doc", "z", "spans", *also)
+    kinds = dict(both.dtypes)
     extra = ", text string, spans array<struct<lo: long, hi: long>>" if keep_text else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,8 +341,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, larg
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             if keep_text:
                 cols, names = [*cols, pa.array(out[4], pa.string()), pa.array(out[5], kind)], [*names, "text", "spans"]
-            yield pa.RecordBatch.from_arrays(cols, names)
+            yield pa.RecordBatch.from_arrays([*cols, *batch.columns[3:]], [*names, *carry])
 
+    extra += "".join(f", `{c}` {kinds[f'carried_{c}']}" for c in carry)
     return both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + extra)
 
 
