@@ -17,9 +17,9 @@ from .common import staged, table
 #: Length of a repeat, and of the string whose hash chooses the places whose suffixes are sorted.
 LENGTH, GRAM = 200, 80
 #: A tree is built over at most so many distinct contexts; a larger group is counted window by window.
-LARGEST = 200_000
+LARGEST = 50_000
 #: Bytes that a worker hashes at once.
-PIECE = 1 << 20
+PIECE = 1 << 19
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -126,14 +126,14 @@ def intervals(shared: list[int], n: int, least: int) -> Iterator[tuple[int, int,
 
     shared[i] is what string i shares with string i - 1 (shared[0] is not looked at).
     """
-    stack = [(0, 0)]
+    stack: list[tuple[int, int]] = []
     for i in range(1, n + 1):
         value, first = shared[i] if i < n else -1, i - 1
         while stack and stack[-1][0] > value:
             length, first = stack.pop()
             if length >= least:
                 yield length, first, i - 1
-        if not stack or stack[-1][0] < value:
+        if value >= 0 and (not stack or stack[-1][0] < value):
             stack.append((value, first))
 
 
@@ -225,25 +225,50 @@ def _with_contexts(keyed: DataFrame, wanted: DataFrame, length: int, gram: int)
                     right.append(text[p : p + length])
                 yield pa.RecordBatch.from_arrays([kh, ch, pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["kh", "ch", "l", "r"])
 
-    # rows that repeat both doc_id and text give the same context twice
-    return both.mapInArrow(run, "kh long, ch long, l binary, r binary").groupBy("kh", "ch").agg(F.first("l").alias("l"), F.first("r").alias("r"))
+    return both.mapInArrow(run, "kh long, ch long, l binary, r binary")
 
 
 def _tree_spans(contexts: DataFrame, length: int, gram: int) -> DataFrame:
-    """contexts (kh, ch, l, r), distinct, to (kh, ch, lo, hi): what repeats within the group of kh, relative to the place."""
+    """contexts (kh, ch, l, r) to (kh, ch, lo, hi): what repeats within the group of kh, relative to the place.
 
-    def run(key: tuple, group: pa.Table) -> pa.Table:
+    Groups come one after another in a sorted stream, so that many small ones share a batch, and one at a time is held.
+    Rows that repeat doc_id and text give a context twice; it counts once here.
+    """
+
+    def spans(group: list[tuple[int, bytes, bytes]]) -> Iterator[tuple[int, int, int]]:
+        once = list({ch: (left, right) for ch, left, right in group}.items())
         found: dict[int, list[tuple[int, int]]] = {}
-        pairs = list(zip(group.column("l").to_pylist(), group.column("r").to_pylist()))
-        for a, b, members in repeat_groups(pairs, length, gram):
+        for a, b, members in repeat_groups([x for _, x in once], length, gram):
             for i in members:
                 found.setdefault(i, []).append((-a, b))
-        rows = [(i, lo, hi) for i, spans in found.items() for lo, hi in merged(spans)]
-        ch = group.column("ch").combine_chunks().take(pa.array([i for i, _, _ in rows], pa.int64()))
-        kh = pa.array([key[0].as_py()] * len(rows), pa.int64())
-        return pa.Table.from_arrays([kh, ch, pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], ["kh", "ch", "lo", "hi"])
+        for i, x in found.items():
+            for lo, hi in merged(x) if len(x) > 1 else x:
+                yield once[i][0], lo, hi
 
-    return contexts.groupBy("kh").applyInArrow(run, "kh long, ch long, lo long, hi long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, group, rows = None, [], []
+
+        def close() -> None:
+            if len(group) > 1:
+                rows.extend((key, *x) for x in spans(group))
+            group.clear()
+
+        def out() -> pa.RecordBatch:
+            cols = list(zip(*rows)) or [()] * 4
+            rows.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["kh", "ch", "lo", "hi"])
+
+        for b in batches:
+            for kh, *x in zip(*(c.to_pylist() for c in b.columns)):
+                if kh != key:
+                    close()
+                    key = kh
+                group.append(x)
+            yield out()
+        close()
+        yield out()
+
+    return contexts.repartition("kh").sortWithinPartitions("kh").mapInArrow(run, "kh long, ch long, lo long, hi long")
 
 
 def _window_spans(contexts: DataFrame, length: int, gram: int) -> DataFrame:
@@ -261,7 +286,7 @@ def _window_spans(contexts: DataFrame, length: int, gram: int) -> DataFrame:
                     wh.append(xxhash.xxh3_128_digest(whole[s : s + length]))
             yield pa.RecordBatch.from_arrays([pa.array(kh, pa.int64()), pa.array(ch, pa.int64()), pa.array(lo, pa.int64()), pa.array(wh, pa.binary())], ["kh", "ch", "lo", "wh"])
 
-    w = staged(contexts.select("kh", "ch", "l", "r").mapInArrow(run, "kh long, ch long, lo long, wh binary"), "windows")
+    w = staged(contexts.dropDuplicates(["kh", "ch"]).select("kh", "ch", "l", "r").mapInArrow(run, "kh long, ch long, lo long, wh binary"), "windows")
     twice = w.groupBy("kh", "lo", "wh").count().filter("count > 1").drop("count")
     return w.join(twice, ["kh", "lo", "wh"], "left_semi").select("kh", "ch", "lo", (F.col("lo") + length).alias("hi"))
 
@@ -282,13 +307,15 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, larges
     groups = staged(groups.select("kh", "kinds"), "grams")
     at = _places(keyed, length, gram, True).join(groups, "kh")
     at = staged(at, "places")
-    kinds = staged(at.groupBy("kh", "ch").agg(F.count("*").alias("n"), F.min(F.struct("doc", "tk", "at")).alias("rep"), F.first("kinds").alias("kinds")), "kinds")
-    wanted = kinds.filter("kinds > 1").select("kh", "ch", "kinds", "rep.*")
-    contexts = staged(_with_contexts(keyed, wanted, length, gram), "contexts")
-    large = staged(kinds.filter(F.col("kinds") > largest).select("kh").distinct(), "large")
+    # any place of a kind will do for its context; the three firsts are of one row
+    kinds = at.groupBy("kh", "ch").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("doc", "tk", "at", "kinds")])
+    kinds = staged(kinds, "kinds")
+    contexts = _with_contexts(keyed, kinds.filter("kinds > 1"), length, gram)
+    large = staged(groups.filter(F.col("kinds") > largest).select("kh"), "large")
     if large.isEmpty():
         part = _tree_spans(contexts, length, gram)
     else:
+        contexts = staged(contexts, "contexts")
         part = _tree_spans(contexts.join(large, "kh", "left_anti"), length, gram).unionByName(_window_spans(contexts.join(large, "kh", "left_semi"), length, gram))
     part = part.unionByName(kinds.filter("n > 1").select("kh", "ch", F.lit(gram - length).cast("long").alias("lo"), F.lit(length).cast("long").alias("hi")))
     found = at.select("kh", "ch", "doc", "tk", "at").join(part, ["kh", "ch"])
@@ -326,7 +353,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, larg
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         kind = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
-        for batch in batches:
+        for batch in (b.slice(i, 1024) for b in batches for i in range(0, len(b), 1024)):
             out: list[list] = [[] for _ in range(6)]
             for z, spans in zip(batch.column(1), batch.column(2)):
                 text = unpack(z.as_py())
