@@ -80,7 +80,7 @@ def with_next(docs: DataFrame, prepare: dict[str, Column]) -> DataFrame:
     one id a chunk takes part in the window over all chunks.
     """
     ids = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
-    width = CHUNK * max(1, -(-(ids[1] - ids[0] + 1) // ids[2])) if ids[2] else CHUNK
+    width = min(1 << 62, CHUNK * max(1, -(-(ids[1] - ids[0] + 1) // ids[2]))) if ids[2] else CHUNK
     chunk = F.coalesce(F.floor(F.col("doc_id") / F.lit(width)).cast("long"), F.lit(-(1 << 62)).cast("long"))
     heads = docs.select("doc_id", chunk.alias("c")).groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id"))["doc_id"].alias("head"))
     order = W.orderBy("c")

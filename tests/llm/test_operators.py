@@ -303,8 +303,10 @@ def plain_removal(rows, n=200):
 
 @pytest.mark.parametrize("largest", [repeats.LARGEST, 1])
 def test_repeats(spark, largest):
-    rows = texts()
-    got = known(repeats.remove_repeats(frame(spark).withColumn("spans", F.lit(1)), largest=largest, keep_text=True, carry=["lang"]))
+    r = random.Random(11)
+    a, b = ("".join(r.choice("klmnopqé") for _ in range(260)) for _ in "ab")
+    rows = [*texts(), a + " between " + b, b + " or " + a]
+    got = known(repeats.remove_repeats(frame(spark, rows).withColumn("spans", F.lit(1)), largest=largest, keep_text=True, carry=["lang"]))
     want = plain_removal(rows)
     assert [tuple(got[3 * i][c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) for i in range(len(rows))] == want
     assert sum(w[1] for w in want) > 5000 and sum(w[2] > 1 for w in want)
