@@ -11,7 +11,7 @@ from .common import components, dimension_join, staged, table, words
 #: A word is an anchor if it makes up at least this share of all words: so there are at most 1 / COMMON anchors.
 COMMON = 1 / 400
 #: Buckets in which words are counted first, to find those that can hold an anchor; documents in a chunk of neighbours.
-BUCKETS, CHUNK = 1 << 16, 4096
+BUCKETS, CHUNK = 1 << 16, 512
 SIMILAR = 0.8
 
 
