@@ -50,6 +50,11 @@ def drop_staged(df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def spread(spark: SparkSession) -> int:
+    """Partitions for rows that stand for much more work than their bytes, which AQE would put into one task."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def words(text: str | Column) -> Column:
     """The words of a text, in order; none for null."""
     text = F.col(text) if isinstance(text, str) else text

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, components, staged, table
+from .common import LOWER, UPPER, components, spread, staged, table
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 #: Distinct fingerprints in a tile, about; comparisons that a worker makes at once; links that it holds before it thins them.
@@ -153,10 +153,6 @@ def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame
     return both.mapInArrow(run, "u long, v long")
 
 
-def spread(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """docs (doc_id, text): doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable), a row per row.
 

@@ -16,10 +16,10 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, new_path, staged, table
+from .common import BROADCAST_ROWS, new_path, spread, staged, table
 
 #: An archive is closed beyond so many bytes; lines in an index block; bytes of an archive that one reading task covers.
-ARCHIVE, BLOCK, STRETCH = 256 << 20, 3000, 64 << 20
+ARCHIVE, BLOCK, STRETCH = 256 << 20, 3000, 4 << 20
 #: Fixed values of the format.
 VERSION, DATE = "WARC/1.1", "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -231,7 +231,7 @@ def look_up(wanted: DataFrame, index: DataFrame, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], ["archive", "at", "size"])
 
     keys = wanted.select("page_id", "url").mapInArrow(route, "file string, key binary").distinct()
-    return keys.repartition("file").sortWithinPartitions("file", "key").mapInArrow(run, "archive string, at long, size long")
+    return keys.repartition(spread(wanted.sparkSession), "file").sortWithinPartitions("file", "key").mapInArrow(run, "archive string, at long, size long")
 
 
 def read_records(entries: DataFrame, folder: str) -> DataFrame:
@@ -257,7 +257,7 @@ def read_records(entries: DataFrame, folder: str) -> DataFrame:
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    dealt = entries.select("archive", "at", "size").repartition("archive", F.floor(F.col("at") / STRETCH)).sortWithinPartitions("archive", "at")
+    dealt = entries.select("archive", "at", "size").repartition(spread(entries.sparkSession), "archive", F.floor(F.col("at") / STRETCH)).sortWithinPartitions("archive", "at")
     return dealt.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
