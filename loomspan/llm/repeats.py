@@ -163,6 +163,55 @@ def repeat_groups(contexts: list[tuple[bytes, bytes]], length: int = LENGTH, gra
                 yield a, b, [by_right[i] for i in own]
 
 
+def extents(contexts: list[tuple[bytes, bytes]], length: int = LENGTH, gram: int = GRAM) -> list[tuple[int, int]]:
+    """How far what repeats reaches around the place of each context: (bytes before it, bytes from it), zeros for nothing.
+
+    The same tree as in repeat_groups, but at each node only how far each occurrence extends alike to the left with
+    another one, which is the larger of what it shares with its two neighbours in the order of what stands before; that
+    is a range minimum over the order of all. Every repeat here contains the place, so that their union is one span.
+    """
+    n = len(contexts)
+    by_right = sorted(range(n), key=lambda i: contexts[i][1])
+    shared = [0] + [common(contexts[by_right[i - 1]][1], contexts[by_right[i]][1]) for i in range(1, n)]
+    by_left = sorted(range(n), key=lambda i: contexts[by_right[i]][0])
+    left = [contexts[by_right[i]][0] for i in by_left]
+    both = [0] + [common(left[i - 1], left[i]) for i in range(1, n)]
+    rank = [0] * n
+    for r, i in enumerate(by_left):
+        rank[i] = r
+    before, after = [0] * n, [0] * n  # by rank
+    if n > 32:
+        levels = [np.array(both)]
+        while 2 << (len(levels) - 1) <= n:
+            step = 1 << (len(levels) - 1)
+            levels.append(np.minimum(levels[-1][:-step], levels[-1][step:]))
+        ranks, most_a, most_b = np.array(rank), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for b, first, last in intervals(shared, n, gram):
+            r = np.sort(ranks[first : last + 1])
+            span = np.frexp((r[1:] - r[:-1]).astype(float))[1] - 1  # of its power of two
+            near = np.empty(len(span), np.int64)
+            for k in np.unique(span):
+                at = span == k
+                near[at] = np.minimum(levels[k][r[:-1][at] + 1], levels[k][r[1:][at] - (1 << int(k)) + 1])
+            ends = np.maximum(np.concatenate([[0], near]), np.concatenate([near, [0]]))
+            ok = ends + b >= length
+            most_a[r[ok]] = np.maximum(most_a[r[ok]], ends[ok])
+            most_b[r[ok]] = np.maximum(most_b[r[ok]], b)
+        before, after = most_a.tolist(), most_b.tolist()
+    else:
+        for b, first, last in intervals(shared, n, gram):
+            r = sorted(rank[first : last + 1])
+            near = [0, *(min(both[p + 1 : q + 1]) for p, q in zip(r, r[1:])), 0]
+            for x, p, q in zip(r, near, near[1:]):
+                a = max(p, q)
+                if a + b >= length:
+                    before[x], after[x] = max(before[x], a), max(after[x], b)
+    out = [(0, 0)] * n
+    for i in range(n):
+        out[by_right[i]] = (before[rank[i]], after[rank[i]])
+    return out
+
+
 def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     """Spans as a sorted list without overlaps; those that touch are joined."""
     out: list[list[int]] = []
@@ -236,14 +285,10 @@ def _tree_spans(contexts: DataFrame, length: int, gram: int) -> DataFrame:
     """
 
     def spans(group: list[tuple[int, bytes, bytes]]) -> Iterator[tuple[int, int, int]]:
-        once = list({ch: (left, right) for ch, left, right in group}.items())
-        found: dict[int, list[tuple[int, int]]] = {}
-        for a, b, members in repeat_groups([x for _, x in once], length, gram):
-            for i in members:
-                found.setdefault(i, []).append((-a, b))
-        for i, x in found.items():
-            for lo, hi in merged(x) if len(x) > 1 else x:
-                yield once[i][0], lo, hi
+        once = {ch: (left, right) for ch, left, right in group}
+        for ch, (a, b) in zip(once, extents(list(once.values()), length, gram)):
+            if b:
+                yield ch, -a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group, rows = None, [], []

@@ -326,9 +326,9 @@ def test_repeats_over_pieces(spark, monkeypatch):
 
 def test_repeat_groups_are_maximal():
     r = random.Random(8)
-    for _ in range(40):
+    for n in [9] * 40 + [150] * 6:
         core = bytes(r.choice(b"ab") for _ in range(4))
-        ctx = list({(bytes(r.choice(b"ab") for _ in range(r.randint(0, 5))), core + bytes(r.choice(b"ab") for _ in range(r.randint(0, 5)))) for _ in range(9)})
+        ctx = list({(bytes(r.choice(b"ab") for _ in range(r.randint(0, 5))), core + bytes(r.choice(b"ab") for _ in range(r.randint(0, 5)))) for _ in range(n)})
         got = {(a, b, tuple(sorted(m))) for a, b, m in repeats.repeat_groups(ctx, 6, 4)}
         want = set()
         for i in range(len(ctx)):
@@ -337,6 +337,8 @@ def test_repeat_groups_are_maximal():
                 if a + b >= 6:
                     want.add((a, b, tuple(k for k in range(len(ctx)) if ctx[k][0].startswith(ctx[i][0][:a]) and ctx[k][1].startswith(ctx[i][1][:b]))))
         assert got == want
+        reach = [(max((a for a, _, m in want if i in m), default=0), max((b for _, b, m in want if i in m), default=0)) for i in range(len(ctx))]
+        assert repeats.extents(ctx, 6, 4) == reach
 
 
 def test_repeated_rows_remove_each_other(spark):
