@@ -13,7 +13,7 @@ SCALE = 16
 TOTAL = 1 << SCALE
 SINGLE_LEAST = 1 << 56
 #: The interleaved lanes keep theirs at 2**16 or more, below 2**32, and move 16 bits: one word a step at most.
-LANES, STEPS = 4096, 32
+LANES, STEPS = 4096, 512
 
 
 def normalize(counts: np.ndarray, total: int = TOTAL) -> np.ndarray:

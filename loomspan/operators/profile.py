@@ -75,27 +75,27 @@ def percentiles(cells: DataFrame, keys: list[str], x: str, at: list[float], gath
 
 
 def _narrowed(cells: DataFrame, large: DataFrame, keys: list[str], x: str, at: list[float], few: int) -> DataFrame:
-    rank = [F.struct(F.lit(i).alias("i"), F.floor((F.col("n") - 1) * p).alias("k"), ((F.col("n") - 1) * p - F.floor((F.col("n") - 1) * p)).alias("w")) for i, p in enumerate(at)]
-    want = large.select(*keys, "n", "lo", "hi", F.explode(F.array(*rank)).alias("r")).select(*keys, "lo", "hi", "r.*")
-    want = want.withColumn("up", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("k", F.col("k") + F.col("up")).withColumn("c", F.lit(1 << 62))
-    ids = [*keys, "i", "up"]
+    rank = [F.struct(F.lit(i).alias("_i"), F.floor((F.col("n") - 1) * p).alias("_k"), ((F.col("n") - 1) * p - F.floor((F.col("n") - 1) * p)).alias("_w")) for i, p in enumerate(at)]
+    want = large.select(*keys, "n", F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.explode(F.array(*rank)).alias("_r")).select(*keys, "_lo", "_hi", "_r.*")
+    want = want.withColumn("_up", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_k", F.col("_k") + F.col("_up")).withColumn("_c", F.lit(1 << 62))
+    ids = [*keys, "_i", "_up"]
     v = F.col(x).cast("double")
     for _ in range(12):
         want = want.checkpoint() if cells.sparkSession.sparkContext.getCheckpointDir() else want.persist()
-        if want.filter((F.col("c") > few) & (F.col("hi") > F.col("lo"))).isEmpty():
+        if want.filter((F.col("_c") > few) & (F.col("_hi") > F.col("_lo"))).isEmpty():
             break
-        inside = cells.select(*keys, v.alias("v")).join(want, keys).filter("v between lo and hi")
-        part = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(BINS - 1), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS))).otherwise(0)
-        counts = inside.groupBy(*ids, "k", "w", part.alias("b")).agg(F.count("*").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-        before = F.sum("c").over(W.partitionBy(*ids).orderBy("b")) - F.col("c")
-        counts = counts.withColumn("before", before).filter((F.col("k") >= F.col("before")) & (F.col("k") < F.col("before") + F.col("c")))
-        want = counts.withColumn("k", F.col("k") - F.col("before")).select(*keys, "lo", "hi", "i", "k", "w", "up", "c")
-    inside = cells.select(*keys, v.alias("v")).join(want, keys).filter("v between lo and hi").groupBy(*ids, "k", "w", "v").agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(W.partitionBy(*ids).orderBy("v"))
-    got = inside.withColumn("upto", upto).filter((F.col("k") < F.col("upto")) & (F.col("k") >= F.col("upto") - F.col("c")))
-    each = got.groupBy(*keys, "i").agg(F.max(F.when(F.col("up") == 0, F.col("v"))).alias("a"), F.max(F.when(F.col("up") == 1, F.col("v"))).alias("b"), F.max("w").alias("w"))
-    value = F.col("a") + F.coalesce((F.col("b") - F.col("a")) * F.col("w"), F.lit(0.0))
-    return each.groupBy(*keys).agg(*[F.max(F.when(F.col("i") == i, value)).alias(f"p{i}") for i in range(len(at))])
+        inside = cells.select(*keys, v.alias("_v")).join(want, keys).filter("_v between _lo and _hi")
+        part = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(BINS - 1), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * BINS))).otherwise(0)
+        counts = inside.groupBy(*ids, "_k", "_w", part.alias("_b")).agg(F.count("*").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        before = F.sum("_c").over(W.partitionBy(*ids).orderBy("_b")) - F.col("_c")
+        counts = counts.withColumn("_before", before).filter((F.col("_k") >= F.col("_before")) & (F.col("_k") < F.col("_before") + F.col("_c")))
+        want = counts.withColumn("_k", F.col("_k") - F.col("_before")).select(*keys, "_lo", "_hi", "_i", "_k", "_w", "_up", "_c")
+    inside = cells.select(*keys, v.alias("_v")).join(want, keys).filter("_v between _lo and _hi").groupBy(*ids, "_k", "_w", "_v").agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(W.partitionBy(*ids).orderBy("_v"))
+    got = inside.withColumn("_upto", upto).filter((F.col("_k") < F.col("_upto")) & (F.col("_k") >= F.col("_upto") - F.col("_c")))
+    each = got.groupBy(*keys, "_i").agg(F.max(F.when(F.col("_up") == 0, F.col("_v"))).alias("_a"), F.max(F.when(F.col("_up") == 1, F.col("_v"))).alias("_b"), F.max("_w").alias("_w"))
+    value = F.col("_a") + F.coalesce((F.col("_b") - F.col("_a")) * F.col("_w"), F.lit(0.0))
+    return each.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == i, value)).alias(f"p{i}") for i in range(len(at))])
 
 
 def errors(df: DataFrame, keys: list[str], a: Column, b: Column) -> DataFrame:

@@ -39,8 +39,8 @@ def normalized(freq: DataFrame, keys: list[str], total: int = TOTAL) -> DataFram
     spare = F.col("f0") - 1
     s = s.withColumn("gone", F.coalesce(F.sum(spare).over(up.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     s = s.withColumn("left", F.count("*").over(up.rowsBetween(0, W.unboundedFollowing)))
-    enough = F.when(F.col("gone") + F.col("left") * spare >= -F.col("gap"), F.struct("f0", F.floor((-F.col("gap") - F.col("gone")) / F.col("left")).alias("r")))
-    s = s.withColumn("r", F.coalesce(F.min(enough).over(one)["r"], F.lit(0)))
+    enough = F.when(F.col("gone") + F.col("left") * spare >= -F.col("gap"), F.struct(F.row_number().over(up).alias("at"), F.floor((-F.col("gap") - F.col("gone")) / F.col("left")).alias("r")))
+    s = s.withColumn("e", enough).withColumn("r", F.coalesce(F.min("e").over(one)["r"], F.lit(0)))
     s = s.withColumn("rest", -F.col("gap") - F.sum(F.least(F.col("r"), spare)).over(one))
     after = F.greatest(F.lit(1), F.col("f0") - F.col("r"))
     last = F.row_number().over(one.orderBy(F.desc(F.when(after > 1, after)), "symbol"))

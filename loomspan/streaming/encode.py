@@ -19,7 +19,7 @@ from loomspan.sources.tables import SCHEMA
 
 def arriving(spark: SparkSession, folder: str, per_batch: int = 100) -> DataFrame:
     """A stream of the array files that appear in a folder, as rows of path and content."""
-    return spark.readStream.format("binaryFile").option("pathGlobFilter", "*.npy").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_batch).load(folder)
+    return spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.npy").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_batch).load(folder)
 
 
 def as_tensors(files: DataFrame, root: str) -> DataFrame:
