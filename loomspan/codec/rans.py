@@ -47,7 +47,16 @@ class Model:
     @classmethod
     def of(cls, values: np.ndarray) -> tuple[Model, np.ndarray]:
         """A model of the values, and the place in it of each."""
-        symbols, places, counts = np.unique(values, return_inverse=True, return_counts=True)
+        v = np.asarray(values).ravel()
+        lo = int(v.min())
+        if int(v.max()) - lo < 1 << 18:  # a table of counts, without a sort
+            v = v.astype(np.int64) - lo
+            counts = np.bincount(v)
+            found = np.flatnonzero(counts)
+            place = np.zeros(len(counts), np.int64)
+            place[found] = np.arange(len(found))
+            return cls(found + lo, normalize(counts[found])), place[v]
+        symbols, places, counts = np.unique(v, return_inverse=True, return_counts=True)
         return cls(symbols, normalize(counts)), places.ravel()
 
     def to_bytes(self) -> bytes:
@@ -80,16 +89,19 @@ def encode(places: np.ndarray, model: Model) -> bytes:
     n = len(places)
     k = lanes_for(n)
     steps = -(-n // k)
-    freq, start = model.freq.astype(np.uint64), model.start.astype(np.uint64)
-    x = np.full(k, 1 << 16, np.uint64)
+    # states are below 2**32 and frequencies above 0, so that a quotient in doubles, cut off, is exact
+    freq, start = model.freq.astype(np.float64), model.start.astype(np.int64)
+    whole, limit = model.freq.astype(np.int64), model.freq.astype(np.int64) << 16
+    x = np.full(k, 1 << 16, np.int64)
     words: list[np.ndarray] = []
     for t in range(steps - 1, -1, -1):
         s = places[t * k : min(n, (t + 1) * k)]
-        f, y = freq[s], x[: len(s)]
-        full = y >= f << np.uint64(16)
-        words.append((y[full] & np.uint64(0xFFFF)).astype("<u2"))
-        y = np.where(full, y >> np.uint64(16), y)
-        x[: len(s)] = ((y // f) << np.uint64(SCALE)) + start[s] + y % f
+        y = x[: len(s)]
+        full = y >= limit[s]
+        words.append(y[full].astype("<u2"))
+        y = np.where(full, y >> 16, y)
+        q = (y / freq[s]).astype(np.int64)
+        x[: len(s)] = (q << SCALE) + start[s] + (y - q * whole[s])
     return struct.pack("<II", n, k) + x.astype("<u4").tobytes() + b"".join(w.tobytes() for w in reversed(words))
 
 
@@ -100,23 +112,23 @@ def decode(data: bytes, model: Model) -> np.ndarray:
     n, k = struct.unpack_from("<II", data)
     if k < 1 or k != lanes_for(n) or len(data) < 8 + 4 * k or (len(data) - 8 - 4 * k) % 2:
         raise EntropyError("a stream is cut off")
-    x = np.frombuffer(data, "<u4", k, 8).astype(np.uint64)
-    words = np.frombuffer(data, "<u2", offset=8 + 4 * k).astype(np.uint64)
+    x = np.frombuffer(data, "<u4", k, 8).astype(np.int64)
+    words = np.frombuffer(data, "<u2", offset=8 + 4 * k).astype(np.int64)
     slot = np.repeat(np.arange(len(model.freq)), model.freq)
-    freq, start = model.freq.astype(np.uint64), model.start.astype(np.uint64)
+    freq = model.freq[slot]  # of each slot, and its place among its symbol's slots
+    within = np.arange(TOTAL) - model.start[slot]
     out, at = np.empty(n, np.int64), 0
     for t in range(-(-n // k)):
         y = x[: min(k, n - t * k)]
-        low = y & np.uint64(TOTAL - 1)
-        s = slot[low.astype(np.int64)]
-        out[t * k : t * k + len(s)] = s
-        y = freq[s] * (y >> np.uint64(SCALE)) + low - start[s]
+        low = y & (TOTAL - 1)
+        out[t * k : t * k + len(low)] = slot[low]
+        y = freq[low] * (y >> SCALE) + within[low]
         short = np.flatnonzero(y < 1 << 16)
         if at + len(short) > len(words):
             raise EntropyError("a stream is cut off")
-        y[short] = (y[short] << np.uint64(16)) | words[at : at + len(short)]
+        y[short] = (y[short] << 16) | words[at : at + len(short)]
         at += len(short)
-        x[: len(s)] = y
+        x[: len(low)] = y
     if at != len(words) or (x != 1 << 16).any():
         raise EntropyError("a stream does not end where it began")
     return out

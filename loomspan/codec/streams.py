@@ -23,15 +23,21 @@ def encode_symbols(values: np.ndarray, config: Config, width: int | None = None)
     if config.pack_bits and width and width < v.dtype.itemsize * 8:
         return meta | {"kind": "packed", "bits": width, "signed": bool(v.min() < 0)}, bits.pack(v, width)
     if config.coder == "rans" and v.dtype.kind in "iub" and -(1 << 31) <= int(v.min()) and int(v.max()) < 1 << 31:
-        symbols = np.unique(v)
-        if len(symbols) <= rans.TOTAL:
-            model, places = rans.Model.of(v.astype(np.int64))
+        model, places = _modelled(v)
+        if model:
             head = model.to_bytes()
             body = (rans.encode if config.layout == "lanes" else rans.encode_single)(places, model)
             return meta | {"kind": "rans", "layout": config.layout}, struct.pack("<II", len(head), len(body)) + head + body
     return meta | {"kind": "raw"}, v.tobytes()
 
 
+def _modelled(v: np.ndarray) -> tuple[rans.Model | None, np.ndarray]:
+    """None for more symbols than a model holds."""
+    if v.size > rans.TOTAL and v.dtype.itemsize > 2 and int(v.max()) - int(v.min()) >= rans.TOTAL and len(np.unique(v)) > rans.TOTAL:
+        return None, v
+    return rans.Model.of(v)
+
+
 def decode_symbols(meta: dict, data: bytes) -> np.ndarray:
     dtype, n = np.dtype(meta["dtype"]), int(meta["n"])
     if meta["kind"] == "empty":

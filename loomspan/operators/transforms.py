@@ -103,17 +103,23 @@ def fit_components(df: DataFrame, array: str, threshold: float = 0.95) -> Compon
     return Components(mean, vector[:k], ratio[:k])
 
 
-def _dot(a: Column, b: list[float]) -> Column:
-    return F.aggregate(F.zip_with(a, F.lit([float(v) for v in b]), lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
 
 
 def project(df: DataFrame, array: str, c: Components) -> DataFrame:
+    """scores: a row's coordinates along the components."""
     centred = F.zip_with(array, F.lit([float(v) for v in c.mean]), lambda p, q: p.cast("double") - q)
-    return df.withColumn("scores", F.array(*[_dot(centred, a.tolist()) for a in c.axes]))
+    axes = F.array(*[F.lit(a.tolist()) for a in c.axes])
+    return df.withColumn("_centred", centred).withColumn("scores", F.transform(axes, lambda a: _dot(a, F.col("_centred")))).drop("_centred")
 
 
 def restore(df: DataFrame, c: Components) -> DataFrame:
-    return df.withColumn("restored", F.array(*[_dot(F.col("scores"), c.axes[:, j].tolist()) + float(c.mean[j]) for j in range(len(c.mean))]))
+    """restored: the mean and the components, each times its score, added up."""
+    axes = F.array(*[F.lit(a.tolist()) for a in c.axes])
+    each = F.arrays_zip(F.col("scores").alias("s"), axes.alias("a"))
+    back = F.aggregate(each, F.lit([float(v) for v in c.mean]), lambda acc, x: F.zip_with(acc, x["a"], lambda p, q: p + q * x["s"]))
+    return df.withColumn("restored", back)
 
 
 def effective_rank(df: DataFrame, array: str) -> float:

@@ -592,3 +592,147 @@ select benchmark_name, coalesce(s, container_bytes) as container_bytes, coalesce
 def bench_container_metrics(spark, d):
     k = table(spark, d, "part").filter("p_size > 25").select(F.col("p_name").alias("tensor_name"), (F.col("p_size") * 3).cast("long").alias("storage_bytes"), F.col("p_size").cast("long").alias("payload_bytes"))
     return reports.with_container(results(spark, d), k).select("benchmark_name", "container_bytes", "container_overhead_bytes")
+
+
+# codec
+
+
+def embedding_tensors(spark: SparkSession, d: str) -> DataFrame:
+    """The embeddings as a table of tensors: chunks of up to 256 vectors of one float32 matrix per vec_id div 1000."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding", F.floor(F.col("vec_id") / 1000).alias("t"), F.floor(F.col("vec_id") / 256).cast("int").alias("c"))
+    rows = e.groupBy("t", "c").agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda r: r["embedding"]).alias("rows"))
+
+    def pack(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            for t, c, rows in zip(*(x.to_pylist() for x in b.columns)):
+                a = np.array(rows, np.float32)
+                cols = {"t": pa.array([t]), "c": pa.array([c], pa.int32()), "n": pa.array([len(a)], pa.int64()), "data": pa.array([a.tobytes()], pa.binary())}
+                yield pa.RecordBatch.from_pydict(cols)
+
+    p = rows.mapInArrow(pack, "t long, c int, n long, data binary")
+    whole = p.groupBy("t").agg(F.sum("n").alias("rows"), F.count("*").cast("int").alias("chunks"), F.min("c").alias("c0"), F.sort_array(F.collect_list(F.struct("c", "n"))).alias("parts"))
+    j = p.join(whole, "t")
+    before = F.aggregate(F.filter("parts", lambda x: x["c"] < F.col("c")), F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    at = F.size(F.filter("parts", lambda x: x["c"] < F.col("c")))
+    return j.select(F.concat(F.lit("embed."), F.col("t").cast("string")).alias("tensor_name"), F.lit("float32").alias("dtype"), F.array("rows", F.lit(64).cast("long")).alias("shape"), at.alias("chunk"), "chunks", before.alias("first"), "data")
+
+
+TENSOR_SQL = "with t as (select 'embed.' || cast(vec_id // 1000 as varchar) as tensor_name, count(*) as n from embeddings group by 1)"
+
+
+@query(f"{TENSOR_SQL} select tensor_name, n * 64 as n, true as close, true as smaller from t")
+def codec_roundtrip(spark, d):
+    """Encoded to 8 bits and back: errors within half a step, and under half of the bytes."""
+    from loomspan.config import Config
+    from loomspan.operators import compress
+
+    df = embedding_tensors(spark, d)
+    records = compress.encode(df, Config(bits=8))
+    e = compress.errors(df, compress.decode(records))
+    return e.join(compress.summary(records), "tensor_name").select("tensor_name", "n", (F.col("cosine") > 0.999).alias("close"), (F.col("ratio") > 2).alias("smaller"))
+
+
+@query(f"{TENSOR_SQL} select tensor_name, n * 64 as n, 0.0e0 as mse from t")
+def codec_lossless(spark, d):
+    from loomspan.config import Config
+    from loomspan.operators import compress
+
+    df = embedding_tensors(spark, d)
+    return compress.errors(df, compress.decode(compress.encode(df, Config(lossless=True)))).select("tensor_name", "n", "mse")
+
+
+@query(f"{TENSOR_SQL} select tensor_name, 2 as tensor_type from t")
+def codec_types(spark, d):
+    from loomspan.operators import compress
+
+    return embedding_tensors(spark, d).filter("chunk = 0").mapInArrow(compress._types, "tensor_name string, tensor_type int")
+
+
+@query("select l_returnflag, count(*) as n, true as same, true as near_bound from lineitem group by 1")
+def rans_roundtrip(spark, d):
+    """Line numbers of each return flag through the range coder, in chunks by the order's number."""
+    li = table(spark, d, "lineitem").select("l_returnflag", F.floor(F.col("l_orderkey") / 20_000).alias("chunk"), "l_linenumber")
+
+    def run(pdf):
+        import numpy as np
+        import pandas as pd
+
+        from loomspan.codec import rans
+
+        values = pdf["l_linenumber"].to_numpy()
+        model, places = rans.Model.of(values)
+        data = rans.encode(places, model)
+        same = bool((model.symbols[rans.decode(data, rans.Model.from_bytes(model.to_bytes()))] == values).all())
+        bound = model.bits(np.bincount(places)) * len(values) / 8
+        return pd.DataFrame({"l_returnflag": [pdf["l_returnflag"].iloc[0]], "n": [len(values)], "same": [same], "near": [len(data) <= 1.1 * bound + 64]})
+
+    parts = li.groupBy("l_returnflag", "chunk").applyInPandas(run, "l_returnflag string, n long, same boolean, near boolean")
+    return parts.groupBy("l_returnflag").agg(F.sum("n").alias("n"), F.bool_and("same").alias("same"), F.bool_and("near").alias("near_bound"))
+
+
+@query("select user_id, count(*) as n, cast((count(*) * 3 + 7) // 8 as bigint) as packed_bytes, true as same from events group by 1")
+def pack_bits(spark, d):
+    """Event numbers modulo 8 in 3 bits each."""
+    e = table(spark, d, "events").select("user_id", (F.col("event_id") % 8).alias("v"))
+
+    def run(pdf):
+        import pandas as pd
+
+        from loomspan.codec import bits
+
+        v = pdf["v"].to_numpy()
+        data = bits.pack(v, 3)
+        return pd.DataFrame({"user_id": [pdf["user_id"].iloc[0]], "n": [len(v)], "packed_bytes": [len(data)], "same": [bool((bits.unpack(data, 3, len(v)) == v).all())]})
+
+    return e.groupBy("user_id").applyInPandas(run, "user_id long, n long, packed_bytes long, same boolean")
+
+
+@query(f"{TENSOR_SQL} select tensor_name, n * 64 as n, 0.0e0 as mse from t")
+def container_roundtrip(spark, d):
+    """Written to one container file, read again by the data source, and compared."""
+    from loomspan.config import Config
+    from loomspan.operators import compress
+    from loomspan.sources import tables
+
+    df = embedding_tensors(spark, d)
+    path = _scratch(spark, "container.qnc")
+    compress.write_container(compress.encode(df, Config(lossless=True)), path)
+    back = tables.read_tensors(spark, path)
+    back = back.select(F.split("tensor_name", "#")[0].alias("tensor_name"), F.coalesce(F.try_element_at(F.split("tensor_name", "#"), F.lit(2)).cast("int"), F.lit(0)).alias("chunk"), "data")
+    return compress.errors(df, back).select("tensor_name", "n", "mse")
+
+
+@query(f"{TENSOR_SQL} select tensor_name, n * 64 as n, true as closer from t")
+def finetune_roundtrip(spark, d):
+    """Embeddings scaled by a thousandth kept as differences: what comes back is nearer to them than the base is."""
+    from loomspan.operators import compress, finetune_codec
+
+    base = embedding_tensors(spark, d)
+
+    def scale(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            data = [(np.frombuffer(x.as_buffer(), np.float32) * np.float32(1.001)).tobytes() for x in b.column("data")]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(data, pa.binary())], b.schema.names)
+
+    tuned = base.mapInArrow(scale, base.schema)
+    back = finetune_codec.restore(base, finetune_codec.compress(base, tuned))
+    near, far = compress.errors(tuned, back), compress.errors(tuned, base).select(F.col("tensor_name").alias("_n"), F.col("mse").alias("far"))
+    return near.join(far, F.col("tensor_name") == F.col("_n")).select("tensor_name", "n", (F.col("mse") < F.col("far")).alias("closer"))
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share."""
+    import tempfile
+    import uuid
+
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or tempfile.gettempdir()
+    path = f"{root.rstrip('/')}/loomspan/{uuid.uuid4().hex}/{name}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(p)
+    return path
