@@ -23,6 +23,9 @@ _SYMBOLS = b"#*$%&|<>{}[]\\^~=_+@`"
 _LETTERS, _UPPER, _DIGITS = (UPPER + LOWER).encode(), UPPER.encode(), b"0123456789"
 BITS = 27
 
+#: Weights of features, log-potentials of transitions, slope and shift of the calibration.
+Model = tuple[np.ndarray, np.ndarray, tuple[float, float]]
+
 
 def line_bits(text: str) -> tuple[list[int], list[int]]:
     """For each line with a word: its features as bits, and its length in bytes. A text without words is one empty line.
@@ -127,14 +130,37 @@ def fit(bits: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndar
     return w, move
 
 
+def calibrate(scores: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of the scores' log-odds that fit the texts' own labels best, by Newton's steps with a ridge.
+
+    Line labels are only a stand-in for those of texts; a text of one line, which no neighbour supports, would else stay
+    near the share of good texts.
+    """
+    z, y = log_odds(scores), labels.astype(float)
+    x = np.stack([z, np.ones_like(z)], 1)
+    w = np.array([1.0, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        g = x.T @ (p - y) + 0.1 * (w - [1.0, 0.0])
+        h = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + 0.1 * np.eye(2)
+        step = np.linalg.solve(h, g)
+        w = w - np.clip(step, -1, 1)
+    return float(max(0.1, w[0])), float(w[1])
+
+
+def log_odds(p: np.ndarray) -> np.ndarray:
+    p = np.clip(p, 1e-9, 1 - 1e-9)
+    return np.log(p / (1 - p))
+
+
 def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray] | None:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
     """The model, from at most sample labelled texts outside the held-out fold, the first by a hash of doc_id. None without labels.
 
-    The ids of the sample (16 bytes each) are all that is broadcast, and their lines' features (4 bytes a line, at most
+    The ids of the sample (16 bytes each) are all that is broadcast, and their lines' features (8 bytes a line, at most
     SAMPLE_LINES lines a text) all that comes to the driver.
     """
     known = labels.filter("quality in (0, 1) and doc_id is not null").filter(fold(F.col("doc_id")) != HELD_OUT)
@@ -143,32 +169,40 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bits = [line_bits(t.as_py() or "")[0] for t in b.column(1)]
-            kept = [i for i, x in enumerate(bits) if len(x) <= SAMPLE_LINES]
-            packed = [np.array(bits[i], np.int32).tobytes() for i in kept]
+            found = [line_bits(t.as_py() or "") for t in b.column(1)]
+            kept = [i for i, x in enumerate(found) if len(x[0]) <= SAMPLE_LINES]
+            packed = [np.array(found[i], np.int32).tobytes() for i in kept]  # the bits, then the lengths
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(kept, pa.int64())), b.column(2).take(pa.array(kept, pa.int64())), pa.array(packed, pa.binary())], ["id", "good", "bits"])
 
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_id", "text", "good").mapInArrow(run, "id long, good int, bits binary")
     got = sorted(rows.collect(), key=lambda r: (r["id"], bytes(r["bits"])))
     if not got:
         return None
-    return fit([np.frombuffer(r["bits"], np.int32) for r in got], np.array([r["good"] for r in got]))
+    bits, good = [np.frombuffer(r["bits"][: len(r["bits"]) // 2], np.int32) for r in got], np.array([r["good"] for r in got])
+    model = (*fit(bits, good), (1.0, 0.0))
+    sizes = [np.frombuffer(r["bits"][len(r["bits"]) // 2 :], np.int32) for r in got]
+    return (*model[:2], calibrate(_scores(bits, sizes, model), good))
+
+
+def _scores(bits: list[np.ndarray], sizes: list[np.ndarray], model: Model) -> np.ndarray:
+    counts = np.array([len(b) for b in bits])
+    starts = np.cumsum(counts) - counts
+    size = np.concatenate(sizes).astype(float)
+    p, _, _ = marginals(spread_bits(np.concatenate(bits), starts) @ model[0], starts, counts, model[1])
+    mean = np.add.reduceat(p * size, starts) / np.add.reduceat(size, starts)
+    slope, shift = model[2]
+    return 1 / (1 + np.exp(-np.clip(slope * log_odds(mean) + shift, -700, 700)))
 
 
-def score_texts(texts: list[str], model: tuple[np.ndarray, np.ndarray] | None) -> list[float]:
-    """The length-weighted mean of P(line is good) of each text; 0.5 without a model."""
+def score_texts(texts: list[str], model: Model | None) -> list[float]:
+    """The length-weighted mean of P(line is good) of each text, calibrated; 0.5 without a model."""
     if model is None:
         return [0.5] * len(texts)
     out: list[float] = []
     held: list[tuple[list[int], list[int]]] = []
 
     def flush() -> None:
-        counts = np.array([len(b) for b, _ in held])
-        starts = np.cumsum(counts) - counts
-        bits = np.concatenate([np.array(b, np.int32) for b, _ in held])
-        size = np.concatenate([np.array(s, float) for _, s in held])
-        p, _, _ = marginals(spread_bits(bits, starts) @ model[0], starts, counts, model[1])
-        out.extend(np.clip(np.add.reduceat(p * size, starts) / np.add.reduceat(size, starts), 0, 1).tolist())
+        out.extend(_scores([np.array(b, np.int32) for b, _ in held], [np.array(x, np.int32) for _, x in held], model).tolist())
         held.clear()
 
     n = 0
