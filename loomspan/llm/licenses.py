@@ -114,3 +114,38 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("_"))
     return scan(docs.select("doc_id", F.concat_ws("/", part("source"), part("lang"), F.concat(part("doc_id"), F.lit(".txt"))).alias("path"), "text"))
+
+
+def _sql() -> str:
+    """The same result in DuckDB's SQL."""
+    quoted = [(name, text.replace("'", "''")) for name, text in TEMPLATES]
+    templates = " union all ".join(f"select {i} as tid, '{name}' as license, '{text}' as text" for i, (name, text) in enumerate(quoted))
+
+    def terms_of(column: str) -> str:
+        return f"regexp_extract_all(lower({column}), '{TERM}')"
+
+    return f"""
+with d as (select row_number() over () as row, doc_id, coalesce(source, '_') || '/' || coalesce(lang, '_') || '/' || coalesce(cast(doc_id as varchar), '_') || '.txt' as path,
+  coalesce(source, '_') || '/' || coalesce(lang, '_') as dir, coalesce(text, '') as t from documents),
+l as (select row, line from (select row, unnest(string_split(t, chr(10))) as line from d) where regexp_matches(line, '{CUES}')),
+k as (select line, count(*) as n from l group by 1), tt as (select line, n, unnest({terms_of('line')}) as term from k),
+t as (select line, n, term, count(*) as tf from tt group by all), total as (select coalesce(sum(n), 0) as total from k),
+df as (select term, ln((1.0e0 + total) / (1.0e0 + sum(n))) + 1 as idf from t, total group by term, total),
+tp as ({templates}), kn as (select tid, license, unnest({terms_of('text')}) as term from tp),
+kw as (select tid, license, term, count(*) * coalesce(any_value(idf), 1 + ln(1.0e0 + any_value(total))) as w from kn left join df using (term), total group by tid, license, term),
+kt as (select *, w / sqrt(sum(w * w) over (partition by tid)) as wt from kw),
+lw as (select line, term, tf * idf as w from t join df using (term)), len as (select line, sqrt(sum(w * w)) as len from lw group by 1),
+dots as (select line, tid, license, sum(lw.w * wt) as dot from lw join kt using (term) group by all),
+hit as (select line, license, round(dot / len, 9) as cosine from dots join len using (line) where round(dot / len, 9) >= {LEAST}),
+best as (select line, license, cosine from hit qualify row_number() over (partition by line order by cosine desc, license) = 1),
+own as (select l.row, arg_min(struct_pack(license, cosine), struct_pack(a := -cosine, b := license)) as m, sum(length(l.line)) >= {FILE_SHARE} * any_value(length(d.t)) as file from l join best using (line) join d on d.row = l.row group by l.row),
+j as (select d.*, m, coalesce(file, false) as file from d left join own using (row)),
+files as (select dir, arg_min(m.license, struct_pack(a := -m.cosine, b := m.license)) as theirs from j where file group by dir),
+near as (select j.row, coalesce(f1.theirs, f2.theirs, f3.theirs) as theirs, case when f1.dir is not null then f1.dir when f2.dir is not null then f2.dir else f3.dir end as from_dir
+  from j left join files f1 on f1.dir = j.dir left join files f2 on f2.dir = split_part(j.dir, '/', 1) left join files f3 on f3.dir = '')
+select doc_id, path, coalesce(m.license, theirs) as license, m.cosine as cosine, case when file then 'file' when m is not null then 'header' when theirs is not null then 'inherited' end as how,
+  case when m is null then from_dir end as from_dir from j join near using (row)
+"""
+
+
+OP4_SQL = _sql()

@@ -153,3 +153,28 @@ def quality_rules(docs: DataFrame, labels: DataFrame, **risk: float) -> DataFram
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def _sql() -> str:
+    """The same result in DuckDB's SQL, without hashes: windows are compared as they are."""
+    cells = " union all ".join(f"select stratum, '{r}' as rule, {c} as cutoff, count(*) as n, count_if({RULES[r].replace('div', '//')} > {c}) as k from held group by stratum" for r in RULES for c in GRID[r])
+    rate = 0.04 / len(RULES)
+    tail = f"list_sum(list_transform(range(0, cast(k as bigint) + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({rate}e0) + (n - i) * ln(1 - {rate}e0))))"
+    rejected = " or ".join(f"coalesce({RULES[r].replace('div', '//')} > (select min(cutoff) from safe s where s.rule = '{r}' and s.stratum is not distinct from m.stratum), false)" for r in RULES)
+    return f"""
+with d as (select row_number() over () as rid, doc_id, lang as stratum, coalesce(text, '') as t from documents),
+w as (select *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') as w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as l from d),
+win as (select rid, unnest(range(1, len(w) - 1)) as i, w from w where len(w) > 2),
+c as (select rid, i, count(*) over (partition by rid, w[i], w[i + 1], w[i + 2]) as c from win),
+r as (select rid, count(distinct i + j) as n_repeat_words from c, (select unnest([0, 1, 2]) as j) where c > 1 group by rid),
+b as (select doc_id, stratum, cast(len(w) as bigint) as n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) as word_chars,
+  cast(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as bigint) as n_symbols, cast(len(l) - len(list_distinct(l)) as bigint) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words from w left join r using (rid)),
+m as (select *, n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words as base_failed from b),
+held as (select * from m where not base_failed and doc_id in (select doc_id from labels where quality = 1)),
+cells as ({cells}),
+safe as (select * from cells where k < n * {rate}e0 and {tail} <= 0.05e0 / (select count(*) from cells))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not ({rejected}) as kept from m
+"""
+
+
+OP3_SQL = _sql()
