@@ -6,7 +6,7 @@ import struct
 
 import numpy as np
 
-from loomspan.codec import bits, rans
+from loomspan.codec import bits, rans, registry
 from loomspan.codec.errors import CodecError
 from loomspan.config import Config
 
@@ -26,7 +26,7 @@ def encode_symbols(values: np.ndarray, config: Config, width: int | None = None)
         model, places = _modelled(v)
         if model:
             head = model.to_bytes()
-            body = (rans.encode if config.layout == "lanes" else rans.encode_single)(places, model)
+            body = registry.get(registry.CODERS, config.layout).encode(places, model)
             return meta | {"kind": "rans", "layout": config.layout}, struct.pack("<II", len(head), len(body)) + head + body
     return meta | {"kind": "raw"}, v.tobytes()
 
@@ -54,7 +54,7 @@ def decode_symbols(meta: dict, data: bytes) -> np.ndarray:
     if len(data) != 8 + head + body:
         raise CodecError("a stream has another length than it says")
     model, coded = rans.Model.from_bytes(data[8 : 8 + head]), data[8 + head :]
-    places = rans.decode(coded, model) if meta["layout"] == "lanes" else rans.decode_single(coded, n, model)
+    places = registry.get(registry.CODERS, meta["layout"]).decode(coded, n, model)
     if len(places) != n:
         raise CodecError("a stream has another number of symbols than it says")
     return model.symbols[places].astype(dtype)
@@ -66,7 +66,7 @@ def _raw_bits(a: np.ndarray) -> np.ndarray:
 
 
 def encode_exact(a: np.ndarray, config: Config) -> tuple[dict, bytes]:
-    """The shortest of: a sequence, one along an axis, a constant, the raw bytes, the coded bytes. The first of equals wins."""
+    """The shortest of: a sequence, one along an axis, a constant, the raw bytes, the coded bytes or integers. The first of equals wins."""
     from loomspan.codec.record import dump
 
     found: list[tuple[dict, bytes]] = []
@@ -91,6 +91,10 @@ def encode_exact(a: np.ndarray, config: Config) -> tuple[dict, bytes]:
     if config.coder == "rans" and raw:
         meta, body = encode_symbols(np.frombuffer(raw, np.uint8), config)
         found.append(({"kind": "bytes", "stream": meta}, body))
+        if a.dtype.kind in "iu" and a.dtype.itemsize > 1:  # whole integers rather than their bytes
+            meta, body = encode_symbols(a, config)
+            if meta["kind"] == "rans":
+                found.append(({"kind": "integers", "stream": meta}, body))
     return min(found, key=lambda x: len(dump(x[0])) + len(x[1]))
 
 
@@ -104,8 +108,8 @@ def decode_exact(meta: dict, data: bytes, dtype: np.dtype, shape: tuple[int, ...
         return np.broadcast_to(line.reshape([-1 if i == meta["axis"] else 1 for i in range(len(shape))]), shape).copy()
     if kind == "constant":
         return np.frombuffer(meta["value"] * n, dtype).reshape(shape)
-    raw = decode_symbols(meta["stream"], data).tobytes() if kind == "bytes" else data
-    if kind not in ("raw", "bytes") or len(raw) != n * dtype.itemsize:
+    raw = decode_symbols(meta["stream"], data).tobytes() if kind in ("bytes", "integers") else data
+    if kind not in ("raw", "bytes", "integers") or len(raw) != n * dtype.itemsize:
         raise CodecError("exact bytes are cut off")
     return np.frombuffer(raw, dtype).reshape(shape)
 
