@@ -23,7 +23,7 @@ END = "</w>"
 #: Up to so many parts a word is merged by scanning; a longer one through a heap, in n log n.
 SHORT = 256
 #: Words whose ids a worker remembers, and the longest that it does.
-REMEMBERED, LONGEST = 200_000, 64
+REMEMBERED, LONGEST = 100_000, 64
 NONE = 1 << 62
 
 
@@ -174,7 +174,7 @@ def bpe(docs: DataFrame, path: str | None = None, keep_ids: bool = False) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = load(path or vocabulary())
-        for batch in batches:
+        for batch in (x.slice(i, 1000) for x in batches for i in range(0, len(x), 1000)):
             n, a, b, kept = [], [], [], []
             for text in batch.column(1):
                 ids = tool.encode(text.as_py() or "")
