@@ -17,13 +17,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group of near-duplicates; of rows that repeat a doc_id, one."""
+    """The document of the smallest doc_id of each group of near-duplicates; of rows that repeat doc_id and text, one.
+
+    Rows that share a doc_id with another text go together. A null doc_id is never a copy's, so such rows stay.
+    """
     found = staged(simhash.near_duplicates(docs), "near")
     drop = staged(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct(), "dropped")
     few = drop.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     kept = docs.join(F.broadcast(drop) if few else drop, F.col("doc_id") == F.col("_id"), "left_anti")
-    if not found.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
+    again = staged(found.filter("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).count().filter("count > 1").select("_id"), "again")
+    if not again.isEmpty():
+        once = kept.join(again, F.col("doc_id") == F.col("_id")).select(COLUMNS).dropDuplicates(["doc_id", "text"])
+        kept = kept.join(again, F.col("doc_id") == F.col("_id"), "left_anti").select(COLUMNS).unionByName(once)
     return kept.select(COLUMNS)
 
 

@@ -232,12 +232,11 @@ def _keyed(docs: DataFrame, carry: Iterable[str] = ()) -> DataFrame:
 def _places(keyed: DataFrame, length: int, gram: int, located: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            doc, tk = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for row, at, kh, ch in places(b.column(2), length, gram):
                 cols = [pa.array(kh.view(np.int64)), pa.array(ch.view(np.int64))]
                 names = ["kh", "ch"]
                 if located:
-                    cols += [pa.array(doc[row], pa.int64(), from_pandas=True), pa.array(tk[row], pa.int32()), pa.array(at, pa.int64())]
+                    cols += [*(b.column(i).take(pa.array(row)) for i in (0, 1)), pa.array(at, pa.int64())]
                     names += ["doc", "tk", "at"]
                 yield pa.RecordBatch.from_arrays(cols, names)
 

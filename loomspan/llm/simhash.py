@@ -16,6 +16,8 @@ from .common import LOWER, UPPER, components, spread, staged, table
 SHINGLE, RADIUS, SEED = 3, 3, 42
 #: Distinct fingerprints in a tile, about; comparisons that a worker makes at once; links that it holds before it thins them.
 TILE, AT_ONCE, HELD = 32_768, 1 << 18, 400_000
+#: From here on, nodes stand for fingerprints of rows without a doc_id.
+UNNAMED = 1 << 62
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
@@ -157,13 +159,16 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """docs (doc_id, text): doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable), a row per row.
 
     Texts with equal fingerprints are one node, counted before the shuffle, so copies are never paired. Null and empty
-    texts have fingerprint zero and are linked like any other. An empty table gives an empty result; further columns
-    are left out.
+    texts have fingerprint zero and are linked like any other. A null doc_id counts as larger than any other (which are below
+    2**62); a component of such rows only has a null component_id. An empty table gives an empty result; further
+    columns are left out.
     """
     fps = staged(fingerprints(docs), "fingerprints")
-    nodes = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
+    unnamed = F.lit(UNNAMED) + F.pmod("fp", F.lit(UNNAMED >> 1))
+    nodes = staged(fps.groupBy("fp").agg(F.coalesce(F.min("doc_id"), unnamed).alias("node")), "nodes")
     roots = components(links(nodes, radius)).withColumnRenamed("node", "_node")
-    named = nodes.join(roots, F.col("node") == F.col("_node"), "left").select(F.col("fp").alias("_fp"), F.coalesce("root", "node").alias("component_id"))
+    named = nodes.join(roots, F.col("node") == F.col("_node"), "left").select(F.col("fp").alias("_fp"), F.coalesce("root", "node").alias("root"))
+    named = named.select("_fp", F.when(F.col("root") < UNNAMED, F.col("root")).alias("component_id"))
     out = fps.join(named, F.col("fp") == F.col("_fp"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 

@@ -182,6 +182,16 @@ def test_bpe_against_library(spark):
         assert g["decoded_sha256"] == hashlib.sha256(lib.decode(e.ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+@pytest.mark.parametrize("op", ["simhash", "quality_crf", "bpe", "spotsigs", "mixing", "quality_rules"])
+def test_null_everywhere(spark, op):
+    """A row of nulls, one of them with a text, and large ids."""
+    rows = [(None, None, None, None, None), (None, "a b c " * 60, None, None, 1), (2**60 + 1, "d e f " * 60, "en", "s", 5), (2**60 + 1, "d e f " * 60, "en", "s", 5), (-5, "", "en", None, 0)]
+    df = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(2**60 + 1, 1), (None, 0), (-5, None)], "doc_id long, quality int")
+    run = {"simhash": lambda: simhash.near_duplicates(df), "quality_crf": lambda: quality_crf.classify(df, labels), "bpe": lambda: bpe.bpe(df), "spotsigs": lambda: spotsigs.fingerprints(df), "mixing": lambda: mixing.mix(df), "quality_rules": lambda: quality_rules.quality_rules(df, labels)}
+    assert sorted(str(r["doc_id"]) for r in run[op]().collect()) == sorted(str(r[0]) for r in rows)
+
+
 def test_bpe_heap_is_scan():
     tool, r = bpe.Bpe(bpe.vocabulary()), random.Random(1)
     for _ in range(300):
@@ -343,8 +353,9 @@ def test_repeat_groups_are_maximal():
 
 def test_repeated_rows_remove_each_other(spark):
     t = "".join(random.Random(9).choice("abcdefghij") for _ in range(300))
-    df = spark.createDataFrame([(1, t), (1, t), (1, "other " + t[:150]), (None, None)], "doc_id long, text string")
-    assert sorted((r["n_bytes"], r["n_removed"]) for r in repeats.remove_repeats(df).collect()) == [(0, 0), (156, 0), (300, 300), (300, 300)]
+    df = spark.createDataFrame([(1, t), (1, t), (1, "other " + t[:150]), (None, None), (None, "x" + t[:250]), (2**60 + 1, t[:220])], "doc_id long, text string")
+    got = [(str(r["doc_id"]), r["n_bytes"], r["n_removed"]) for r in repeats.remove_repeats(df).collect()]
+    assert sorted(got) == [("1", 156, 0), ("1", 300, 300), ("1", 300, 300), (str(2**60 + 1), 220, 220), ("None", 0, 0), ("None", 251, 250)]
     assert repeats.remove_repeats(frame(spark, [])).collect() == []
 
 
