@@ -1,4 +1,5 @@
-"""Commands: python -m loomspan.cli compress | decompress | profile | delta-compress | delta-restore | delta-inspect."""
+"""Commands: python -m loomspan.cli compress | decompress | profile | delta-compress | delta-restore | delta-inspect |
+benchmark (of a path, or of synthetic tensors) | compare (exit 2 if a row got worse)."""
 
 from __future__ import annotations
 
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 
 from loomspan.codec.errors import CodecError
 from loomspan.config import Config
-from loomspan.operators import compress, finetune_codec
+from loomspan.operators import compress, finetune_codec, harness, reports
+from loomspan.sources import reports as report_files
 from loomspan.sources import tables
 
 
@@ -32,10 +34,12 @@ def parser() -> argparse.ArgumentParser:
         ("delta-compress", ("base", "tuned", "output")),
         ("delta-restore", ("base", "input", "output")),
         ("delta-inspect", ("base", "input")),
+        ("benchmark", ("input", "output")),
+        ("compare", ("baseline", "current")),
     ):
         c = sub.add_parser(name, parents=[settings])
         for a in args:
-            c.add_argument(a)
+            c.add_argument(a, **({"nargs": "?"} if name == "benchmark" and a == "output" else {}))
         if name == "compress":
             c.add_argument("--allocate-bits", action="store_true", help="more bits for tensors of more entropy")
     return p
@@ -60,7 +64,8 @@ def run(argv: list[str], spark: SparkSession | None = None) -> int:
             compress.summary(records).agg(F.sum("raw_bytes").alias("raw_bytes"), F.sum("compressed_bytes").alias("compressed_bytes"), (F.sum("raw_bytes") / F.sum("compressed_bytes")).alias("ratio")).show()
         elif a.command == "decompress":
             df = _read(spark, a.input) if a.input.endswith(".qnc") else compress.decode(spark.read.parquet(a.input))
-            (tables.write_safetensors if a.output.endswith(".safetensors") else tables.write_folder)(df, a.output).agg(F.count("*").alias("tensors"), F.sum("nbytes").alias("nbytes")).show()
+            tables.save(df, a.output)
+            tables.meta(df).agg(F.count("*").alias("tensors"), F.sum("nbytes").alias("nbytes")).show()
         elif a.command == "profile":
             df = _read(spark, a.input)
             types = df.filter("chunk = 0").mapInArrow(compress._types, "tensor_name string, tensor_type int")
@@ -68,7 +73,18 @@ def run(argv: list[str], spark: SparkSession | None = None) -> int:
         elif a.command == "delta-compress":
             finetune_codec.compress(_read(spark, a.base), _read(spark, a.tuned), config).write.mode("overwrite").parquet(a.output)
         elif a.command == "delta-restore":
-            tables.write_folder(finetune_codec.restore(_read(spark, a.base), spark.read.parquet(a.input)), a.output).agg(F.count("*").alias("tensors")).show()
+            tables.save(finetune_codec.restore(_read(spark, a.base), spark.read.parquet(a.input)), a.output)
+        elif a.command == "benchmark":
+            df = harness.synthetic(spark) if a.input == "synthetic" else _read(spark, a.input)
+            rows = harness.run(df, config, a.input).persist()
+            reports.aggregates(report_files.complete(rows)).orderBy("level", "tensor_type").show(100, False)
+            reports.reasons(harness.skipped(df)).show()
+            if a.output:
+                report_files.write_rows(rows, a.output)
+        elif a.command == "compare":
+            failures = reports.compare(report_files.read_rows(spark, a.baseline), report_files.read_rows(spark, a.current)).persist()
+            failures.orderBy("benchmark_name", "failure").show(1000, False)
+            return 0 if failures.isEmpty() else 2
         else:
             finetune_codec.manifest(_read(spark, a.base), spark.read.parquet(a.input)).orderBy("tensor_name").show(1000, False)
     except (CodecError, ValueError, FileNotFoundError) as e:

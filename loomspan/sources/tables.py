@@ -146,3 +146,51 @@ def write_safetensors(df: DataFrame, path: str) -> DataFrame:
 def meta(df: DataFrame) -> DataFrame:
     """A row per tensor: name, type, shape, bytes."""
     return df.groupBy("tensor_name").agg(F.first("dtype").alias("dtype"), F.first("shape").alias("shape"), F.sum(F.octet_length("data")).alias("nbytes"))
+
+
+def write_npz(df: DataFrame, path: str) -> int:
+    """One archive of arrays, written by one task as its chunks come, by name: an archive's bytes are in one order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import io
+        import zipfile
+
+        import numpy as np
+
+        store, target = formats.store_of(path)
+        with store.open_output_stream(target, compression=None) as f, zipfile.ZipFile(f, "w", zipfile.ZIP_STORED) as z:
+            member, name, n = None, None, 0
+            for b in batches:
+                for tensor, dtype, shape, data in zip(*(b.column(c).to_pylist() for c in ("tensor_name", "dtype", "shape")), b.column("data")):
+                    if tensor != name:
+                        if member:
+                            member.close()
+                        name, n, member = tensor, n + 1, z.open(f"{tensor}.npy", "w", force_zip64=True)
+                        head = io.BytesIO()
+                        np.lib.format.write_array_header_1_0(head, {"descr": np.dtype(dtype).str, "fortran_order": False, "shape": tuple(shape)})
+                        member.write(head.getvalue())
+                    member.write(data.as_buffer())
+            if member:
+                member.close()
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    return df.repartition(1).sortWithinPartitions("tensor_name", "chunk").mapInArrow(run, "n long").first()[0]
+
+
+def write_npy(df: DataFrame, path: str) -> None:
+    """The only tensor of a table in one array file; more or fewer raise."""
+    names = [r["tensor_name"] for r in df.select("tensor_name").distinct().limit(2).collect()]
+    if len(names) != 1:
+        raise CodecError("an array file holds exactly one tensor")
+    folder, _, name = path.removesuffix(".npy").rpartition("/")
+    write_folder(df.withColumn("tensor_name", F.lit(name)), folder).collect()
+
+
+def save(df: DataFrame, path: str) -> None:
+    """A table of tensors to where the suffix of path says: .npy, .npz, .safetensors (a folder of shards), else a folder of array files."""
+    if path.endswith(".npy"):
+        write_npy(df, path)
+    elif path.endswith(".npz"):
+        write_npz(df, path)
+    else:
+        (write_safetensors if path.endswith(".safetensors") else write_folder)(df, path).collect()
