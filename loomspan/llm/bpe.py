@@ -16,13 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 
-#: Fixed values of the vocabulary's format: what is white space, the pattern of pieces, the mark of a word's last part.
-WHITE = r"\p{White_Space}+"
+#: Fixed values of the vocabulary's format: the pattern of pieces, the mark of a word's last part. What the file says of
+#: runs of white space changes no piece, as no piece holds any.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
 END = "</w>"
 #: Up to so many parts a word is merged by scanning; a longer one through a heap, in n log n.
 SHORT = 256
-#: Words whose ids a worker remembers, and the longest that it does.
+#: Words whose ids a worker remembers, twice over, and the longest that it does.
 REMEMBERED, LONGEST = 100_000, 64
 NONE = 1 << 62
 
@@ -58,10 +58,11 @@ class Bpe:
         letters = byte_letters()
         self.inner, self.last = [vocab[c] for c in letters], [vocab[c + END] for c in letters]
         self.split = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.white, self.pieces, self.unknown = regex.compile(WHITE), regex.compile(PIECES), regex.compile(unassigned())
+        self.pieces, self.unknown = regex.compile(PIECES), regex.compile(unassigned())
         self.beyond = regex.compile(r"[^\x00-\u0377]")  # below that, no character is missing from a table
         self.byte, self.path, self.library = {c: b for b, c in enumerate(letters)}, path, None
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merged(self, piece: str) -> list[int]:
         """The ids of one piece."""
@@ -110,11 +111,13 @@ class Bpe:
         return [x for x in ids if x >= 0]
 
     def _packed(self, piece: str) -> bytes:
-        ids = self.merged(piece)
-        out = struct.pack(f"<{len(ids)}I", *ids)
+        out = self.older.get(piece)
+        if out is None:
+            ids = self.merged(piece)
+            out = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= LONGEST:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
+            if len(self.known) >= REMEMBERED:  # words seen since the last turn stay for another one
+                self.known, self.older = {}, self.known
             self.known[piece] = out
         return out
 
@@ -132,10 +135,9 @@ class Bpe:
                 ids = self._merged(raw)
                 out.append(struct.pack(f"<{len(ids)}I", *ids))
             return
-        text = self.white.sub(" ", unicodedata.normalize("NFC", text))
-        text = text.replace("Σ", "σ").lower()  # letter by letter, so without the form at a word's end
-        known, packed = self.known, self._packed
-        out += [known.get(p) or packed(p) for p in self.pieces.findall(text)]
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # letter by letter, so without the form at a word's end
+        packed = self._packed
+        out += [self.known.get(p) or packed(p) for p in self.pieces.findall(text)]
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers. Special tokens in the text become their ids."""
