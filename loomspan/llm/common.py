@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -24,13 +26,31 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="loomspan-"))
+        own = tempfile.mkdtemp(prefix="loomspan-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        sc.setCheckpointDir(own)
         root = sc.getCheckpointDir()
     return root.rstrip("/")
 
 
+#: Folders made in this process. Results are lazy and may still read them; release() deletes them all.
+_made: list[str] = []
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/loomspan/{label}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/loomspan/{label}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all scratch tables and archives of this process: for when its results have been written."""
+    while _made:
+        _delete(spark, _made.pop())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
@@ -43,11 +63,11 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 
 
 def drop_staged(df: DataFrame) -> None:
-    path, spark = getattr(df, "_staged_path", None), df.sparkSession
+    path = getattr(df, "_staged_path", None)
     if path:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(df.sparkSession, path)
+        if path in _made:
+            _made.remove(path)
 
 
 def spread(spark: SparkSession) -> int:

@@ -114,6 +114,17 @@ def test_components_long_chain(spark):
     assert {r["node"]: r["root"] for r in components(edges).collect()} == {**{i: 0 for i in range(1, n + 1)}, 201: 200}
 
 
+def test_release(spark):
+    import os
+
+    from loomspan.llm.common import release, shared_dir, staged
+
+    df = staged(spark.range(3), "some")
+    assert df.count() == 3
+    release(spark)
+    assert not os.listdir(shared_dir(spark).removeprefix("file:") + "/loomspan")
+
+
 def test_simhash_empty(spark):
     assert simhash.near_duplicates(frame(spark, [])).collect() == []
 
