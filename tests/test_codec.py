@@ -157,6 +157,9 @@ def test_refuses():
     r.meta["value"] = b"\0\0\0\0"
     with pytest.raises(CodecError):
         tensors.decode(r)
+    r.meta = {"k": "const"}
+    with pytest.raises(CodecError, match="another encoder"):
+        tensors.decode(r)
     r.strategy = 4
     with pytest.raises(StrategyError):
         tensors.decode(r)
