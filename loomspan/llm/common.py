@@ -53,10 +53,17 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """df written to the shared folder and read again: its lineage is cut, and lost executors lose nothing."""
+#: Files of a staged table that is known to be small.
+FEW_FILES = 4
+
+
+def staged(df: DataFrame, label: str, small: bool = False) -> DataFrame:
+    """df written to the shared folder and read again: its lineage is cut, and lost executors lose nothing.
+
+    small: of a bounded number of rows, made by an aggregate; then a few tasks write it.
+    """
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    (df.coalesce(FEW_FILES) if small else df).write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_path = path  # noqa: SLF001
     return out

@@ -58,7 +58,7 @@ def score_lines(lines: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPL
     rare = F.lit(1.0) + F.log(F.lit(1.0 + total))
     known = known.join(df, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", rare)).drop("idf", "tf")
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("tid")))
-    known = staged(known.select("tid", "license", "term", (F.col("w") / norm).alias("wt")), "templates")  # a few hundred rows
+    known = staged(known.select("tid", "license", "term", (F.col("w") / norm).alias("wt")), "templates", small=True)  # a few hundred rows
     weighed = t.join(df, "term").select("key", "term", (F.col("tf") * F.col("idf")).alias("w"))
     lengths = weighed.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
     dots = weighed.join(F.broadcast(known), "term").groupBy("key", "tid", "license").agg(F.sum(F.col("w") * F.col("wt")).alias("dot"))
@@ -91,7 +91,7 @@ def scan(docs: DataFrame, least: float = LEAST, file_share: float = FILE_SHARE)
     own = staged(own, "own").withColumnRenamed("row", "_row")
     d = d.drop("lines").join(own, F.col("row") == F.col("_row"), "left")
     files = d.filter("file").groupBy("dir").agg(F.min_by(F.struct("m.license", "m.cosine"), F.struct(-F.col("m.cosine"), F.col("m.license")))["license"].alias("theirs"))
-    files = staged(files, "license_dirs")
+    files = staged(files, "license_dirs", small=True)
     # all directories above, the nearest first, down to the top one, which is empty
     parts = F.split("dir", "/")
     above = F.concat(F.transform(F.sequence(F.size(parts), F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(parts, 1, k), "/")), F.array(F.lit("")))

@@ -83,7 +83,7 @@ def pivotal(units: DataFrame, seed: int = 42, fanout: int = FANOUT) -> DataFrame
     """
     left, done, level = units, None, 0
     while True:
-        n = staged(left.groupBy("g").agg(F.ceil(F.count("*") / fanout).alias("nodes")), "nodes")
+        n = staged(left.groupBy("g").agg(F.ceil(F.count("*") / fanout).alias("nodes")), "nodes", small=True)
         most, groups = n.agg(F.max("nodes"), F.count("*")).first()
         if most is None:
             break
@@ -111,7 +111,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     An empty table gives an empty result. Further columns of docs are left out.
     """
     d = staged(docs.select("doc_id", "source", F.size(words("text")).cast("long").alias("size")), "sizes")
-    t = staged(targets(d, weights, share, most), "targets").withColumnRenamed("source", "_s")
+    t = staged(targets(d, weights, share, most), "targets", small=True).withColumnRenamed("source", "_s")
     each = F.col("target") / F.col("source_size")
     t = t.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(each + 1e-9)).otherwise(0)).withColumn("x", F.when(F.col("source_size") > 0, each - F.col("whole")).otherwise(0.0))
     j = dimension_join(d, t, F.col("source").eqNullSafe(F.col("_s")))

@@ -165,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     """
     known = labels.filter("quality in (0, 1) and doc_id is not null").filter(fold(F.col("doc_id")) != HELD_OUT)
     known = known.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("quality").cast("int").alias("good"))
-    chosen = staged(known.orderBy(F.xxhash64("_id"), "_id").limit(sample), "sample")
+    chosen = staged(known.orderBy(F.xxhash64("_id"), "_id").limit(sample), "sample", small=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

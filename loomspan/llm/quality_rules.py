@@ -129,7 +129,7 @@ def cutoffs(measured: DataFrame, labels: DataFrame, max_false_rejection: float =
     above = [F.count_if(F.expr(f"{RULES[r]} > {c}")).alias(f"{r}_{c}") for r in RULES for c in GRID[r]]
     counted = held.groupBy("stratum").agg(F.count("*").alias("n"), *above)
     tests = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(c).cast("long").alias("cutoff"), F.col(f"{r}_{c}").alias("k")) for r in RULES for c in GRID[r]]))
-    cells = staged(counted.select("stratum", "n", tests.alias("t")).select("stratum", "n", "t.*"), "cells")
+    cells = staged(counted.select("stratum", "n", tests.alias("t")).select("stratum", "n", "t.*"), "cells", small=True)
     m = max(1, cells.count())
     safe = cells.filter(binomial_tail(F.col("k"), F.col("n"), rate) <= error / m)
     return safe.groupBy("stratum", "rule").agg(F.min_by(F.struct("cutoff", "n", "k"), "cutoff").alias("x")).select("stratum", "rule", "x.*")
@@ -143,7 +143,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, **risk: float) -> DataFram
     """
     measured = staged(measures(docs), "measures")
     wide = cutoffs(measured, labels, **risk).groupBy(F.col("stratum").alias("_s")).pivot("rule", list(RULES)).agg(F.min("cutoff"))
-    wide = staged(wide, "cutoffs")
+    wide = staged(wide, "cutoffs", small=True)
     joined = dimension_join(measured, wide, F.col("stratum").eqNullSafe(F.col("_s")))
     rejected = F.lit(False)
     for r, measure in RULES.items():

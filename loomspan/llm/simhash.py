@@ -34,12 +34,12 @@ def fingerprint(text: str, size: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """docs (doc_id, text) to (doc_id, fp long, the 64 bits as a signed number). A null text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.fromiter((fingerprint(t.as_py() or "") for t in b.column(1)), np.uint64, len(b))
+            fp = np.fromiter((fingerprint(t.as_py() or "", size) for t in b.column(1)), np.uint64, len(b))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
@@ -128,7 +128,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame
     """
     hi = F.bit_count(F.shiftrightunsigned("fp", 32)).cast("int")
     lo = F.bit_count(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))).cast("int")
-    kinds = staged(nodes.groupBy(hi.alias("h"), lo.alias("l")).agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles")), "kinds")
+    kinds = staged(nodes.groupBy(hi.alias("h"), lo.alias("l")).agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles")), "kinds", small=True)
     dealt = nodes.withColumns({"h": hi, "l": lo}).join(F.broadcast(kinds), ["h", "l"])
     tiles = dealt.groupBy("h", "l", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int").alias("k")).agg(F.collect_list("fp").alias("fps"), F.collect_list("node").alias("ids"))
     tiles = staged(tiles, "tiles")
@@ -155,7 +155,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame
     return both.mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE) -> DataFrame:
     """docs (doc_id, text): doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable), a row per row.
 
     Texts with equal fingerprints are one node, counted before the shuffle, so copies are never paired. Null and empty
@@ -163,7 +163,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     2**62); a component of such rows only has a null component_id. An empty table gives an empty result; further
     columns are left out.
     """
-    fps = staged(fingerprints(docs), "fingerprints")
+    fps = staged(fingerprints(docs, size), "fingerprints")
     unnamed = F.lit(UNNAMED) + F.pmod("fp", F.lit(UNNAMED >> 1))
     nodes = staged(fps.groupBy("fp").agg(F.coalesce(F.min("doc_id"), unnamed).alias("node")), "nodes")
     roots = components(links(nodes, radius)).withColumnRenamed("node", "_node")

@@ -26,7 +26,7 @@ def anchors(docs: DataFrame, common: float = COMMON) -> list[str]:
     many words there are. The result has at most 1 / common words, so it may come to the driver.
     """
     w = docs.select(F.explode(lowered(F.col("text"))).alias("w")).withColumn("b", F.pmod(F.xxhash64("w"), F.lit(BUCKETS)))
-    counts = staged(w.groupBy("b").agg(F.count("*").alias("n")), "buckets")
+    counts = staged(w.groupBy("b").agg(F.count("*").alias("n")), "buckets", small=True)
     total = counts.agg(F.sum("n")).first()[0] or 0
     full = [r["b"] for r in counts.filter(F.col("n") >= common * total).select("b").collect()]
     rows = w.filter(F.col("b").isin(full)).groupBy("w").count().filter(F.col("count") >= common * total).collect() if full else []
@@ -85,7 +85,7 @@ def with_next(docs: DataFrame, prepare: dict[str, Column]) -> DataFrame:
     heads = docs.select("doc_id", chunk.alias("c")).groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id"))["doc_id"].alias("head"))
     order = W.orderBy("c")
     heads = heads.withColumn("to", F.coalesce(F.lag("c").over(order), F.max("c").over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))))
-    heads = staged(heads.select("head", "to"), "heads")
+    heads = staged(heads.select("head", "to"), "heads", small=True)
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), chunk.alias("chunk"))
     d = dimension_join(d, heads, F.col("doc_id").eqNullSafe(F.col("head")))
     home = F.struct(F.col("chunk").alias("chunk"), F.lit(False).alias("guest"))

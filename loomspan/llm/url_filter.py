@@ -86,7 +86,7 @@ def train(labelled: DataFrame) -> DataFrame:
             # what a kept context has seen, its shorter one has seen as often at least, so that one is kept too
             shorter = longer.select(F.col("c").alias("_c"), F.col("x").alias("_x"), F.col("pa").alias("qa"), F.col("pb").alias("qb"), F.log(F.col("pa") / F.col("pb")).alias("base"))
             here = here.join(shorter, (F.substring("c", 2, ORDER) == F.col("_c")) & (F.col("x") == F.col("_x")))
-        longer = staged(here.select("c", "x", smooth("a", "ca", F.col("qa")).alias("pa"), smooth("b", "cb", F.col("qb")).alias("pb"), "base"), f"order{o}")
+        longer = staged(here.select("c", "x", smooth("a", "ca", F.col("qa")).alias("pa"), smooth("b", "cb", F.col("qb")).alias("pb"), "base"), f"order{o}", small=True)
         gain = longer.select("c", "x", (F.log(F.col("pa") / F.col("pb")) - F.col("base")).alias("gain"))
         out = gain if out is None else out.unionByName(gain)
     return out
@@ -131,7 +131,7 @@ def url_filter(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, fal
     sides = known.agg(F.count_if(F.col("verdict") == "allow"), F.count_if(F.col("verdict") == "block")).first()
     if not (sides[0] and sides[1]):
         return p.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("score"))
-    model = staged(train(known.filter("fold <> 0")), "model")
+    model = staged(train(known.filter("fold <> 0")), "model", small=True)
     held = known.filter("fold = 0 and verdict = 'allow'").select(F.struct("page_id", "s").alias("id"), "s")
     cutoff = calibrate(score(held, model), false_block)
     unknown = p.filter("verdict is null")
