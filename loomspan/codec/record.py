@@ -39,8 +39,7 @@ def dump(value: object) -> bytes:
 
     def plain(v: object) -> object:
         if isinstance(v, np.ndarray):
-            v = np.ascontiguousarray(v)
-            return {"__ndarray__": True, "dtype": v.dtype.str, "shape": list(v.shape), "data": base64.b64encode(v.tobytes()).decode()}
+            return {"__ndarray__": True, "dtype": v.dtype.str, "shape": list(v.shape), "data": base64.b64encode(np.ascontiguousarray(v).tobytes()).decode()}
         if isinstance(v, bytes):
             return {"__bytes__": True, "data": base64.b64encode(v).decode()}
         if isinstance(v, dict):
