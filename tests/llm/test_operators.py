@@ -403,6 +403,47 @@ def test_url_rules(spark):
     assert got[301]["score"] > got[300]["score"] and got[301]["verdict"] == "allow" and got[300]["verdict"] == "block"
 
 
+def test_url_models_against_plain_ones(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "LEAST", 1 / 60)
+    r = random.Random(21)
+    spelt = lambda ends: "^" + "".join(r.choice("abc./") for _ in range(r.randint(3, 14))) + r.choice(ends) + "$"
+    rows = [(spelt(["xx", "y"]), "allow") for _ in range(60)] + [(spelt(["zz", "y"]), "block") for _ in range(40)]
+    order, back = url_filter.ORDER, url_filter.BACK
+    seen, total, places = Counter(), Counter(), Counter()
+    for text, side in rows:
+        for i in range(1, len(text)):
+            for o in range(min(order, i) + 1):
+                seen[side, text[i - o : i], text[i]] += 1
+                total[side, text[i - o : i]] += 1
+                places[o] += 1
+    kept = {c for _, c in total if sum(total[v, c] for v in ("allow", "block")) >= places[len(c)] / 60}
+
+    def chance(side, c, x):
+        shorter = chance(side, c[1:], x) if c else 1 / url_filter.SYMBOLS
+        return (seen[side, c, x] + back * shorter) / (total[side, c] + back)
+
+    def plain(text):
+        out = 0.0
+        for i in range(1, len(text)):
+            found = [text[i - o : i] for o in range(min(order, i) + 1) if text[i - o : i] in kept and any(seen[v, text[i - o : i], text[i]] for v in ("allow", "block"))]
+            if found:
+                out += math.log(chance("allow", found[-1], text[i]) / chance("block", found[-1], text[i]))
+        return out / (len(text) - 1)
+
+    model = url_filter.train(spark.createDataFrame(rows, "s string, verdict string"))
+    texts_ = [spelt(["xx", "zz", "q"]) for _ in range(40)] + ["^$"]
+    got = {x["id"]: x["score"] for x in url_filter.score(spark.createDataFrame([(i, t) for i, t in enumerate(texts_)], "id long, s string"), model).collect()}
+    for i, t in enumerate(texts_):
+        assert got[i] == pytest.approx(plain(t), abs=1e-9), t
+
+
+def test_url_cutoff(spark):
+    scores = spark.createDataFrame([(x / 100,) for x in range(-300, 700)], "score double")
+    cut = url_filter.calibrate(scores, 0.05)
+    assert sum(x / 100 < cut for x in range(-300, 700)) <= 50 and cut == pytest.approx(-2.5, abs=0.02)
+    assert url_filter.calibrate(scores.limit(0)) == 0
+
+
 def test_url_filter_without_labels(spark):
     df = spark.createDataFrame([(1, "a://x.org/")], "page_id long, url string")
     assert [r["verdict"] for r in url_filter.url_filter(df).collect()] == ["allow"]
