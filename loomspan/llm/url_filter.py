@@ -127,7 +127,7 @@ def url_filter(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, fal
     p = pages.select("page_id", host.alias("host"), path.alias("path"))
     p = p.withColumn("m", matched(F.col("host"), F.col("path"), rules)).withColumn("s", _spelt(F.col("host"), F.col("path")))
     p = staged(p.select("page_id", "host", "path", "m.rule", "m.verdict", "s"), "urls")
-    known = p.filter("verdict is not null").withColumn("fold", F.pmod(F.xxhash64("host", "path"), F.lit(5)))
+    known = p.filter("verdict is not null").withColumn("fold", F.conv(F.substring(F.md5(F.concat("host", "path").cast("binary")), 1, 6), 16, 10).cast("long") % 5)
     sides = known.agg(F.count_if(F.col("verdict") == "allow"), F.count_if(F.col("verdict") == "block")).first()
     if not (sides[0] and sides[1]):
         return p.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("score"))
@@ -137,10 +137,51 @@ def url_filter(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, fal
     unknown = p.filter("verdict is null")
     scored = score(unknown.select(F.struct("page_id", "s").alias("id"), "s"), model).select(F.col("id.page_id").alias("_id"), F.col("id.s").alias("_s"), "score")
     judged = unknown.join(scored, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("s") == F.col("_s")), "left")
-    judged = judged.withColumn("verdict", F.when(F.col("score") < cutoff, "block").otherwise("allow"))
+    judged = judged.withColumn("verdict", F.when(F.col("score") < cutoff, "block").otherwise("allow")).withColumn("score", F.round("score", 9))
     cols = ["page_id", "host", "path", "rule", "verdict", "score"]
     return p.filter("verdict is not null").withColumn("score", F.lit(None).cast("double")).select(cols).unionByName(judged.select(cols))
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"))
+
+
+def _sql() -> str:
+    """The same result in DuckDB's SQL."""
+    by_length = sorted(RULES, key=lambda r: -len(r[1]))
+
+    def fits(rule: str) -> str:
+        h, slash, p = rule.partition("/")
+        return f"(host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{slash}{p}')"
+
+    rule = "case " + " ".join(f"when {fits(r)} then '{r}'" for _, r in by_length) + " end"
+    verdict = "case rule " + " ".join(f"when '{r}' then '{v}'" for v, r in by_length) + " end"
+    orders = [f"o0 as (select c, x, (a + {BACK}e0 / {SYMBOLS}) / (ca + {BACK}e0) as pa, (b + {BACK}e0 / {SYMBOLS}) / (cb + {BACK}e0) as pb, 0.0e0 as base from kept where o = 0)"]
+    for o in range(1, ORDER + 1):
+        orders.append(
+            f"o{o} as (select k.c, k.x, (a + {BACK}e0 * q.pa) / (ca + {BACK}e0) as pa, (b + {BACK}e0 * q.pb) / (cb + {BACK}e0) as pb, ln(q.pa / q.pb) as base "
+            f"from kept k join o{o - 1} q on substr(k.c, 2) = q.c and k.x = q.x where k.o = {o})"
+        )
+    model = " union all ".join(f"select c, x, ln(pa / pb) - base as gain from o{o}" for o in range(ORDER + 1))
+    return f"""
+with u as (select page_id, coalesce(url, '') as url from pages),
+p as (select page_id, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{UPPER}', '{LOWER}') as host, regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2) as path from u),
+r as (select *, {rule} as rule from p), v as (select *, {verdict} as verdict,
+  '^' || regexp_replace(regexp_replace(lower(host || path), '[0-9]+', '0', 'g'), '[^a-z0./_%=&:;,+@!()-]', '~', 'g') || '$' as s, cast('0x' || substr(md5(host || path), 1, 6) as bigint) % 5 as fold from r),
+texts as (select page_id, s, verdict, fold from v), i as (select *, unnest(range(2, length(s) + 1)) as i from texts), io as (select *, unnest(range(0, least({ORDER}, i - 1) + 1)) as o from i),
+places as (select page_id, s, verdict, fold, cast(o as int) as o, substr(s, cast(i - o as int), cast(o as int)) as c, substr(s, cast(i as int), 1) as x from io),
+g as (select o, c, x, count_if(verdict = 'allow') as a, count_if(verdict = 'block') as b from places where verdict is not null and fold <> 0 group by all),
+ctx as (select o, c, sum(a) as ca, sum(b) as cb from g group by all), size as (select o, sum(ca + cb) as t from ctx group by o),
+kept as (select g.*, ca, cb from g join ctx using (o, c) join size using (o) where ca + cb >= {LEAST} * t),
+{", ".join(orders)}, model as ({model}),
+score as (select page_id, s, coalesce(sum(gain), 0) / count_if(o = 0) as score from places left join model using (c, x) where verdict is null or verdict = 'allow' and fold = 0 group by page_id, s),
+held as (select distinct page_id, s from texts where verdict = 'allow' and fold = 0),
+bins as (select cast(floor(greatest(-{WIDEST}, least({WIDEST}, score)) * {STEPS}) as bigint) as bin, count(*) as n from held join score using (page_id, s) group by 1),
+cut as (select coalesce(min(bin) / {STEPS}.0e0, 0) as cut from (select bin, sum(n) over (order by bin) > {FALSE_BLOCK} * sum(n) over () as over_ from bins) where over_),
+known as (select count(distinct verdict) = 2 as known from v)
+select page_id, host, path, rule, coalesce(verdict, case when known and score < cut then 'block' else 'allow' end) as verdict, case when verdict is null and known then round(score, 9) end as score
+from v left join score using (page_id, s), cut, known
+"""
+
+
+OP1_SQL = _sql()
