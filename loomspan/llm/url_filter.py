@@ -104,7 +104,9 @@ def score(urls: DataFrame, model: DataFrame) -> DataFrame:
 
 
 def calibrate(accepted: DataFrame, false_block: float = FALSE_BLOCK) -> float:
-    """The highest cutoff under which at most false_block of the accepted scores lie; 0 if there are none.
+    """The highest cutoff under which at most false_block of the accepted scores lie; 0 if that is above or there are none.
+
+    A URL that the accepted model explains better than the other one is never blocked.
 
     Scores are counted in at most 2 * WIDEST * STEPS bins, so that neither the sort nor the running sum grows.
     """
@@ -112,7 +114,7 @@ def calibrate(accepted: DataFrame, false_block: float = FALSE_BLOCK) -> float:
     upto = F.sum("count").over(W.orderBy("bin"))
     total = F.sum("count").over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     first = bins.select("bin", (upto > false_block * total).alias("over")).filter("over").agg(F.min("bin")).first()[0]
-    return 0.0 if first is None else first / STEPS
+    return 0.0 if first is None else min(0.0, first / STEPS)
 
 
 def url_filter(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, false_block: float = FALSE_BLOCK) -> DataFrame:
@@ -177,7 +179,7 @@ kept as (select g.*, ca, cb from g join ctx using (o, c) join size using (o) whe
 score as (select page_id, s, coalesce(sum(gain), 0) / count_if(o = 0) as score from places left join model using (c, x) where verdict is null or verdict = 'allow' and fold = 0 group by page_id, s),
 held as (select distinct page_id, s from texts where verdict = 'allow' and fold = 0),
 bins as (select cast(floor(greatest(-{WIDEST}, least({WIDEST}, score)) * {STEPS}) as bigint) as bin, count(*) as n from held join score using (page_id, s) group by 1),
-cut as (select coalesce(min(bin) / {STEPS}.0e0, 0) as cut from (select bin, sum(n) over (order by bin) > {FALSE_BLOCK} * sum(n) over () as over_ from bins) where over_),
+cut as (select least(0, coalesce(min(bin) / {STEPS}.0e0, 0)) as cut from (select bin, sum(n) over (order by bin) > {FALSE_BLOCK} * sum(n) over () as over_ from bins) where over_),
 known as (select count(distinct verdict) = 2 as known from v)
 select page_id, host, path, rule, coalesce(verdict, case when known and score < cut then 'block' else 'allow' end) as verdict, case when verdict is null and known then round(score, 9) end as score
 from v left join score using (page_id, s), cut, known
