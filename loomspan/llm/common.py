@@ -117,6 +117,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         new = staged(
             small.select(F.col("a").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(),
             "edges",
+            small=before is not None and before[0] <= BROADCAST_ROWS,  # a round makes two edges of one at most
         )
         now = tuple(new.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.col("v").cast("decimal(38,0)"))).first())
         drop_staged(e)
