@@ -68,9 +68,10 @@ def percentiles(cells: DataFrame, keys: list[str], x: str, at: list[float], gath
     """
     sizes = cells.filter(F.col(x).isNotNull()).groupBy(*keys).agg(F.count(x).alias("n"), F.min(x).cast("double").alias("lo"), F.max(x).cast("double").alias("hi"))
     large = sizes.filter(F.col("n") > gathered).persist()
-    named = [F.expr(f"percentile({x}, {p!r}D)").alias(f"p{i}") for i, p in enumerate(at)]
+    # one aggregate for all, as each keeps the counts of all values
+    wanted = F.expr(f"percentile({x}, array({', '.join(f'{p!r}D' for p in at)}))").alias("_p")
     few = cells if large.isEmpty() else cells.join(large.select(*keys), keys, "left_anti")
-    out = few.groupBy(*keys).agg(*named)
+    out = few.groupBy(*keys).agg(wanted).select(*keys, *[F.get("_p", F.lit(i)).alias(f"p{i}") for i in range(len(at))])
     return out if large.isEmpty() else out.unionByName(_narrowed(cells.filter(F.col(x).isNotNull()), large, keys, x, at, gathered))
 
 
