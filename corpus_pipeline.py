@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm import bpe, mixing, quality_crf, repeats, simhash
-from loomspan.llm.common import BROADCAST_ROWS, staged, table
+from loomspan.llm import bpe, mixing, near_copies, quality_crf, repeats
+from loomspan.llm.common import BROADCAST_ROWS, dimension_join, staged, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -17,18 +17,23 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group of near-duplicates; of rows that repeat doc_id and text, one.
+    """The document of the smallest doc_id of each group of near copies: texts that share 0.8 or more of their five-word shingles.
 
-    Rows that share a doc_id with another text go together. A null doc_id is never a copy's, so such rows stay.
+    Rows that share a doc_id with another text are judged on their own text; of rows that repeat a doc_id and the words of a text, one
+    stays. A null doc_id is never a copy's, so such rows stay.
     """
-    found = staged(simhash.near_duplicates(docs), "near")
-    drop = staged(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct(), "dropped")
-    few = drop.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    kept = docs.join(F.broadcast(drop) if few else drop, F.col("doc_id") == F.col("_id"), "left_anti")
-    again = staged(found.filter("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).count().filter("count > 1").select("_id"), "again")
+    roots = staged(near_copies.similar(docs), "roots")
+    keyed = docs.withColumn("_key", near_copies.key(F.col("text")))
+    ids = staged(keyed.filter("doc_id is not null").groupBy(F.col("doc_id").alias("_id"), F.col("_key").alias("_k")).agg(F.count("*").alias("n")), "near")
+    groups = staged(dimension_join(ids, roots, F.col("_k") == F.col("node")).select("_id", "_k", F.coalesce("root", "_k").alias("root")), "groups")
+    first = groups.groupBy("root").agg(F.min(F.struct("_id", "_k")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("root", "first")
+    drop = staged(groups.join(first, "root").filter(F.struct("_id", "_k") != F.col("first")).select("_id", "_k"), "dropped")
+    same = (F.col("doc_id") == F.col("_id")) & (F.col("_key") == F.col("_k"))
+    kept = dimension_join(keyed, drop, same, "left_anti")
+    again = staged(ids.filter("n > 1").select("_id", "_k"), "again")
     if not again.isEmpty():
-        once = kept.join(again, F.col("doc_id") == F.col("_id")).select(COLUMNS).dropDuplicates(["doc_id", "text"])
-        kept = kept.join(again, F.col("doc_id") == F.col("_id"), "left_anti").select(COLUMNS).unionByName(once)
+        once = kept.join(again, same).groupBy("doc_id", "_key").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r")).select("doc_id", "r.*")
+        kept = kept.join(again, same, "left_anti").select(COLUMNS).unionByName(once.select(COLUMNS))
     return kept.select(COLUMNS)
 
 

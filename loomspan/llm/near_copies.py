@@ -1,0 +1,146 @@
+"""Near copies: texts whose sets of word shingles have a Jaccard similarity of at least a given one, found exactly."""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+from itertools import repeat
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import LOWER, UPPER, ascii_lower, components, dimension_join, spread, staged, words
+
+SHINGLE, LEAST, SEED = 5, 0.8, 42
+#: Rows whose shingles come last in the order, and how many shingles may; rows of lists that leave a worker at once.
+COMMON, MOST_COMMON, AT_ONCE = 16, 100_000, 500
+_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
+
+
+def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
+    """The distinct XXH64 of a text's shingles, ascending; a text of fewer words has one of all its words, one without words none."""
+    w = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    if not w:
+        return np.empty(0, np.int64)
+    s = map(b" ".join, zip(*(w[i:] for i in range(size)))) if len(w) >= size else [b" ".join(w)]
+    return np.unique(np.frombuffer(b"".join(map(xxhash.xxh64_digest, s, repeat(SEED))), ">i8").astype(np.int64))
+
+
+def key(text: Column) -> Column:
+    """Equal for texts of equal words; null and empty texts have no words."""
+    return F.xxhash64(F.array_join(words(ascii_lower(F.coalesce(text, F.lit("")))), " "))
+
+
+def _lists(texts: DataFrame, of) -> DataFrame:
+    """texts (key, text) to (key, n, t): how many shingles, and what `of` takes of them; keys that a batch repeats once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, at = np.unique(b.column(0).to_numpy(zero_copy_only=False), return_index=True)
+            for i in range(0, len(keys), AT_ONCE):
+                sets = [shingles(b.column(1)[j].as_py() or "") for j in at[i : i + AT_ONCE].tolist()]
+                took = [of(s) for s in sets]
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in took])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(took).astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + AT_ONCE]), pa.array([len(s) for s in sets], pa.int32()), lists], ["key", "n", "t"])
+
+    return texts.mapInArrow(run, "key long, n int, t array<long>")
+
+
+def _prefix(n: int, least: float) -> int:
+    """Of so many first shingles, in any one order, two sets of that similarity share one."""
+    return n - math.ceil(least * n - 1e-9) + 1 if n else 0
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """rows (t, key, n) whose t more than one key has, each once."""
+
+    def several(t: np.ndarray, k: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        new = np.ones(len(t), bool)
+        new[1:] = (t[1:] != t[:-1]) | (k[1:] != k[:-1])
+        t, k, n = t[new], k[new], n[new]
+        _, counts = np.unique(t, return_counts=True)
+        x = np.repeat(counts > 1, counts)
+        return pa.RecordBatch.from_arrays([pa.array(t[x]), pa.array(k[x]), pa.array(n[x])], ["t", "key", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            if not len(b):
+                continue
+            now = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            now = now if held is None else [np.concatenate(x) for x in zip(held, now)]
+            cut = np.searchsorted(now[0], now[0][-1])  # the last shingle may go on in the next batch
+            if cut:
+                yield several(*(x[:cut] for x in now))
+            held = [x[cut:] for x in now]
+        if held is not None:
+            yield several(*held)
+
+    return rows.repartition(spread(rows.sparkSession), "t").sortWithinPartitions("t", "key").mapInArrow(run, "t long, key long, n int")
+
+
+def _candidates(shared: DataFrame, least: float, roots: DataFrame | None = None) -> DataFrame:
+    """Pairs of keys (u, v) that share a t and whose sizes allow the similarity.
+
+    Without roots each key meets two of those that share its t, so a large group of near copies gives few pairs. With roots
+    (node, root), all pairs that share a t but no root.
+    """
+    star = roots is None
+    if star:
+        buckets = shared.withColumn("root", F.col("key"))
+    else:
+        buckets = shared.join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key"))
+    lists = buckets.groupBy("t").agg(*[F.collect_list(c).alias(c) for c in ("key", "n", "root")], F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("t", "key", "n", "root")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in range(len(b)):
+                k, n, root = (b.column(c)[row].values.to_numpy(zero_copy_only=False) for c in (1, 2, 3))
+                if star:
+                    mixed = (k.view(np.uint64) ^ np.uint64(b.column(0)[row].as_py() % (1 << 64))) * np.uint64(0x9E3779B97F4A7C15)
+                    some = {int(np.argmin(k)), int(np.argmin(mixed))}
+                else:
+                    kinds, of, counts = np.unique(root, return_inverse=True, return_counts=True)
+                    some = np.flatnonzero(of != np.argmax(counts)).tolist()  # pairs within the largest need no comparison
+                for i in some:
+                    x = (root != root[i]) & (np.minimum(n, n[i]) >= least * np.maximum(n, n[i]) - 1e-9)
+                    if x.any():
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(k[x], k[i])), pa.array(np.maximum(k[x], k[i]))], ["u", "v"])
+
+    return lists.repartition(spread(shared.sparkSession)).mapInArrow(run, "u long, v long").distinct()
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """The pairs whose sets of shingles are that similar."""
+    wanted = staged(pairs.select(F.col("u").alias("k")).unionByName(pairs.select(F.col("v").alias("k"))).distinct(), "wanted")
+    few = dimension_join(texts, wanted, F.col("key") == F.col("k"), "left_semi")
+    sets = staged(_lists(few, lambda s: s).dropDuplicates(["key"]).select("key", "t"), "sets")
+    j = pairs.join(sets.select(F.col("key").alias("v"), F.col("t").alias("b")), "v").join(sets.select(F.col("key").alias("u"), F.col("t").alias("a")), "u")
+    both = F.size(F.array_intersect("a", "b"))
+    return j.filter(both / (F.size("a") + F.size("b") - both) >= least).select("u", "v")
+
+
+def similar(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """docs (text) to (node, root): keys of texts joined by pairs of that similarity, with the least key of each group.
+
+    Texts of equal words have one key; keys alone in their group are left out. Two sets that similar share one of their
+    first shingles in any order that holds for all; here common shingles come last and the others go by hash, so a passage that many
+    texts share brings few of them together. What shares a first shingle and isn't yet in one group is compared exactly.
+    """
+    texts = docs.select(key(F.col("text")).alias("key"), "text")
+    counted = _lists(texts, lambda s: s[: 2 * _prefix(len(s), least)]).select(F.explode("t").alias("t")).groupBy("t").count().filter(F.col("count") > COMMON)
+    common = np.array(sorted(r["t"] for r in counted.orderBy(F.desc("count"), "t").limit(MOST_COMMON).collect()), np.int64)
+
+    def first(s: np.ndarray) -> np.ndarray:
+        last = np.isin(s, common)
+        return np.concatenate([s[~last], s[last]])[: _prefix(len(s), least)]
+
+    shared = staged(_shared(_lists(texts, first).select(F.explode("t").alias("t"), "key", "n")), "shared")
+    links = staged(_verified(staged(_candidates(shared, least), "pairs"), texts, least), "links")
+    rest = staged(_candidates(shared, least, components(links)), "pairs")
+    more = staged(_verified(rest, texts, least), "links")
+    return components(links.unionByName(more))

@@ -91,3 +91,38 @@ def test_empty(spark, tmp_path):
 
 def test_words():
     assert words(" a\tb\x0bc ") == ["a", "b", "c"] and quality_crf.GOOD == 0.3 and F is not None
+
+
+def test_near_copies_of_five_words(spark):
+    """Pairs at and just below 0.8 by five words, with a passage in every text, against all pairs."""
+    r = random.Random(31)
+    word = lambda: "".join(r.choice("aeioubcdfg") for _ in range(6))
+    common, rows = [word() for _ in range(30)], []
+    for i in range(40):
+        base = [word() for _ in range(104)]
+        rows += [base + common, base[: r.randint(70, 103)] + common, base[:52] + [word() for _ in range(r.randint(1, 14))] + base[52:] + common]
+        if i % 4 == 0:  # a chain, whose ends aren't alike
+            rows += [base[k:] + [word() for _ in range(k)] + common for k in (12, 24, 36)]
+    rows += [base[:12], base[:11], ["a"], ["A"], ["a", "b"]]
+    text = [" ".join(x) for x in rows] + ["", None]
+
+    def sets(t):
+        w = words((t or "").lower())
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    s = [sets(t) for t in text]
+    like = lambda a, b: len(a & b) / len(a | b) >= 0.8 if a | b else True
+    root = roots(len(s), [(i, j) for i in range(len(s)) for j in range(i) if like(s[i], s[j])])
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(text)], DOCS)
+    kept = {x["doc_id"] for x in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert kept == set(root) and 40 < len(kept) < len(text) - 30
+
+
+def test_repeated_and_null_ids(spark):
+    r = random.Random(32)
+    say = lambda: " ".join("".join(r.choice("aeioubcdfg") for _ in range(6)) for _ in range(60))
+    a, b, c, d = (say() for _ in range(4))
+    rows = [(1, a), (2, a + " more"), (2, b), (2, b.upper()), (3, c), (3, d), (None, a), (None, d)]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], DOCS)
+    kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted(((x["doc_id"], x["text"]) for x in kept), key=str) == sorted([(1, a), (2, min(b, b.upper())), (3, c), (3, d), (None, a), (None, d)], key=str)
