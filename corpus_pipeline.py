@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.llm import bpe, mixing, near_copies, quality_crf, repeats
-from loomspan.llm.common import BROADCAST_ROWS, dimension_join, staged, table
+from loomspan.llm.common import dimension_join, staged, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -44,10 +44,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many copies of each document as the mix takes."""
-    copies = staged(mixing.mix(docs).filter("copies > 0").select(F.col("doc_id").alias("_id"), "copies"), "copies")
-    few = copies.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    taken = docs.join(F.broadcast(copies) if few else copies, F.col("doc_id") == F.col("_id"))
+    """As many copies of each document as the mix takes: rows of one doc_id and source share a decision, a null doc_id has one as well."""
+    copies = mixing.mix(docs, keep=["source"]).filter("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "copies")
+    copies = staged(copies.distinct(), "copies")
+    taken = dimension_join(docs, copies, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")), "inner")
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(COLUMNS)
 
 

@@ -102,13 +102,13 @@ def pivotal(units: DataFrame, seed: int = 42, fanout: int = FANOUT) -> DataFrame
     return units.select("id", F.lit(0).alias("up")).limit(0) if done is None else done
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_COPIES, seed: int = 42) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_COPIES, seed: int = 42, keep: list[str] | None = None) -> DataFrame:
     """docs (doc_id, source, text): doc_id, size, source_size, target, copies and taken = size * copies, a row per document.
 
     Every document of a source has the same expected copies, target / source_size; it gets that many rounded down or up,
     by the pivotal method. A null or empty text has size 0 and gets the copies rounded down. Rows with a repeated doc_id
     and source share one decision.
-    An empty table gives an empty result. Further columns of docs are left out.
+    An empty table gives an empty result. Further columns are left out, as is source but with keep=["source"].
     """
     d = staged(docs.select("doc_id", "source", F.size(words("text")).cast("long").alias("size")), "sizes")
     t = staged(targets(d, weights, share, most), "targets", small=True).withColumnRenamed("source", "_s")
@@ -120,7 +120,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     up = pivotal(units, seed).withColumnRenamed("id", "_id")
     copies = (F.col("whole") + F.coalesce(F.col("up"), F.lit(0))).cast("long")
     out = j.withColumn("_key", key).join(up, F.col("_key") == F.col("_id"), "left").withColumn("copies", copies)
-    return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    return out.select("doc_id", *(keep or []), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

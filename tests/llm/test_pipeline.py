@@ -126,3 +126,13 @@ def test_repeated_and_null_ids(spark):
     docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], DOCS)
     kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
     assert sorted(((x["doc_id"], x["text"]) for x in kept), key=str) == sorted([(1, a), (2, min(b, b.upper())), (3, c), (3, d), (None, a), (None, d)], key=str)
+
+
+def test_copies_of_repeated_and_null_ids(spark):
+    text = [" ".join(f"w{i}" for _ in range(40)) for i in range(40)]
+    rows = [(None if i % 5 == 0 else i // 4, t, "en", [None, "a", "b"][i % 3], len(t)) for i, t in enumerate(text)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = [x["text"] for x in corpus_pipeline.mixed(spark, docs, "").collect()]
+    copies = {(x["doc_id"], x["source"]): x["copies"] for x in mixing.mix(docs, keep=["source"]).collect()}
+    assert {t: got.count(t) for t in text} == {t: copies[i, s] for i, t, _, s, _ in rows}
+    assert max(map(got.count, text)) == 2 and any(i is None and t in got for i, t, *_ in rows)
