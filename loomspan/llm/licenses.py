@@ -28,6 +28,9 @@ TEMPLATES = (
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("proprietary", "All rights reserved. No part may be reproduced without written permission."),
+    ("proprietary", "All rights reserved."),
+    *((name, f"SPDX-License-Identifier: {name}{end}") for name in ("GPL-2.0", "GPL-3.0", "LGPL-3.0") for end in ("", "-only", "-or-later")),
+    *((name, f"SPDX-License-Identifier: {name}") for name in ("Apache-2.0", "BSD-3-Clause", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "MIT", "MPL-2.0")),
 )
 #: A line without any of these stems can't be a notice.
 CUES = r"(?i)licen[cs]|copyright|permission|redistribut|rights reserved|public domain"
@@ -72,7 +75,8 @@ def scan(docs: DataFrame, least: float = LEAST, file_share: float = FILE_SHARE)
     Every line of every text that has a cue is scored; lines that repeat are scored once, counted before the shuffle. how:
     file, if notices make up half of a text (it then licenses its directory); header, if it has a notice; inherited, if the
     nearest directory above that a license file licenses has one (from_dir says which); else null, as is license. Among several
-    notices, and among several license files of a directory, the best cosine wins, then the first name. Null and
+    notices, and among several license files of a directory, the best cosine wins, then the first name; within
+    a text a reservation of rights gives way to any license, as license texts often start with one. Null and
     empty texts have no notice; a null path lies in the top directory. Rows that repeat a doc_id are judged on their own text.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -85,7 +89,7 @@ def scan(docs: DataFrame, least: float = LEAST, file_share: float = FILE_SHARE)
     best = staged(score_lines(kinds, least=least), "matches").withColumnRenamed("key", "_key")
     hit = dimension_join(each, best, F.col("key") == F.col("_key"), "inner")
     own = hit.groupBy("row").agg(
-        F.min_by(F.struct("license", "cosine"), F.struct(-F.col("cosine"), F.col("license"))).alias("m"),
+        F.min_by(F.struct("license", "cosine"), F.struct(F.col("license") == "proprietary", -F.col("cosine"), F.col("license"))).alias("m"),
         (F.sum(F.length("line")) >= file_share * F.first("size")).alias("file"),
     )
     own = staged(own, "own").withColumnRenamed("row", "_row")

@@ -483,6 +483,18 @@ def test_license_scan(spark):
     assert licenses.scan(df.limit(0)).collect() == []
 
 
+
+def test_short_notices(spark):
+    """Each short notice below prose, by the license that it names."""
+    want = {"All rights reserved.": "proprietary", "SPDX-License-Identifier: ISC": None, "no license is named here": None}
+    want |= {f"{lead}SPDX-License-Identifier: {x}": x for lead in ("", "# ", "// ") for x in ("Apache-2.0", "MIT", "BSD-3-Clause", "MPL-2.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0")}
+    want |= {f"SPDX-License-Identifier: {x}{end}": x for x in ("GPL-2.0", "GPL-3.0", "LGPL-3.0") for end in ("", "-only", "-or-later")}
+    want |= {"All rights reserved.\n" + licenses.TEMPLATES[2][1]: "BSD-3-Clause"}
+    rows = [(i, f"d{i}/x", "some words of a text\n" * 20 + t) for i, t in enumerate(want)]
+    got = known(licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")))
+    assert {t: got[i]["license"] for i, t in enumerate(want)} == want
+
+
 # 5
 
 
