@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,20 +13,28 @@ from .common import dimension_join, drop_staged, staged, table, words
 WEIGHTS, SHARE, MOST_COPIES = (3.0, 1.0, 2.0), 1.5, 2
 #: Documents that meet in one node of the reduction tree, on average.
 FANOUT = 256
+#: Rows that a row which stands for many becomes in one task.
+BLOCK = 1000
+
+
+def row_key(*columns: str) -> Column:
+    """128 bits that tell rows apart by these columns; null is a value of its own."""
+    parts = [F.coalesce(F.concat(F.lit("v"), F.md5(F.col(c).cast("string").cast("binary"))), F.lit("n")) for c in columns]
+    return F.md5(F.concat_ws("/", *parts).cast("binary"))
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_COPIES) -> DataFrame:
-    """(source, size) rows to (source, source_size, n, target): one row per source.
+    """(source, size, n: how many rows like it) to (source, source_size, target): one row per source.
 
     Sources in order of code points, null last, take the weights in turn. The targets add up to share times all sizes;
     none is above most times its source's size, and what is cut off goes to the others by weight. That end state is
     target = min(level * weight, most * source_size) for one level, which the sources sorted by the level at which they
     are full give directly. If share > most, every source is full.
     """
-    s = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    s = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     rank = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
     w = F.get(F.array(*[F.lit(float(x)) for x in weights]), (rank % len(weights)).cast("int"))
-    s = s.select("source", "source_size", "n", w.alias("w")).withColumn("full_at", most * F.col("source_size") / F.col("w"))
+    s = s.select("source", "source_size", w.alias("w")).withColumn("full_at", most * F.col("source_size") / F.col("w"))
     order = W.orderBy("full_at", F.col("source").asc_nulls_last())
     before, after = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(0, W.unboundedFollowing)
     everything = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
@@ -32,21 +42,56 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     s = s.withColumn("level", level)
     # the first source that is not yet full at the level of its suffix fixes the level of all that follow
     level = F.coalesce(F.min(F.when(F.col("level") <= F.col("full_at"), F.struct("full_at", "level"))).over(everything)["level"], F.lit(float("inf")))
-    return s.select("source", "source_size", "n", F.least(level * F.col("w"), (most * F.col("source_size")).cast("double")).alias("target"))
+    return s.select("source", "source_size", F.least(level * F.col("w"), (most * F.col("source_size")).cast("double")).alias("target"))
+
+
+_DONE = "array<struct<id: string, up: int>>"
+_LEFT = "struct<size: double, id: string, x: double>"
+_ODDS = 1 << 53
+
 
+def _draw(seed: int, *ids: str) -> str:
+    return f"pmod(xxhash64({', '.join(ids)}, {seed}L), {_ODDS}) / {_ODDS}"
 
-def _fold(rows: str, seed: int) -> Column:
-    """The pivotal method over an array of (size, id, x): struct(rest: the one left over, done: array of (id, up)).
 
-    The document in hand meets the next. Words are moved between the two until one of them is taken or left whole; in
-    which direction is drawn with the odds that keep the expected words of each as they were.
+def _deal_out(rows: str, seed: int) -> Column:
+    """The pivotal method in a leaf of the tree, over an array of (size, id, x) from the largest down, all x equal.
+
+    The document in hand is paired with all that follow, taken as one unit whose fractions move together. Words are moved
+    between the two until one of them is whole; in which direction is drawn with the odds that keep the expected words of
+    both as they were, so that no document's chance changes. A document alone against smaller ones is whole at once, and
+    what is left over in the end is a small one. Gives struct(left: the one left over, done: array of (id, up)).
+    """
+    return F.expr(
+        f"""aggregate({rows}, named_struct('x', {rows}[0].x, 'rest', aggregate({rows}, 0D, (t, r) -> t + r.size), 'all', -1,
+      'left', cast(null as {_LEFT}), 'done', cast(array() as {_DONE})),
+      (a, b) -> transform(array(named_struct('w', a.rest - b.size, 'u', {_draw(seed, 'b.id')},
+          'up', least((1 - a.x) * b.size, a.x * (a.rest - b.size)), 'down', least(a.x * b.size, (1 - a.x) * (a.rest - b.size)))),
+        m -> CASE
+          WHEN a.all >= 0 THEN named_struct('x', a.x, 'rest', m.w, 'all', a.all, 'left', a.left, 'done', concat(a.done, array(named_struct('id', b.id, 'up', a.all))))
+          WHEN m.w <= 0 THEN named_struct('x', a.x, 'rest', 0D, 'all', -1, 'left', named_struct('size', b.size, 'id', b.id, 'x', a.x), 'done', a.done)
+          WHEN m.u * (m.up + m.down) < m.down AND (1 - a.x) * b.size <= a.x * m.w
+            THEN named_struct('x', greatest(0D, a.x - m.up / m.w), 'rest', m.w, 'all', -1, 'left', a.left, 'done', concat(a.done, array(named_struct('id', b.id, 'up', 1))))
+          WHEN m.u * (m.up + m.down) < m.down
+            THEN named_struct('x', a.x, 'rest', m.w, 'all', 0, 'left', named_struct('size', b.size, 'id', b.id, 'x', least(1D, a.x + m.up / b.size)), 'done', a.done)
+          WHEN a.x * b.size <= (1 - a.x) * m.w
+            THEN named_struct('x', least(1D, a.x + m.down / m.w), 'rest', m.w, 'all', -1, 'left', a.left, 'done', concat(a.done, array(named_struct('id', b.id, 'up', 0))))
+          ELSE named_struct('x', a.x, 'rest', m.w, 'all', 1, 'left', named_struct('size', b.size, 'id', b.id, 'x', greatest(0D, a.x - m.down / b.size)), 'done', a.done)
+        END)[0],
+      a -> named_struct('left', a.left, 'done', a.done))"""
+    )
+
+
+def _combine(rows: str, seed: int) -> Column:
+    """The pivotal method over what leaves left over, an array of (size, id, x): struct(left, done) as above.
+
+    The document in hand meets the next. Words are moved between the two until one of them is taken or left whole.
     """
     return F.expr(
         f"""aggregate(slice({rows}, 2, greatest(size({rows}) - 1, 0)),
-      named_struct('size', {rows}[0].size, 'id', {rows}[0].id, 'x', {rows}[0].x, 'done', cast(array() as array<struct<id: bigint, up: int>>)),
+      named_struct('size', {rows}[0].size, 'id', {rows}[0].id, 'x', {rows}[0].x, 'done', cast(array() as {_DONE})),
       (a, b) -> transform(array(named_struct(
-          'up', least((1 - a.x) * a.size, b.x * b.size), 'down', least(a.x * a.size, (1 - b.x) * b.size),
-          'u', pmod(xxhash64(a.id, b.id, {seed}L), 9007199254740992) / 9007199254740992)),
+          'up', least((1 - a.x) * a.size, b.x * b.size), 'down', least(a.x * a.size, (1 - b.x) * b.size), 'u', {_draw(seed, 'a.id', 'b.id')})),
         m -> CASE
           WHEN m.u * (m.up + m.down) < m.down AND (1 - a.x) * a.size <= b.x * b.size
             THEN named_struct('size', b.size, 'id', b.id, 'x', greatest(0D, b.x - m.up / b.size), 'done', concat(a.done, array(named_struct('id', a.id, 'up', 1))))
@@ -55,31 +100,18 @@ def _fold(rows: str, seed: int) -> Column:
           WHEN a.x * a.size <= (1 - b.x) * b.size
             THEN named_struct('size', b.size, 'id', b.id, 'x', least(1D, b.x + m.down / b.size), 'done', concat(a.done, array(named_struct('id', a.id, 'up', 0))))
           ELSE named_struct('size', a.size, 'id', a.id, 'x', greatest(0D, a.x - m.down / a.size), 'done', concat(a.done, array(named_struct('id', b.id, 'up', 1))))
-        END)[0])"""
-    )
-
-
-def _last_fold(rows: str, seed: int) -> Column:
-    """The last node of a group, over (size, id, x) from the largest down: array of (id, up).
-
-    The larger of two documents would stay the fractional one to the end and leave a miss of up to its size. So here the
-    one in hand becomes whole at once and its remainder of words goes over to the next smaller one, whose chance it
-    changes; at the end there is only what the smallest ones could not take.
-    """
-    return F.expr(
-        f"""aggregate(reverse({rows}), named_struct('owed', 0D, 'done', cast(array() as array<struct<id: bigint, up: int>>)),
-      (a, b) -> transform(array(IF(pmod(xxhash64(b.id, {seed}L), 9007199254740992) / 9007199254740992 < (b.x * b.size + a.owed) / b.size, 1, 0)),
-        up -> named_struct('owed', a.owed + b.x * b.size - up * b.size, 'done', concat(a.done, array(named_struct('id', b.id, 'up', up)))))[0],
-      a -> a.done)"""
+        END)[0],
+      a -> named_struct('left', named_struct('size', a.size, 'id', a.id, 'x', a.x), 'done', a.done))"""
     )
 
 
 def pivotal(units: DataFrame, seed: int = 42, fanout: int = FANOUT) -> DataFrame:
-    """units (g, id, size double > 0, x in (0, 1)): whole decisions (id, up 0 or 1) that keep each group's sum of size * x.
+    """units (g, id string, size double > 0, x in (0, 1)): whole decisions (id, up 0 or 1), each with its chance x.
 
-    Units of a group are dealt by hash to nodes of about fanout units; each node is folded to one unit left over, and
-    those meet in the next level, until a group fits in one node. So no node grows with the group, and a hot group only
-    has more nodes. The same ids and seed give the same decisions on any number of partitions. ids are unique.
+    ids are unique, and a group's units share one x. Units of a group are dealt by hash to nodes of about fanout units.
+    Each node leaves one unit over, and those meet in the next level, until a group fits in one node, whose last unit is
+    rounded at random. So a group's sum of size * x is missed by less than that unit's size, no node grows with the group,
+    and a hot group only has more nodes. The same ids and seed give the same decisions on any number of partitions.
     """
     left, done, level = units, None, 0
     while True:
@@ -88,39 +120,66 @@ def pivotal(units: DataFrame, seed: int = 42, fanout: int = FANOUT) -> DataFrame
         if most is None:
             break
         dealt = dimension_join(left, n.withColumnRenamed("g", "_g"), F.col("g") == F.col("_g"), "inner", groups)
-        node = F.pmod(F.xxhash64("id", F.lit(seed + level)), F.col("nodes"))
-        rows = dealt.groupBy("g", node.alias("node"), "nodes").agg(F.sort_array(F.collect_list(F.struct("size", "id", "x"))).alias("rows"))
-        f = F.when(F.col("nodes") > 1, _fold("rows", seed + level))
-        d = F.when(F.col("nodes") == 1, _last_fold("rows", seed + level))
-        folded = staged(rows.select("g", "nodes", f.alias("f"), d.alias("d")), "folded")
-        decided = folded.select(F.explode(F.coalesce("d", "f.done")).alias("d")).select("d.id", "d.up")
+        node = F.pmod(F.xxhash64("id", F.lit(seed + level).cast("long")), F.col("nodes"))
+        rows = dealt.groupBy("g", node.alias("node"), "nodes").agg(F.sort_array(F.collect_list(F.struct("size", "id", "x")), False).alias("rows"))
+        fold = (_combine if level else _deal_out)("rows", seed + level)
+        folded = staged(rows.select("g", "nodes", fold.alias("f")).select("g", "nodes", "f.left", "f.done"), "folded")
+        last = F.struct(F.col("left.id").alias("id"), F.expr(f"IF({_draw(seed - 1, 'left.id')} < left.x, 1, 0)").alias("up"))
+        decided = folded.select(F.explode(F.when(F.col("nodes") > 1, F.col("done")).otherwise(F.concat("done", F.array(last)))).alias("d")).select("d.id", "d.up")
         done = decided if done is None else done.unionByName(decided)
-        left, level = folded.filter("nodes > 1").select("g", "f.id", "f.size", "f.x"), level + 1
+        left, level = folded.filter("nodes > 1").select("g", "left.id", "left.size", "left.x"), level + 1
         drop_staged(n)
         if most <= 1:
             break
     return units.select("id", F.lit(0).alias("up")).limit(0) if done is None else done
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_COPIES, seed: int = 42, keep: list[str] | None = None) -> DataFrame:
+def _each(df: DataFrame, n: str, most: int, number: str) -> DataFrame:
+    """df with n rows for each, numbered from 1; a row that stands for very many is dealt out in blocks."""
+    block = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"({n} - 1) div {BLOCK}")))
+    df = df.filter(F.col(n) > 0).withColumn("_block", block)
+    if most > BLOCK:
+        df = df.repartition(F.xxhash64(*df.columns))
+    return df.withColumn(number, F.explode(F.expr(f"sequence(_block * {BLOCK} + 1, least({n}, _block * {BLOCK} + {BLOCK}))"))).drop("_block")
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_COPIES, seed: int = 42, tell: Iterable[str] | None = None) -> DataFrame:
     """docs (doc_id, source, text): doc_id, size, source_size, target, copies and taken = size * copies, a row per document.
 
     Every document of a source has the same expected copies, target / source_size; it gets that many rounded down or up,
-    by the pivotal method. A null or empty text has size 0 and gets the copies rounded down. Rows with a repeated doc_id
-    and source share one decision.
-    An empty table gives an empty result. Further columns are left out, as is source but with keep=["source"].
+    by the pivotal method. A null or empty text has size 0 and gets the copies rounded down. Each row is a unit of its
+    own, told by doc_id, source and text, and by a number among rows that are equal in these; so null and repeated ids
+    have their own decisions. An empty table gives an empty result. Further columns are left out. With tell, the
+    columns named in it tell rows apart too, and source and key, which is equal for rows equal in all of these, are given.
     """
-    d = staged(docs.select("doc_id", "source", F.size(words("text")).cast("long").alias("size")), "sizes")
+    # n: equal rows are counted before the shuffle; they are told apart by a number only where each is decided
+    key = row_key("doc_id", "source", "text", *(tell or ()))
+    d = docs.select("doc_id", "source", F.size(words("text")).cast("long").alias("size"), key.alias("key"))
+    d = staged(d.groupBy(*d.columns).agg(F.count("*").alias("n")), "sizes")
     t = staged(targets(d, weights, share, most), "targets", small=True).withColumnRenamed("source", "_s")
     each = F.col("target") / F.col("source_size")
     t = t.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(each + 1e-9)).otherwise(0)).withColumn("x", F.when(F.col("source_size") > 0, each - F.col("whole")).otherwise(0.0))
-    j = dimension_join(d, t, F.col("source").eqNullSafe(F.col("_s")))
-    key = F.xxhash64(F.col("doc_id"), F.col("source"))
-    units = j.filter("x > 1e-9 and size > 0").groupBy(F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("")).alias("g"), key.alias("id")).agg(F.max("size").cast("double").alias("size"), F.first("x").alias("x"))
-    up = pivotal(units, seed).withColumnRenamed("id", "_id")
+    j = _each(dimension_join(d, t, F.col("source").eqNullSafe(F.col("_s"))), "n", d.agg(F.max("n")).first()[0] or 0, "number")
+    j = j.withColumn("unit", F.concat_ws("-", "key", "number"))
+    units = j.filter("x > 1e-9 and size > 0").select(F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("")).alias("g"), F.col("unit").alias("id"), F.col("size").cast("double").alias("size"), "x")
+    up = pivotal(units, seed)
     copies = (F.col("whole") + F.coalesce(F.col("up"), F.lit(0))).cast("long")
-    out = j.withColumn("_key", key).join(up, F.col("_key") == F.col("_id"), "left").withColumn("copies", copies)
-    return out.select("doc_id", *(keep or []), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    out = j.join(up, F.col("unit") == F.col("id"), "left").withColumn("copies", copies)
+    also = [] if tell is None else ["source", "key"]
+    return out.select("doc_id", *also, "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """docs, each row as many times as the mix takes it. Rows that are equal in all columns are taken together."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "source")]
+    total = mix(docs, tell=others, **options)
+    total = staged(total.groupBy(F.col("key").alias("_key")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_n")), "copies")
+    own = ["doc_id", "source", "text", *others]
+    rows = dimension_join(docs.withColumn("_k", row_key(*own)), total.filter("_copies > 0"), F.col("_k") == F.col("_key"), "inner")
+    most, again = total.agg(F.max("_copies"), F.max("_n")).first()
+    if (again or 0) > 1:
+        rows = rows.filter("_n = 1").unionByName(rows.filter("_n > 1").dropDuplicates(["_k"]))
+    return _each(rows, "_copies", most or 0, "_number").select(docs.columns)
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -288,16 +288,108 @@ def test_mixing(spark):
         assert abs(taken[s] - target[s]) <= max(20, 0.01 * target[s])
 
 
-def test_pivotal_many_levels(spark):
+def hash64(*parts):
+    """XXH64 over strings (UTF-8) and longs, each seeded by the one before, 42 first; signed."""
+    h = 42
+    for p in parts:
+        h = xxhash.xxh64_intdigest(p.encode() if isinstance(p, str) else p.to_bytes(8, "little"), h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def plain_pivotal(rows, seed, fanout):
+    """rows (size, id, x) of one source with equal x: decisions, by plain loops over the same tree."""
+
+    def draw(seed, *names):
+        return hash64(*names, seed) % (1 << 53) / (1 << 53)
+
+    def leaf(rows, seed):
+        x, rest, done = rows[0][2], sum(r[0] for r in rows), {}
+        for k, (size, name, _) in enumerate(rows):
+            rest -= size
+            if k + 1 == len(rows):
+                return (size, name, x), done
+            up, down = min((1 - x) * size, x * rest), min(x * size, (1 - x) * rest)
+            if draw(seed, name) * (up + down) < down:
+                if (1 - x) * size <= x * rest:
+                    x, done[name] = max(0.0, x - up / rest), 1
+                else:
+                    return (size, name, min(1.0, x + up / size)), done | {r[1]: 0 for r in rows[k + 1 :]}
+            elif x * size <= (1 - x) * rest:
+                x, done[name] = min(1.0, x + down / rest), 0
+            else:
+                return (size, name, max(0.0, x - down / size)), done | {r[1]: 1 for r in rows[k + 1 :]}
+
+    def pairs(rows, seed):
+        a, done = list(rows[0]), {}
+        for b in map(list, rows[1:]):
+            up, down = min((1 - a[2]) * a[0], b[2] * b[0]), min(a[2] * a[0], (1 - b[2]) * b[0])
+            if draw(seed, a[1], b[1]) * (up + down) < down:
+                whole, value, other, change = (a, 1, b, -up) if (1 - a[2]) * a[0] <= b[2] * b[0] else (b, 0, a, up)
+            else:
+                whole, value, other, change = (a, 0, b, down) if a[2] * a[0] <= (1 - b[2]) * b[0] else (b, 1, a, -down)
+            done[whole[1]] = value
+            other[2] = min(1.0, max(0.0, other[2] + change / other[0]))
+            a = other
+        return tuple(a), done
+
+    left, decided, level = list(rows), {}, 0
+    while True:
+        nodes = -(-len(left) // fanout)
+        dealt = {}
+        for r in left:
+            dealt.setdefault(hash64(r[1], seed + level) % nodes, []).append(r)
+        left = []
+        for some in dealt.values():
+            one, done = (pairs if level else leaf)(sorted(some, reverse=True), seed + level)
+            left.append(one)
+            decided |= done
+        if nodes == 1:
+            size, name, x = left[0]
+            return decided | {name: int(draw(seed - 1, name) < x)}
+        level += 1
+
+
+@pytest.mark.parametrize("n, fanout", [(40, 256), (900, 8), (1, 256), (2, 256)])
+def test_pivotal_against_plain_one(spark, n, fanout):
+    r = random.Random(4)
+    data = [("a", f"k{i}", float(int(r.paretovariate(1) * 20)), 0.37) for i in range(n)]
+    got = {x["id"]: x["up"] for x in mixing.pivotal(spark.createDataFrame(data, "g string, id string, size double, x double"), fanout=fanout).collect()}
+    assert got == plain_pivotal([(s, i, x) for _, i, s, x in data], 42, fanout)
+
+
+def test_pivotal_chances():
+    """Over many seeds each of 200 documents is taken as often as its chance says, and every mix comes near its words."""
     r = random.Random(4)
-    data = [("ab"[i % 5 == 0], i, float(r.randint(1, 900)), 0.37 if i % 5 else 0.8) for i in range(4000)]
-    units = spark.createDataFrame(data, "g string, id long, size double, x double")
-    up = {x["id"]: x["up"] for x in mixing.pivotal(units, fanout=8).collect()}
-    assert len(up) == 4000
-    for g in "ab":
-        want, got = (sum(s * (x if k is None else k) for h, i, s, x in data if h == g for k in [up[i] if side else None]) for side in (0, 1))
-        assert abs(want - got) < 900
-    assert 0.33 < sum(up[i] for h, i, s, x in data if x == 0.37) / 3200 < 0.41
+    rows = [(float(min(2000, int(r.paretovariate(1) * 20))), f"k{i}", 0.37) for i in range(200)]
+    total, n = sum(s for s, _, _ in rows), 1500
+    taken = Counter()
+    for seed in range(n):
+        up = plain_pivotal(rows, 1000 + seed * 1000, 256)
+        taken.update(i for i, x in up.items() if x)
+        assert abs(sum(s for s, i, _ in rows if up[i]) - 0.37 * total) <= 40
+    sd = math.sqrt(0.37 * 0.63 / n)
+    assert max(abs(taken[i] / n - 0.37) for _, i, _ in rows) < 4.5 * sd
+
+
+@pytest.mark.parametrize("ids", ["half null", "five"])
+def test_mixing_without_own_ids(spark, ids):
+    r = random.Random(6)
+    rows = [(None if ids == "half null" and i % 2 else i if ids == "half null" else i % 5, " ".join(["w"] * int(r.paretovariate(1.3) * 20)) + f" {i % 1500}", "ab"[i % 3 == 0]) for i in range(3000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(got) == 3000
+    for t in {x["target"] for x in got}:
+        assert abs(sum(x["taken"] for x in got if x["target"] == t) - t) < 0.001 * t
+
+
+def test_mixing_many_equal_rows(spark):
+    df = spark.createDataFrame([(7, "a b c", "s")] * 2500 + [(None, "d", None)] * 3 + [(1, "e f", "t")], "doc_id long, text string, source string").withColumn("n", F.lit(1)).withColumn("key", F.lit("k"))
+    got = mixing.mix(df).collect()
+    assert len(got) == 2504 and abs(sum(x["taken"] for x in got if x["doc_id"] == 7) - next(x["target"] for x in got if x["doc_id"] == 7)) <= 3
+    copies = Counter((r["doc_id"], r["text"], r["n"], r["key"]) for r in mixing.mixed(df).collect())
+    want = Counter()
+    for x in got:
+        want[x["doc_id"]] += x["copies"]
+    assert {k[0]: v for k, v in copies.items()} == {k: v for k, v in want.items() if v}
 
 
 def test_mixing_empty(spark):
