@@ -13,6 +13,8 @@ from .common import dimension_join, drop_staged, staged, table, words
 WEIGHTS, SHARE, MOST_COPIES = (3.0, 1.0, 2.0), 1.5, 2
 #: Documents that meet in one node of the reduction tree, on average.
 FANOUT = 256
+#: A document with more than this part of a node's words is large.
+LARGE = 8
 #: Rows that a row which stands for many becomes in one task.
 BLOCK = 1000
 
@@ -105,33 +107,68 @@ def _combine(rows: str, seed: int) -> Column:
     )
 
 
-def pivotal(units: DataFrame, seed: int = 42, fanout: int = FANOUT) -> DataFrame:
-    """units (g, id string, size double > 0, x in (0, 1)): whole decisions (id, up 0 or 1), each with its chance x.
+def _reduce(units: DataFrame, seed: int, fanout: int, leaves: bool) -> tuple[DataFrame | None, DataFrame | None]:
+    """units (g, id, size, x) through a tree of nodes: the decisions (id, up), and the unit of each group that is left over at its root.
 
-    ids are unique, and a group's units share one x. Units of a group are dealt by hash to nodes of about fanout units.
-    Each node leaves one unit over, and those meet in the next level, until a group fits in one node, whose last unit is
-    rounded at random. So a group's sum of size * x is missed by less than that unit's size, no node grows with the group,
-    and a hot group only has more nodes. The same ids and seed give the same decisions on any number of partitions.
+    leaves: units of a group share one x, and are dealt out; else all levels pair unit with unit.
     """
-    left, done, level = units, None, 0
+    left, done, last, level = units, None, None, 0
     while True:
         n = staged(left.groupBy("g").agg(F.ceil(F.count("*") / fanout).alias("nodes")), "nodes", small=True)
         most, groups = n.agg(F.max("nodes"), F.count("*")).first()
         if most is None:
-            break
+            return done, last
         dealt = dimension_join(left, n.withColumnRenamed("g", "_g"), F.col("g") == F.col("_g"), "inner", groups)
         node = F.pmod(F.xxhash64("id", F.lit(seed + level).cast("long")), F.col("nodes"))
         rows = dealt.groupBy("g", node.alias("node"), "nodes").agg(F.sort_array(F.collect_list(F.struct("size", "id", "x")), False).alias("rows"))
-        fold = (_combine if level else _deal_out)("rows", seed + level)
+        fold = (_deal_out if leaves and level == 0 else _combine)("rows", seed + level)
         folded = staged(rows.select("g", "nodes", fold.alias("f")).select("g", "nodes", "f.left", "f.done"), "folded")
-        last = F.struct(F.col("left.id").alias("id"), F.expr(f"IF({_draw(seed - 1, 'left.id')} < left.x, 1, 0)").alias("up"))
-        decided = folded.select(F.explode(F.when(F.col("nodes") > 1, F.col("done")).otherwise(F.concat("done", F.array(last)))).alias("d")).select("d.id", "d.up")
-        done = decided if done is None else done.unionByName(decided)
-        left, level = folded.filter("nodes > 1").select("g", "left.id", "left.size", "left.x"), level + 1
+        decided = folded.select(F.explode("done").alias("d")).select("d.id", "d.up")
+        rest = folded.select("g", "nodes", "left.id", "left.size", "left.x")
+        root = rest.filter("nodes = 1").drop("nodes")
+        done, last = (decided, root) if done is None else (done.unionByName(decided), last.unionByName(root))
+        left, level = rest.filter("nodes > 1").drop("nodes"), level + 1
         drop_staged(n)
-        if most <= 1:
-            break
-    return units.select("id", F.lit(0).alias("up")).limit(0) if done is None else done
+
+
+def _rounded(last: DataFrame, seed: int) -> DataFrame:
+    return last.select("id", F.expr(f"IF({_draw(seed - 1, 'id')} < x, 1, 0)").alias("up"))
+
+
+def pivotal(units: DataFrame, seed: int = 42, fanout: int = FANOUT) -> DataFrame:
+    """units (g, id string, size double > 0, x in (0, 1)): whole decisions (id, up 0 or 1), each with its chance x.
+
+    ids are unique, and a group's units share one x. Units of a group are dealt by hash to nodes of about fanout units.
+    Each node leaves one unit over, and those meet in the next level, until a group fits in one node, whose last unit is
+    rounded at random. So no node grows with the group, and a hot group only has more nodes. Units with more than a
+    LARGE part of a node's words would be left over themselves, so those go first, through a tree of their own; the
+    one that it leaves over is paired with all small units of the group, whose x moves together. A group's sum of size * x
+    is missed by less than its last unit's size, a small one but where one unit outweighs all others. The same ids and
+    seed give the same decisions on any number of partitions.
+    """
+    words_of = units.groupBy("g").agg(F.count("*").alias("n"), F.sum("size").alias("words")).filter(F.col("n") > fanout)
+    cut = words_of.select(F.col("g").alias("_g"), (F.col("words") / F.ceil(F.col("n") / fanout) / LARGE).alias("cut"))
+    cut = staged(cut, "cuts", small=True)
+    parted = dimension_join(units, cut, F.col("g") == F.col("_g")).withColumn("large", F.coalesce(F.col("size") > F.col("cut"), F.lit(False))).drop("_g", "cut")
+    parted = staged(parted, "units")
+    small, large = (parted.filter(c).drop("large") for c in ("not large", "large"))
+    none = units.select("id", F.lit(0).alias("up")).limit(0)
+    done, last = _reduce(large, seed + 100, fanout, False)
+    if done is None:
+        done = none
+    else:
+        pool = small.groupBy(F.col("g").alias("_g")).agg(F.sum("size").alias("w"), F.first("x").alias("p"))
+        m = last.join(pool, F.col("g") == F.col("_g")).withColumns({"raise": F.expr("least((1 - x) * size, p * w)"), "lower": F.expr("least(x * size, (1 - p) * w)")})
+        m = m.withColumn("up", F.expr(f"{_draw(seed - 2, 'id')} * (raise + lower) < lower"))
+        m = m.withColumn("p2", F.expr("IF(up, IF((1 - x) * size <= p * w, greatest(0D, p - raise / w), 0D), IF(x * size <= (1 - p) * w, least(1D, p + lower / w), 1D))"))
+        m = staged(m.withColumn("x2", F.expr("IF(up, IF((1 - x) * size <= p * w, 1D, least(1D, x + raise / size)), IF(x * size <= (1 - p) * w, 0D, greatest(0D, x - lower / size)))")), "settled", small=True)
+        done = done.unionByName(_rounded(m.select("id", F.col("x2").alias("x")), seed))
+        moved = m.select("_g", "p2")
+        small = dimension_join(small, moved, F.col("g") == F.col("_g")).withColumn("x", F.coalesce("p2", "x")).drop("_g", "p2")
+    open_ = (F.col("x") > 0) & (F.col("x") < 1)
+    done = done.unionByName(small.filter(~open_).select("id", F.col("x").cast("int").alias("up")))
+    more, last = _reduce(small.filter(open_), seed, fanout, True)
+    return done if more is None else done.unionByName(more).unionByName(_rounded(last, seed))
 
 
 def _each(df: DataFrame, n: str, most: int, number: str) -> DataFrame:
