@@ -9,17 +9,18 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import dimension_join, staged, table
 
 #: Length of a repeat, and of the string whose hash chooses the places whose suffixes are sorted.
 LENGTH, GRAM = 200, 80
-#: A tree is built over at most so many distinct contexts; a larger group is counted window by window.
-LARGEST = 50_000
-#: Bytes that a worker hashes at once.
-PIECE = 1 << 19
+#: A tree is built over at most so many distinct contexts; a larger group is split into smaller trees, by so many bytes of
+#: the left end of a repeat at a time.
+LARGEST, STEPS = 1000, (4, 1)
+#: Bytes that a worker hashes at once, and bytes of texts that it unpacks at once.
+PIECE, UNPACKED = 1 << 19, 8 << 20
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -137,24 +138,34 @@ def intervals(shared: list[int], n: int, least: int) -> Iterator[tuple[int, int,
             stack.append((value, first))
 
 
-def repeat_groups(contexts: list[tuple[bytes, bytes]], length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[int, int, list[int]]]:
+def repeat_groups(contexts: list[tuple[bytes, bytes]], length: int = LENGTH, gram: int = GRAM, counts: list[int] | None = None) -> Iterator[tuple[int, int, list[int]]]:
     """Maximal repeats of length bytes or more that contain the place of every context: (bytes before it, bytes from it, occurrences).
 
-    contexts: distinct pairs of the bytes before the place, reversed, and those from it. Suffixes from the place are
-    sorted, and their tree is scanned. The occurrences of a node are tested for how far they extend alike to the left,
-    by the same tree over what stands before them: only a node whose occurrences differ in the byte before is left-diverse,
-    and with it a repeat that can't be longer. A pair of nodes is given with all of its occurrences; those that share
-    more to the right come up at a deeper node instead.
+    contexts: distinct pairs of the bytes before the place, reversed, and those from it; counts: how often each occurs.
+    Suffixes from the place are sorted, and their tree is scanned. The occurrences of a node are tested for how far they
+    extend alike to the left, by the same tree over what stands before them: only a node whose occurrences differ in the
+    byte before is left-diverse, and with it a repeat that can't be longer. A pair of nodes is given with all of its occurrences;
+    those that share more to the right come up at a deeper node instead. A context that occurs more than once is a leaf
+    that repeats as a whole.
     """
     n = len(contexts)
+    for i, times in enumerate(counts or ()):
+        if times > 1 and sum(map(len, contexts[i])) >= length:
+            yield len(contexts[i][0]), len(contexts[i][1]), [i]
+    if n == 2:  # a tree of one inner node
+        a, b = common(contexts[0][0], contexts[1][0]), common(contexts[0][1], contexts[1][1])
+        if a + b >= length and b >= gram:
+            yield a, b, [0, 1]
+        return
     by_right = sorted(range(n), key=lambda i: contexts[i][1])
     right = [contexts[i][1] for i in by_right]
     shared = [0] + [common(right[i - 1], right[i]) for i in range(1, n)]
     left_rank = [0] * n
-    for r, i in enumerate(sorted(range(n), key=lambda i: contexts[by_right[i]][0])):
+    by_left = sorted(range(n), key=lambda i: contexts[by_right[i]][0])
+    for r, i in enumerate(by_left):
         left_rank[i] = r
     for b, first, last in intervals(shared, n, gram):
-        members = sorted(range(first, last + 1), key=left_rank.__getitem__)
+        members = sorted(range(first, last + 1), key=left_rank.__getitem__) if last - first + 1 < n else by_left
         left = [contexts[by_right[i]][0] for i in members]
         both = [0] + [common(left[i - 1], left[i]) for i in range(1, len(left))]
         for a, p, q in intervals(both, len(left), max(0, length - b)):
@@ -163,53 +174,19 @@ def repeat_groups(contexts: list[tuple[bytes, bytes]], length: int = LENGTH, gra
                 yield a, b, [by_right[i] for i in own]
 
 
-def extents(contexts: list[tuple[bytes, bytes]], length: int = LENGTH, gram: int = GRAM) -> list[tuple[int, int]]:
-    """How far what repeats reaches around the place of each context: (bytes before it, bytes from it), zeros for nothing.
+def reaches(contexts: list[tuple[bytes, bytes]], counts: list[int], length: int = LENGTH, gram: int = GRAM) -> list[tuple[int, int]]:
+    """How far the repeats around the place of each context reach: (bytes before it, bytes from it), zeros for none.
 
-    The same tree as in repeat_groups, but at each node only how far each occurrence extends alike to the left with
-    another one, which is the larger of what it shares with its two neighbours in the order of what stands before; that
-    is a range minimum over the order of all. Every repeat here contains the place, so that their union is one span.
+    Every repeat here contains the place, so that the union of those of one context is one span.
     """
-    n = len(contexts)
-    by_right = sorted(range(n), key=lambda i: contexts[i][1])
-    shared = [0] + [common(contexts[by_right[i - 1]][1], contexts[by_right[i]][1]) for i in range(1, n)]
-    by_left = sorted(range(n), key=lambda i: contexts[by_right[i]][0])
-    left = [contexts[by_right[i]][0] for i in by_left]
-    both = [0] + [common(left[i - 1], left[i]) for i in range(1, n)]
-    rank = [0] * n
-    for r, i in enumerate(by_left):
-        rank[i] = r
-    before, after = [0] * n, [0] * n  # by rank
-    if n > 32:
-        levels = [np.array(both)]
-        while 2 << (len(levels) - 1) <= n:
-            step = 1 << (len(levels) - 1)
-            levels.append(np.minimum(levels[-1][:-step], levels[-1][step:]))
-        ranks, most_a, most_b = np.array(rank), np.zeros(n, np.int64), np.zeros(n, np.int64)
-        for b, first, last in intervals(shared, n, gram):
-            r = np.sort(ranks[first : last + 1])
-            span = np.frexp((r[1:] - r[:-1]).astype(float))[1] - 1  # of its power of two
-            near = np.empty(len(span), np.int64)
-            for k in np.unique(span):
-                at = span == k
-                near[at] = np.minimum(levels[k][r[:-1][at] + 1], levels[k][r[1:][at] - (1 << int(k)) + 1])
-            ends = np.maximum(np.concatenate([[0], near]), np.concatenate([near, [0]]))
-            ok = ends + b >= length
-            most_a[r[ok]] = np.maximum(most_a[r[ok]], ends[ok])
-            most_b[r[ok]] = np.maximum(most_b[r[ok]], b)
-        before, after = most_a.tolist(), most_b.tolist()
-    else:
-        for b, first, last in intervals(shared, n, gram):
-            r = sorted(rank[first : last + 1])
-            near = [0, *(min(both[p + 1 : q + 1]) for p, q in zip(r, r[1:])), 0]
-            for x, p, q in zip(r, near, near[1:]):
-                a = max(p, q)
-                if a + b >= length:
-                    before[x], after[x] = max(before[x], a), max(after[x], b)
-    out = [(0, 0)] * n
-    for i in range(n):
-        out[by_right[i]] = (before[rank[i]], after[rank[i]])
-    return out
+    before, after = [0] * len(contexts), [0] * len(contexts)
+    for a, b, members in repeat_groups(contexts, length, gram, counts):
+        for i in members:
+            if a > before[i]:
+                before[i] = a
+            if b > after[i]:
+                after[i] = b
+    return list(zip(before, after))
 
 
 def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -223,147 +200,216 @@ def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(lo, hi) for lo, hi in out]
 
 
-def _keyed(docs: DataFrame, carry: Iterable[str] = ()) -> DataFrame:
-    """Each row by doc_id and a hash of its text, so that rows that repeat a doc_id are texts of their own."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc"), F.hash(text).alias("tk"), text.alias("text"), *[F.col(c).alias(f"carried_{c}") for c in carry])
+def _text_key() -> Column:
+    """128 bits for a text; null is the empty one."""
+    return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+
 
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """docs (text) to (tid, th, n, z): each distinct text once, compressed, with a number, its key and how many rows have it."""
 
-def _places(keyed: DataFrame, length: int, gram: int, located: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
         for b in batches:
-            for row, at, kh, ch in places(b.column(2), length, gram):
-                cols = [pa.array(kh.view(np.int64)), pa.array(ch.view(np.int64))]
-                names = ["kh", "ch"]
-                if located:
-                    cols += [*(b.column(i).take(pa.array(row)) for i in (0, 1)), pa.array(at, pa.int64())]
-                    names += ["doc", "tk", "at"]
-                yield pa.RecordBatch.from_arrays(cols, names)
+            z = [pack(t.as_buffer()) for t in b.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(z, pa.binary())], ["th", "z"])
+
+    packed = docs.select(_text_key().alias("th"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "th binary, z binary")
+    once = packed.groupBy("th").agg(F.count("*").alias("n"), F.first("z").alias("z"))
+    return staged(once.withColumn("tid", F.monotonically_increasing_id()), "texts")
 
-    return keyed.mapInArrow(run, "kh long, ch long" + ", doc long, tk int, at long" * located)
 
+def _unpacked(batch: pa.RecordBatch, z: str) -> Iterator[tuple[int, list[bytes]]]:
+    """The texts of a batch, so many at a time that they stay small: (number of the first, texts)."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    first, size, texts = 0, 0, []
+    for i, x in enumerate(batch.column(z)):
+        texts.append(unpack(x.as_py()))
+        size += len(texts[-1])
+        if size > UNPACKED:
+            yield first, texts
+            first, size, texts = i + 1, 0, []
+    if texts:
+        yield first, texts
 
-def _zipped(keyed: DataFrame) -> DataFrame:
-    """Texts compressed, for a smaller shuffle."""
 
+def _places(texts: DataFrame, length: int, gram: int, located: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1).compress
         for b in batches:
-            z = [pack(t.as_buffer()) for t in b.column(2).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(z, pa.binary()), *b.columns[3:]], ["doc", "tk", "z", *b.schema.names[3:]])
+            for first, some in _unpacked(b, "z"):
+                for row, at, kh, ch in places(pa.array(some, pa.binary()), length, gram):
+                    row = pa.array(row + first)
+                    cols = [pa.array(kh.view(np.int64)), pa.array(ch.view(np.int64)), b.column("n").take(row)]
+                    names = ["kh", "ch", "n"]
+                    if located:
+                        cols += [b.column("tid").take(row), pa.array(at, pa.int64())]
+                        names += ["tid", "at"]
+                    yield pa.RecordBatch.from_arrays(cols, names)
 
-    kinds = dict(keyed.dtypes)
-    return keyed.mapInArrow(run, ", ".join(["doc long, tk int, z binary", *(f"`{c}` {kinds[c]}" for c in keyed.columns[3:])]))
+    return texts.select("tid", "n", "z").mapInArrow(run, "kh long, ch long, n long" + ", tid long, at long" * located)
 
 
-def _with_contexts(keyed: DataFrame, wanted: DataFrame, length: int, gram: int) -> DataFrame:
-    """wanted (kh, ch, doc, tk, at) with the bytes before the place, reversed, and those from it."""
-    by_doc = wanted.groupBy("doc", "tk").agg(F.collect_list(F.struct("kh", "ch", "at")).alias("w"))
-    both = by_doc.join(_zipped(keyed).withColumnsRenamed({"doc": "_d", "tk": "_t"}), F.col("doc").eqNullSafe(F.col("_d")) & (F.col("tk") == F.col("_t"))).select("doc", "tk", "z", "w")
+def _with_contexts(texts: DataFrame, wanted: DataFrame, length: int, gram: int) -> DataFrame:
+    """wanted (kh, ch, n, tid, at) to (g = kh, c = ch, n, l, r): the bytes before the place, reversed, and those from it."""
+    by_text = wanted.groupBy("tid").agg(F.collect_list(F.struct("kh", "ch", "n", "at")).alias("w"))
+    both = by_text.join(texts.select("tid", "z"), "tid").select("z", "w")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for z, w in zip(batch.column(2), batch.column(3)):
+            for z, w in zip(batch.column(0), batch.column(1)):
                 text = unpack(z.as_py())
-                kh, ch, at = (w.values.field(i) for i in range(3))
+                kh, ch, n, at = (w.values.field(i) for i in range(4))
                 left, right = [], []
                 for p in at.to_pylist():
                     left.append(text[max(0, p - (length - gram)) : p][::-1])
                     right.append(text[p : p + length])
-                yield pa.RecordBatch.from_arrays([kh, ch, pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["kh", "ch", "l", "r"])
+                yield pa.RecordBatch.from_arrays([kh, ch, n, pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["g", "c", "n", "l", "r"])
 
-    return both.mapInArrow(run, "kh long, ch long, l binary, r binary")
+    return both.mapInArrow(run, "g long, c long, n long, l binary, r binary")
 
 
-def _tree_spans(contexts: DataFrame, length: int, gram: int) -> DataFrame:
-    """contexts (kh, ch, l, r) to (kh, ch, lo, hi): what repeats within the group of kh, relative to the place.
+def _trees(contexts: DataFrame, length: int, gram: int, groups: bool = False) -> DataFrame:
+    """contexts (g, c, n, l, r), each (g, c) once, to (g, c, lo, hi): how far what repeats within a group g reaches around the place.
 
+    With groups: a row per maximal repeat and occurrence instead, and node, which numbers the repeats of a group.
     Groups come one after another in a sorted stream, so that many small ones share a batch, and one at a time is held.
-    Rows that repeat doc_id and text give a context twice; it counts once here.
     """
 
-    def spans(group: list[tuple[int, bytes, bytes]]) -> Iterator[tuple[int, int, int]]:
-        once = {ch: (left, right) for ch, left, right in group}
-        for ch, (a, b) in zip(once, extents(list(once.values()), length, gram)):
-            if b:
-                yield ch, -a, b
+    def found(group: list[tuple[int, int, bytes, bytes]]) -> Iterator[tuple[int, ...]]:
+        pairs, counts = [(left, right) for _, _, left, right in group], [n for _, n, _, _ in group]
+        if groups:
+            for node, (a, b, members) in enumerate(repeat_groups(pairs, length, gram, counts)):
+                yield from ((group[i][0], -a, b, node) for i in members)
+        else:
+            for (c, *_), (a, b) in zip(group, reaches(pairs, counts, length, gram)):
+                if b:
+                    yield c, -a, b
+
+    names = ["g", "c", "lo", "hi"] + ["node"] * groups
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group, rows = None, [], []
 
         def close() -> None:
-            if len(group) > 1:
-                rows.extend((key, *x) for x in spans(group))
+            rows.extend((key, *x) for x in found(group))
             group.clear()
 
         def out() -> pa.RecordBatch:
-            cols = list(zip(*rows)) or [()] * 4
+            cols = list(zip(*rows)) or [()] * len(names)
             rows.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["kh", "ch", "lo", "hi"])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
 
         for b in batches:
-            for kh, *x in zip(*(c.to_pylist() for c in b.columns)):
-                if kh != key:
+            for g, *x in zip(*(c.to_pylist() for c in b.columns)):
+                if g != key:
                     close()
-                    key = kh
+                    key = g
+                    if len(rows) > 10_000:
+                        yield out()
                 group.append(x)
-            yield out()
         close()
         yield out()
 
-    return contexts.repartition("kh").sortWithinPartitions("kh").mapInArrow(run, "kh long, ch long, lo long, hi long")
+    return contexts.select("g", "c", "n", "l", "r").repartition("g").sortWithinPartitions("g").mapInArrow(run, ", ".join(f"{x} long" for x in names))
+
 
+def _split(contexts: DataFrame, length: int, gram: int, step: int) -> DataFrame:
+    """Large groups' contexts (g, c, n, l, r) to (g, c, n, most, g2, c2): the smaller groups that each goes to, and what it is there.
 
-def _window_spans(contexts: DataFrame, length: int, gram: int) -> DataFrame:
-    """The same for a group too large for one task: each window of each context by a hash of its bytes, counted."""
+    Two contexts share a repeat if they share a bytes to the left and b to the right of the place, a + b >= length. Left
+    ends are dealt into ranges of step bytes, least to most: then a repeat whose left end is in a range shares a prefix of
+    least bytes to the left and length - most to the right, and these two prefixes are its group. There, contexts are cut
+    to most bytes to the left and length - least to the right, beyond which other ranges see to it; those that are equal so
+    are one. So each repeat is found in the groups of its windows' left ends, whatever the size of the group.
+    """
+    ranges = [(i, min(i + step - 1, length - gram)) for i in range(0, length - gram + 1, step)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed = xxhash.xxh3_64_intdigest
         for b in batches:
-            kh, ch, lo, wh = [], [], [], []
-            for k, c, left, right in zip(*(x.to_pylist() for x in b.columns)):
-                whole = left[::-1] + right
-                for s in range(0, len(whole) - length + 1):
-                    kh.append(k)
-                    ch.append(c)
-                    lo.append(s - len(left))
-                    wh.append(xxhash.xxh3_128_digest(whole[s : s + length]))
-            yield pa.RecordBatch.from_arrays([pa.array(kh, pa.int64()), pa.array(ch, pa.int64()), pa.array(lo, pa.int64()), pa.array(wh, pa.binary())], ["kh", "ch", "lo", "wh"])
-
-    w = staged(contexts.dropDuplicates(["kh", "ch"]).select("kh", "ch", "l", "r").mapInArrow(run, "kh long, ch long, lo long, wh binary"), "windows")
-    twice = w.groupBy("kh", "lo", "wh").count().filter("count > 1").drop("count")
-    return w.join(twice, ["kh", "lo", "wh"], "left_semi").select("kh", "ch", "lo", (F.col("lo") + length).alias("hi"))
-
-
-def repeat_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, largest: int = LARGEST) -> DataFrame:
-    """docs (doc_id, text) to (doc, tk, spans): for each text with repeats, spans of bytes (lo, hi), which may overlap.
+            cols: list[list[int]] = [[] for _ in range(6)]
+            for g, c, n, left, right in zip(*(x.to_pylist() for x in b.columns)):
+                for least, most in ranges:
+                    if len(left) < least or len(right) < length - most:
+                        continue
+                    own = b"%d %d " % (g, least)
+                    key = hashed(own + left[:least] + right[: length - most])
+                    kind = hashed(b"%d " % min(most, len(left)) + left[:most] + right[: length - least])
+                    for x, y in zip(cols, (g, c, n, most, key - (1 << 63), kind - (1 << 63))):
+                        x.append(y)
+                if len(cols[0]) > 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], ["g", "c", "n", "most", "g2", "c2"])
+                    cols = [[] for _ in range(6)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], ["g", "c", "n", "most", "g2", "c2"])
+
+    return contexts.select("g", "c", "n", "l", "r").mapInArrow(run, "g long, c long, n long, most long, g2 long, c2 long")
+
+
+def _reaches(contexts: DataFrame, length: int, gram: int, largest: int, steps: tuple[int, ...] = STEPS, large: DataFrame | None = None) -> DataFrame:
+    """contexts (g, c, n, l, r) to (g, c, lo, hi), by trees over groups of at most largest; larger ones are split as often as steps says.
+
+    The last split is by single bytes, where all that is left of a group is one kind, so every tree is bounded. large: the
+    large groups, if they are known.
+    """
+    if large is None:
+        contexts = staged(contexts, "contexts")
+        large = staged(contexts.groupBy("g").count().filter(F.col("count") > largest).select("g"), "large", small=True)
+    if not steps or large.isEmpty():
+        return _trees(contexts, length, gram)
+    big = large.withColumnRenamed("g", "_g")
+    contexts = staged(contexts, "contexts")
+    rows = staged(_split(dimension_join(contexts, big, F.col("g") == F.col("_g"), "left_semi"), length, gram, steps[0]), "split")
+    kinds = rows.groupBy("g2", "c2").agg(F.sum("n").alias("n"), F.first(F.struct("g", "c", "most")).alias("of"))
+    some = rows.groupBy("g2").agg(F.sum("n").alias("all")).filter("all > 1").select(F.col("g2").alias("_g2"))
+    kinds = staged(kinds.join(some, F.col("g2") == F.col("_g2"), "left_semi").select("g2", "c2", "n", "of.*"), "kinds")
+    cut = kinds.join(contexts.select("g", "c", "l", "r"), ["g", "c"]).withColumn("least", F.col("most") - F.col("most") % steps[0])
+    cut = cut.select(F.col("g2").alias("g"), F.col("c2").alias("c"), "n", F.expr("substring(l, 1, int(most))").alias("l"), F.expr(f"substring(r, 1, int({length} - least))").alias("r"))
+    part = _reaches(cut, length, gram, largest, steps[1:]).withColumnsRenamed({"g": "g2", "c": "c2"})
+    back = rows.join(part, ["g2", "c2"]).groupBy("g", "c").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return _trees(dimension_join(contexts, big, F.col("g") == F.col("_g"), "left_anti"), length, gram).unionByName(back)
+
+
+class Repeats:
+    """The places of texts (tid, th, n, z) that can hold a repeat, and the contexts among which trees look for them.
 
     Every window of length bytes chooses places, equal windows the same ones. So windows are equal only where their
     places have the same gram, and only places with a gram found twice are looked at further.
-    1. Places are counted by gram and context, combined before the shuffle: copies are one row, however many there are.
-    2. A context found twice repeats as a whole: its own leaf holds two suffixes.
+    1. Places are counted by gram and context, combined before the shuffle: places alike are one row, however many there are.
+    2. A gram with one context only, found twice, is a tree of one leaf, which repeats as a whole.
     3. Contexts that share a gram and differ are fetched, one of each kind, and their interval tree gives the maximal
-       repeats between them. A group of over largest kinds is counted window by window instead, with the same result.
+       repeats between them.
     """
-    keyed = _keyed(docs)
-    kinds = _places(keyed, length, gram, False).groupBy("kh", "ch").agg(F.count("*").alias("n"))
-    groups = kinds.groupBy("kh").agg(F.count("*").alias("kinds"), F.sum("n").alias("all")).filter("all > 1")
-    groups = staged(groups.select("kh", "kinds"), "grams")
-    at = _places(keyed, length, gram, True).join(groups, "kh")
-    at = staged(at, "places")
-    # any place of a kind will do for its context; the three firsts are of one row
-    kinds = at.groupBy("kh", "ch").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("doc", "tk", "at", "kinds")])
-    kinds = staged(kinds, "kinds")
-    contexts = _with_contexts(keyed, kinds.filter("kinds > 1"), length, gram)
-    large = staged(groups.filter(F.col("kinds") > largest).select("kh"), "large")
-    if large.isEmpty():
-        part = _tree_spans(contexts, length, gram)
-    else:
-        contexts = staged(contexts, "contexts")
-        part = _tree_spans(contexts.join(large, "kh", "left_anti"), length, gram).unionByName(_window_spans(contexts.join(large, "kh", "left_semi"), length, gram))
-    part = part.unionByName(kinds.filter("n > 1").select("kh", "ch", F.lit(gram - length).cast("long").alias("lo"), F.lit(length).cast("long").alias("hi")))
-    found = at.select("kh", "ch", "doc", "tk", "at").join(part, ["kh", "ch"])
-    return found.groupBy("doc", "tk").agg(F.collect_list(F.struct((F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi")).alias("hi"))).alias("spans"))
+
+    def __init__(self, texts: DataFrame, length: int = LENGTH, gram: int = GRAM, largest: int = LARGEST) -> None:
+        self.texts, self.length, self.gram, self.largest = texts, length, gram, largest
+        kinds = _places(texts, length, gram, False).groupBy("kh", "ch").agg(F.sum("n").alias("n"))
+        grams = kinds.groupBy("kh").agg(F.count("*").alias("kinds"), F.sum("n").alias("all")).filter("all > 1")
+        grams = staged(grams.select("kh", "kinds"), "grams")
+        self.at = staged(_places(texts, length, gram, True).join(grams, "kh"), "places")
+        # any place of a kind will do for its context; the firsts are of one row
+        kinds = self.at.groupBy("kh", "ch").agg(F.sum("n").alias("n"), F.first(F.struct("tid", "at", "kinds")).alias("one"))
+        self.kinds = staged(kinds.select("kh", "ch", "n", "one.*"), "kinds")
+        self.contexts = _with_contexts(texts, self.kinds.filter("kinds > 1"), length, gram)
+        self.large = staged(grams.filter(F.col("kinds") > largest).select(F.col("kh").alias("g")), "large", small=True)
+        self.leaves = self.kinds.filter("kinds = 1").select("kh", "ch", F.lit(gram - length).cast("long").alias("lo"), F.lit(length).cast("long").alias("hi"))
+
+    def spans(self) -> DataFrame:
+        """(tid, spans): for each text with repeats, spans of bytes (lo, hi), one a place; they overlap, and a leaf's may go beyond the text."""
+        part = _reaches(self.contexts, self.length, self.gram, self.largest, large=self.large)
+        part = part.withColumnsRenamed({"g": "kh", "c": "ch"}).unionByName(self.leaves)
+        found = self.at.select("kh", "ch", "tid", "at").join(part, ["kh", "ch"])
+        return found.groupBy("tid").agg(F.collect_list(F.struct((F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi")).alias("hi"))).alias("spans"))
+
+    def groups(self) -> DataFrame:
+        """(gram, node, tid, lo, hi): every occurrence of every maximal repeat around a place, as far as its context goes.
+
+        A repeat is told by gram and node. All groups are scanned whole here, large ones too: it is their output that is asked for.
+        """
+        found = _trees(self.contexts, self.length, self.gram, groups=True).withColumnsRenamed({"g": "kh", "c": "ch"})
+        found = found.unionByName(self.leaves.withColumn("node", F.lit(0).cast("long")))
+        found = self.at.select("kh", "ch", "tid", "at").join(found, ["kh", "ch"])
+        return found.select(F.col("kh").alias("gram"), "node", "tid", (F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi")).alias("hi"))
 
 
 def _cut(text: bytes, spans: list[tuple[int, int]], length: int) -> tuple[list[tuple[int, int]], bytes]:
@@ -384,14 +430,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, larg
     named in carry come along.
 
     A byte goes if any string of length bytes over it starts anywhere else too, in this text or another; what repeats is
-    judged on the input. A null text is empty. Rows that repeat a doc_id count as texts of their own, so repeated rows
-    remove each other. Texts shorter than length stay whole. An empty table gives an empty result.
+    judged on the input. A null text is empty. Rows of equal texts, whatever their doc_id, remove each other; each distinct
+    text is worked on once. Texts shorter than length stay whole. An empty table gives an empty result.
     """
-    spans = repeat_spans(docs, length, gram, largest).withColumnsRenamed({"doc": "_d", "tk": "_t"})
-    carry = list(carry)
-    also = [f"carried_{c}" for c in carry]
-    both = _zipped(_keyed(docs, carry)).join(spans, F.col("doc").eqNullSafe(F.col("_d")) & (F.col("tk") == F.col("_t")), "left").select("doc", "z", "spans", *also)
-    kinds = dict(both.dtypes)
+    texts = distinct_texts(docs)
+    both = texts.select("tid", "th", "z").join(Repeats(texts, length, gram, largest).spans(), "tid", "left").select("th", "z", "spans")
     extra = ", text string, spans array<struct<lo: long, hi: long>>" if keep_text else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -409,13 +452,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, larg
                 for x, y in zip(out, new):
                     x.append(y)
             cols = [batch.column(0), *(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.string())]
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+            names = ["th", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             if keep_text:
                 cols, names = [*cols, pa.array(out[4], pa.string()), pa.array(out[5], kind)], [*names, "text", "spans"]
-            yield pa.RecordBatch.from_arrays([*cols, *batch.columns[3:]], [*names, *carry])
+            yield pa.RecordBatch.from_arrays(cols, names)
 
-    extra += "".join(f", `{c}` {kinds[f'carried_{c}']}" for c in carry)
-    return both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + extra)
+    cut = both.mapInArrow(run, "th binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + extra)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("th"), *[F.col(c).alias(f"carried_{c}") for c in carry])
+    return rows.join(cut, "th").drop("th").withColumnsRenamed({f"carried_{c}": c for c in carry})
 
 
 def op10_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

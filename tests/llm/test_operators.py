@@ -436,7 +436,7 @@ def plain_removal(rows, n=200):
     return out
 
 
-@pytest.mark.parametrize("largest", [repeats.LARGEST, 1])
+@pytest.mark.parametrize("largest", [repeats.LARGEST, 3, 1])
 def test_repeats(spark, largest):
     r = random.Random(11)
     a, b = ("".join(r.choice("klmnopqé") for _ in range(260)) for _ in "ab")
@@ -472,8 +472,54 @@ def test_repeat_groups_are_maximal():
                 if a + b >= 6:
                     want.add((a, b, tuple(k for k in range(len(ctx)) if ctx[k][0].startswith(ctx[i][0][:a]) and ctx[k][1].startswith(ctx[i][1][:b]))))
         assert got == want
-        reach = [(max((a for a, _, m in want if i in m), default=0), max((b for _, b, m in want if i in m), default=0)) for i in range(len(ctx))]
-        assert repeats.extents(ctx, 6, 4) == reach
+        counts = [r.choice([1, 1, 1, 2]) for _ in ctx]
+        leaves = {(len(x[0]), len(x[1]), (i,)) for i, x in enumerate(ctx) if counts[i] > 1 and len(x[0]) + len(x[1]) >= 6}
+        reach = [(max((a for a, _, m in want | leaves if i in m), default=0), max((b for _, b, m in want | leaves if i in m), default=0)) for i in range(len(ctx))]
+        assert repeats.reaches(ctx, counts, 6, 4) == reach
+
+
+def test_large_groups_are_split(spark):
+    """One gram with 300 surroundings, of which some repeat around it: split trees against one tree."""
+    r = random.Random(18)
+    word = lambda n, of="ab": bytes(r.choice(of.encode()) for _ in range(n))
+    core, lefts, rights = b"c" * 80, [word(120) for _ in range(5)], [word(120) for _ in range(5)]
+    rows = []
+    for i in range(300):
+        left, right = r.choice(lefts), r.choice(rights)
+        left = left[: r.randint(0, 120)] + word(r.choice([0, 40, 120]), "xyz")
+        right = core + right[: r.randint(0, 120)] + word(r.choice([0, 40, 120]), "xyz")
+        rows.append((7, i, r.choice([1, 1, 1, 2]), left[:120], right[:200]))
+    rows = [x for k, x in enumerate(rows) if (x[3], x[4]) not in {(y[3], y[4]) for y in rows[:k]}]
+    df = spark.createDataFrame([(g, c, n, bytearray(a), bytearray(b)) for g, c, n, a, b in rows], "g long, c long, n long, l binary, r binary")
+    want = {x[1]: (-a, b) for x, (a, b) in zip(rows, repeats.reaches([(x[3], x[4]) for x in rows], [x[2] for x in rows])) if b}
+    assert 20 < len(want) < 290
+    for largest, steps in ((10_000, (4, 1)), (100, (4, 1)), (2, (4, 1)), (2, (7, 1))):
+        got = {x["c"]: (x["lo"], x["hi"]) for x in repeats._reaches(df, 200, 80, largest, steps).collect()}
+        assert got == want, (largest, steps)
+
+
+def test_groups_have_all_occurrences(spark):
+    r = random.Random(19)
+    part = "".join(r.choice("abcd") for _ in range(240))
+    rows = [f"{i} " + "".join(r.choice("efgh") for _ in range(50)) + part + "".join(r.choice("efgh") for _ in range(50)) for i in range(5)]
+    texts_ = repeats.distinct_texts(frame(spark, rows))
+    of = {x["tid"]: repeats.zstandard.ZstdDecompressor().decompress(x["z"]).decode() for x in texts_.collect()}
+    found = {}
+    for x in repeats.Repeats(texts_).groups().collect():
+        found.setdefault((x["gram"], x["node"]), []).append((x["tid"], of[x["tid"]][x["lo"] : x["hi"]]))
+    assert found
+    for members in found.values():
+        assert len({t for _, t in members}) == 1 and len(members[0][1]) >= 200
+        assert sorted(i for i, _ in members) == sorted(i for i, t in of.items() if members[0][1] in t)
+    assert any(len(m) == len(rows) for m in found.values())
+
+
+@pytest.mark.parametrize("n", [1000])
+def test_many_equal_rows_without_ids(spark, n):
+    t = "".join(random.Random(9).choice("abcdefghij") for _ in range(900))
+    rows = [(None, t)] * n + [(None, f"{i} " + "".join(random.Random(i).choice("klmnop") for _ in range(300))) for i in range(30)] + [(4, "x" + t[:250] + "y" * 40)]
+    got = Counter((x["doc_id"], x["n_bytes"], x["n_removed"], x["n_spans"]) for x in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == {(None, 900, 900, 1): n, (None, 302, 0, 0): 10, (None, 303, 0, 0): 20, (4, 291, 250, 1): 1}
 
 
 def test_repeated_rows_remove_each_other(spark):
