@@ -18,7 +18,7 @@ from .common import dimension_join, staged, table
 LENGTH, GRAM = 200, 80
 #: A tree is built over at most so many distinct contexts; a larger group is split into smaller trees, by so many bytes of
 #: the left end of a repeat at a time.
-LARGEST, STEPS = 1000, (4, 1)
+LARGEST, STEPS = 1000, (8, 1)
 #: Bytes that a worker hashes at once, and bytes of texts that it unpacks at once.
 PIECE, UNPACKED = 1 << 19, 8 << 20
 
@@ -272,7 +272,8 @@ def _with_contexts(texts: DataFrame, wanted: DataFrame, length: int, gram: int)
 def _trees(contexts: DataFrame, length: int, gram: int, groups: bool = False) -> DataFrame:
     """contexts (g, c, n, l, r), each (g, c) once, to (g, c, lo, hi): how far what repeats within a group g reaches around the place.
 
-    With groups: a row per maximal repeat and occurrence instead, and node, which numbers the repeats of a group.
+    With groups: a row per maximal repeat and occurrence instead, and node, which numbers the repeats of a group; only
+    repeats of which a window chooses the place, as all of their occurrences have it.
     Groups come one after another in a sorted stream, so that many small ones share a batch, and one at a time is held.
     """
 
@@ -280,7 +281,9 @@ def _trees(contexts: DataFrame, length: int, gram: int, groups: bool = False) ->
         pairs, counts = [(left, right) for _, _, left, right in group], [n for _, n, _, _ in group]
         if groups:
             for node, (a, b, members) in enumerate(repeat_groups(pairs, length, gram, counts)):
-                yield from ((group[i][0], -a, b, node) for i in members)
+                whole = np.frombuffer(pairs[members[0]][0][:a][::-1] + pairs[members[0]][1][:b], np.uint8)
+                if a in _chosen(whole, np.array([len(whole)]), length, gram)[0]:
+                    yield from ((group[i][0], -a, b, node) for i in members)
         else:
             for (c, *_), (a, b) in zip(group, reaches(pairs, counts, length, gram)):
                 if b:
