@@ -1,14 +1,15 @@
 """The pipeline, stage by stage, against plain versions of what each stage keeps."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomspan.llm import bpe, mixing, quality_crf
+from loomspan.llm import bpe, mixing, quality_crf, simhash
 
-from .test_operators import DOCS, plain_fingerprint, plain_removal, roots, words
+from .test_operators import DOCS, plain_removal, roots, words
 
 
 @pytest.fixture(scope="module")
@@ -36,6 +37,15 @@ def folder(spark, tmp_path_factory):
     return str(d)
 
 
+def shingle_set(t):
+    w = words((t or "").lower())
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def alike(a, b):
+    return len(a & b) >= 0.8 * len(a | b)
+
+
 def test_stages(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     kept = None
@@ -52,8 +62,8 @@ def test_stages(spark, folder):
             assert {r["doc_id"] for r in before if r["doc_id"] < 120 and r["text"] not in bad} == {i for i in ids if i < 120}
             assert [r for r in before if r in after] == after
         elif name == "simhash_near_duplicates":
-            f = [plain_fingerprint(r["text"]) for r in before]
-            root = roots(len(f), [(i, j) for i in range(len(f)) for j in range(i) if (f[i] ^ f[j]).bit_count() <= 3])
+            s = [shingle_set(r["text"]) for r in before]
+            root = roots(len(s), [(i, j) for i in range(len(s)) for j in range(i) if alike(s[i], s[j])])
             least = {}
             for i, r in enumerate(before):
                 least[root[i]] = min(r["doc_id"], least.get(root[i], 1 << 60))
@@ -67,7 +77,9 @@ def test_stages(spark, folder):
             for r in after:
                 assert r["n_chars"] == len(r["text"]) and len(r["text"].encode()) == len((next(b["text"] for b in before if b["doc_id"] == r["doc_id"]) or "").encode()) - want[r["doc_id"]]
         elif name == "mixing":
-            copies = {r["doc_id"]: r["copies"] for r in mixing.mix(spark.createDataFrame(before, DOCS)).collect()}
+            copies = Counter()
+            for r in mixing.mix(spark.createDataFrame(before, DOCS), tell=["lang", "n_chars"]).collect():
+                copies[r["doc_id"]] += r["copies"]
             assert {i: ids.count(i) for i in copies if copies[i]} == {i: n for i, n in copies.items() if n}
             assert max(copies.values()) == 2 and min(copies.values()) >= 0
             kept = after
@@ -106,13 +118,8 @@ def test_near_copies_of_five_words(spark):
     rows += [base[:12], base[:11], ["a"], ["A"], ["a", "b"]]
     text = [" ".join(x) for x in rows] + ["", None]
 
-    def sets(t):
-        w = words((t or "").lower())
-        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
-
-    s = [sets(t) for t in text]
-    like = lambda a, b: len(a & b) / len(a | b) >= 0.8 if a | b else True
-    root = roots(len(s), [(i, j) for i in range(len(s)) for j in range(i) if like(s[i], s[j])])
+    s = [shingle_set(t) for t in text]
+    root = roots(len(s), [(i, j) for i in range(len(s)) for j in range(i) if alike(s[i], s[j])])
     docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(text)], DOCS)
     kept = {x["doc_id"] for x in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
     assert kept == set(root) and 40 < len(kept) < len(text) - 30
@@ -128,11 +135,30 @@ def test_repeated_and_null_ids(spark):
     assert sorted(((x["doc_id"], x["text"]) for x in kept), key=str) == sorted([(1, a), (2, min(b, b.upper())), (3, c), (3, d), (None, a), (None, d)], key=str)
 
 
+def test_near_copies_in_many_tiles(spark):
+    """A large group whose members share 0.9 with their origin but less with each other, in small tiles."""
+    r = random.Random(33)
+    word = lambda: "".join(r.choice("aeioubcdfg") for _ in range(6))
+    base = [[word() for _ in range(120)] for _ in range(3)]
+    rows = [" ".join(w if r.random() > 0.015 else word() for w in base[i % 3]) for i in range(150)]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(rows)], DOCS)
+    s = [shingle_set(t) for t in rows]
+    root = roots(len(s), [(i, j) for i in range(len(s)) for j in range(i) if alike(s[i], s[j])])
+    for tile in (10, 1 << 15):
+        got = {bytes(x["key"]): x["root"] for x in simhash.near_copies(docs, tile=tile).collect()}
+        keyed = {x["doc_id"]: bytes(x["_key"]) for x in simhash.with_words_key(docs).collect()}
+        mine = [got.get(keyed[i], f"own {i}") for i in range(len(rows))]
+        assert len(set(zip(root, mine))) == len(set(root)) == len(set(mine)) < 100
+
+
 def test_copies_of_repeated_and_null_ids(spark):
     text = [" ".join(f"w{i}" for _ in range(40)) for i in range(40)]
     rows = [(None if i % 5 == 0 else i // 4, t, "en", [None, "a", "b"][i % 3], len(t)) for i, t in enumerate(text)]
     docs = spark.createDataFrame(rows, DOCS)
-    got = [x["text"] for x in corpus_pipeline.mixed(spark, docs, "").collect()]
-    copies = {(x["doc_id"], x["source"]): x["copies"] for x in mixing.mix(docs, keep=["source"]).collect()}
-    assert {t: got.count(t) for t in text} == {t: copies[i, s] for i, t, _, s, _ in rows}
-    assert max(map(got.count, text)) == 2 and any(i is None and t in got for i, t, *_ in rows)
+    got = Counter(x["text"] for x in corpus_pipeline.mixed(spark, docs, "").collect())
+    assert max(got.values()) == 2 and any(i is None and t in got for i, t, *_ in rows)
+    target = {x["target"]: 0 for x in mixing.mix(docs).collect()}
+    by_source = Counter()
+    for _, t, _, source, _ in rows:
+        by_source[source] += 40 * got[t]
+    assert all(min(abs(n - t) for t in target) <= 40 for n in by_source.values())
