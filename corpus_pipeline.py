@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm import bpe, mixing, near_copies, quality_crf, repeats
+from loomspan.llm import bpe, mixing, quality_crf, repeats, simhash
 from loomspan.llm.common import dimension_join, staged, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -22,10 +22,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows that share a doc_id with another text are judged on their own text; of rows that repeat a doc_id and the words of a text, one
     stays. A null doc_id is never a copy's, so such rows stay.
     """
-    roots = staged(near_copies.similar(docs), "roots")
-    keyed = docs.withColumn("_key", near_copies.key(F.col("text")))
-    ids = staged(keyed.filter("doc_id is not null").groupBy(F.col("doc_id").alias("_id"), F.col("_key").alias("_k")).agg(F.count("*").alias("n")), "near")
-    groups = staged(dimension_join(ids, roots, F.col("_k") == F.col("node")).select("_id", "_k", F.coalesce("root", "_k").alias("root")), "groups")
+    docs = docs.select(COLUMNS)
+    roots = staged(simhash.near_copies(docs).select(F.col("key").alias("_copy"), "root"), "roots")
+    keyed = simhash.with_words_key(docs)
+    ids = keyed.filter("doc_id is not null").groupBy(F.col("doc_id").alias("_id"), F.col("_key").alias("_k")).agg(F.count("*").alias("n"))
+    ids = staged(ids, "ids")
+    # texts of equal words are a group even if no other text is like them
+    group = F.coalesce(F.col("root").cast("string").cast("binary"), F.col("_k"))
+    groups = staged(dimension_join(ids, roots, F.col("_k") == F.col("_copy")).select("_id", "_k", group.alias("root")), "groups")
     first = groups.groupBy("root").agg(F.min(F.struct("_id", "_k")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("root", "first")
     drop = staged(groups.join(first, "root").filter(F.struct("_id", "_k") != F.col("first")).select("_id", "_k"), "dropped")
     same = (F.col("doc_id") == F.col("_id")) & (F.col("_key") == F.col("_k"))
@@ -44,11 +48,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many copies of each document as the mix takes: rows of one doc_id and source share a decision, a null doc_id has one as well."""
-    copies = mixing.mix(docs, keep=["source"]).filter("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "copies")
-    copies = staged(copies.distinct(), "copies")
-    taken = dimension_join(docs, copies, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")), "inner")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(COLUMNS)
+    """As many copies of each document as the mix takes; each row is a unit of its own."""
+    return mixing.mixed(docs.select(COLUMNS))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
