@@ -23,6 +23,8 @@ TILE, AT_ONCE, HELD = 32_768, 1 << 18, 400_000
 #: may differ, of the first 64 and of all 128. At that share one expects 9.7 and 19.4, with deviations of 2.9 and 4.1; of 2,355
 #: pairs of texts with it (measured), none differs in more than 17 of the first.
 COPY_SHINGLE, COPY_LEAST, COPY_RADIUS, COPY_RADIUS_128 = 5, 0.8, 17, 30
+#: Texts of candidates in a tile.
+COPY_TILE = 2048
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
@@ -173,11 +175,11 @@ def _meet(tiles: DataFrame, kinds: DataFrame, steps: Steps, carry: list[str]) ->
     right = tiles.select(F.col("h").alias("h3"), F.col("l").alias("l3"), F.col("k").alias("k3"), *[F.col(c).alias(f"b_{c}") for c in carry])
     both = left.join(right.hint("shuffle_hash"), (F.col("h2") == F.col("h3")) & (F.col("l2") == F.col("l3")) & (F.col("k2") == F.col("k3")))
     names = [f"{side}_{c}" for side in "ab" for c in carry]
-    return both.select(*names, ((F.col("h") == F.col("h3")) & (F.col("l") == F.col("l3")) & (F.col("k") == F.col("k3"))).alias("same")).repartition(spread(tiles.sparkSession))
+    return both.select(*names).repartition(spread(tiles.sparkSession))
 
 
 def _row(batch: pa.RecordBatch, row: int) -> list[np.ndarray]:
-    return [c[row].values.to_numpy(zero_copy_only=False) for c in batch.columns[:-1]]
+    return [c[row].values.to_numpy(zero_copy_only=False) for c in batch.columns]
 
 
 def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
@@ -263,108 +265,116 @@ def _copy_texts(docs: DataFrame, size: int) -> DataFrame:
     return staged(once.select("key", "x.*").withColumn("node", F.monotonically_increasing_id()), "texts")
 
 
-def _candidates(nodes: DataFrame, radius: int, radius_128: int, least: float, tile: int, seed: int | None) -> DataFrame:
-    """nodes (node, fp, fp2, n, root) to pairs (u, v) within both radii, of sizes that allow the similarity and of different roots.
+def _candidates(nodes: DataFrame, radius: int, radius_128: int, least: float, tile: int) -> DataFrame:
+    """nodes (node, fp, fp2, n) to (u, v): links that connect just what is linked by pairs within both radii, of sizes that allow the similarity.
 
-    Tiles are kinds of size (a step apart: sizes that allow the similarity) by bands of population counts; tile pairs whose counts differ
-    by more than radius are skipped. With a seed, each node gives two of its pairs in a pair of tiles only: the
-    nearest, and one by hash; so a large group of near copies gives few pairs, which join most of it. Without, all of them.
+    Tiles are kinds of size (a step apart: sizes that allow the similarity) by bands of population counts; tile pairs
+    whose counts differ by more than radius are skipped. A task gives back a spanning forest.
     """
     band = max(1, radius // 3)
     reach = (radius + band - 1) // band  # counts of bands further apart differ by more than radius
     kind = (F.floor(F.log("n") / -math.log(least) + 1e-9).cast("int"), F.floor(F.bit_count("fp") / band).cast("int"))
     steps = [(0, y) for y in range(reach + 1)] + [(1, y) for y in range(-reach, reach + 1)]
-    carry = ["fp", "fp2", "node", "n", "root"]
+    carry = ["fp", "fp2", "node", "n"]
     both = _meet(*_tiles(nodes, kind, tile, carry), steps, carry)
 
-    def chosen(i: np.ndarray, j: np.ndarray, d: np.ndarray, ia: np.ndarray, ib: np.ndarray) -> np.ndarray:
-        mixed = (ib[j].view(np.uint64) ^ np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
-        keep = []
-        for order in (np.lexsort((d, i)), np.lexsort((mixed, i))):
-            first = np.ones(len(i), bool)
-            first[1:] = i[order][1:] != i[order][:-1]
-            keep.append(order[first])
-        return np.unique(np.concatenate(keep))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Forest()
         for batch in batches:
             for row in range(len(batch)):
-                fa, ga, ia, na, ra, fb, gb, ib, nb, rb = _row(batch, row)
-                same = batch.column("same")[row].as_py()
-                got: list[np.ndarray] = []
+                fa, ga, ia, na, fb, gb, ib, nb = _row(batch, row)
                 for i, j in _pairs(fa.view(np.uint64), fb.view(np.uint64), radius):
-                    ok = (ra[i] != rb[j]) & (np.minimum(na[i], nb[j]) >= least * np.maximum(na[i], nb[j]) - 1e-9)
-                    if same:
-                        ok &= ia[i] < ib[j] if seed is None else ia[i] != ib[j]
-                    i, j = i[ok], j[ok]
-                    d = np.bitwise_count((fa[i] ^ fb[j]).view(np.uint64)).astype(np.int16) + np.bitwise_count((ga[i] ^ gb[j]).view(np.uint64))
-                    ok = d <= radius_128
-                    i, j, d = i[ok], j[ok], d[ok]
-                    if not len(i):
-                        continue
-                    if seed is not None:
-                        some = chosen(i, j, d, ia, ib)
-                        if not same:
-                            some = np.union1d(some, chosen(j, i, d, ib, ia))
-                        i, j = i[some], j[some]
-                    got.append(np.stack([np.minimum(ia[i], ib[j]), np.maximum(ia[i], ib[j])]))
-                    if sum(x.shape[1] for x in got) > HELD:
-                        yield _pair_batch(got)
-                if got:
-                    yield _pair_batch(got)
-
-    return both.mapInArrow(run, "u long, v long").distinct()
-
-
-def _pair_batch(got: list[np.ndarray]) -> pa.RecordBatch:
-    x = np.unique(np.concatenate(got, 1), axis=1)
-    got.clear()
-    return pa.RecordBatch.from_arrays([pa.array(x[0]), pa.array(x[1])], ["u", "v"])
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
-    """The pairs (u, v) of nodes whose sets of shingles have a Jaccard similarity of least or more."""
-    j = pairs.join(texts.select(F.col("node").alias("v"), F.col("z").alias("b")), "v").join(texts.select(F.col("node").alias("u"), F.col("z").alias("a")), "u")
+                    near = _allowed(fa[i], ga[i], na[i], fb[j], gb[j], nb[j], radius_128, least)
+                    found.add(ia[i][near], ib[j][near])
+        u, v = found.thin()
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    return both.mapInArrow(run, "u long, v long")
+
+
+def _allowed(fa, ga, na, fb, gb, nb, radius_128: int, least: float) -> np.ndarray:
+    d = np.bitwise_count((fa ^ fb).view(np.uint64)).astype(np.int16) + np.bitwise_count((ga ^ gb).view(np.uint64))
+    return (d <= radius_128) & (np.minimum(na, nb) >= least * np.maximum(na, nb) - 1e-9)
+
+
+def joined(sets: list[np.ndarray], fp: np.ndarray, fp2: np.ndarray, sides: tuple[np.ndarray, np.ndarray], radius: int, radius_128: int, least: float) -> np.ndarray:
+    """For each text (its shingles, ascending, and fingerprints) the first one of its group: groups are joined by pairs of similar texts, one of each side.
+
+    Every pair within the radii is compared, but for those already in one group. What a text shares with all of its
+    partners is counted at once.
+    """
+    n = np.array([len(x) for x in sets])
+    ends = np.cumsum(n)
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    ids = np.split(ids, ends[:-1])
+    group, mark = np.arange(len(sets)), np.zeros(int(ends[-1]), bool)
+    left, right = sides
+    for i in left.tolist():
+        j = right[group[right] != group[i]]
+        j = j[np.bitwise_count((fp[j] ^ fp[i]).view(np.uint64)) <= radius]
+        j = j[_allowed(fp[j], fp2[j], n[j], fp[i], fp2[i], n[i], radius_128, least)]
+        if not len(j):
+            continue
+        mark[ids[i]] = True
+        both = np.add.reduceat(mark[np.concatenate([ids[k] for k in j.tolist()])].astype(np.int64), np.cumsum(n[j]) - n[j])
+        mark[ids[i]] = False
+        alike = group[j[both >= least * (n[j] + n[i] - both) - 1e-9]]
+        if len(alike):
+            alike = np.unique(np.append(alike, group[i]))
+            group[np.isin(group, alike)] = alike[0]
+    return group
+
+
+def _verified(members: DataFrame, radius: int, radius_128: int, least: float, size: int, tile: int) -> DataFrame:
+    """members (cluster, node, fp, fp2, z) to (u, v): links that connect just what similar texts of a cluster connect.
+
+    Only texts of one cluster of candidates can be linked. A cluster of more than tile texts is dealt to tiles, each pair
+    of which is a task's worth; so no task holds more than two tiles of texts, and what comes back grows with the texts, not with their pairs.
+    """
+    large = members.groupBy(F.col("cluster").alias("_c")).agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles")).filter("tiles > 1")
+    dealt = dimension_join(members, staged(large, "large", small=True), F.col("cluster") == F.col("_c")).withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    dealt = dealt.withColumn("k", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = dealt.select("cluster", F.least("k", "x").alias("ka"), F.greatest("k", "x").alias("kb"), "k", "node", "fp", "fp2", "z")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
-        held: dict[bytes, np.ndarray] = {}
-
-        def of(z: pa.Scalar) -> np.ndarray:
-            x = z.as_py()
-            if x not in held:
-                if len(held) > 64:
-                    held.clear()
-                held[x] = np.unique(shingles(unpack(x).split(), size))
-            return held[x]
+        key, group = None, []
+
+        def links() -> Iterator[pa.RecordBatch]:
+            if len(group) > 1:
+                k, node, fp, fp2, z = zip(*group)
+                nodes, k = np.array(node), np.array(k)
+                sets = [np.unique(shingles(unpack(x).split(), size)) for x in z]
+                first = joined(sets, np.array(fp), np.array(fp2), tuple(np.flatnonzero(k == side) for side in key[1:]), radius, radius_128, least)
+                far = first != np.arange(len(first))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(nodes[first[far]])], ["u", "v"])
+            group.clear()
 
-        for batch in batches:
-            ok = []
-            for za, zb in zip(batch.column(2), batch.column(3)):
-                a, b = of(za), of(zb)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                ok.append(both >= least * (len(a) + len(b) - both) - 1e-9)
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], ["u", "v"])
+        for b in batches:
+            for *of, k, node, fp, fp2, z in zip(*(c.to_pylist() for c in b.columns)):
+                if of != key:
+                    yield from links()
+                    key = of
+                group.append((k, node, fp, fp2, z))
+        yield from links()
 
-    return j.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    keys = ["cluster", "ka", "kb"]
+    return dealt.repartition(spread(members.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(run, "u long, v long")
 
 
-def near_copies(docs: DataFrame, radius: int = COPY_RADIUS, radius_128: int = COPY_RADIUS_128, size: int = COPY_SHINGLE, least: float = COPY_LEAST, tile: int = TILE) -> DataFrame:
+def near_copies(docs: DataFrame, radius: int = COPY_RADIUS, radius_128: int = COPY_RADIUS_128, size: int = COPY_SHINGLE, least: float = COPY_LEAST, tile: int = TILE, verify: int = COPY_TILE) -> DataFrame:
     """docs (text) to (key, root): for texts that are linked to others, the key of with_words_key and a number of their group.
 
     Texts of equal words are one node. Two are linked if they share least of their shingles of size words (Jaccard, exact)
-    and their fingerprints differ in radius bits at most, radius_128 with the second ones. First each node is compared with a few, twice, which joins large
-    groups without looking at all of their pairs; then every pair within radius that isn't yet in one group. Null and empty
-    texts have no shingles and are one key. An empty table gives an empty result.
+    and their fingerprints differ in radius bits at most, radius_128 with the second ones. Tiles of fingerprints give
+    clusters of candidates, within which texts are compared. Null and empty texts have no shingles and are one key. An empty
+    table gives an empty result.
     """
     texts = _copy_texts(docs, size)
     nodes = texts.filter("n > 0").select("node", "fp", "fp2", "n")
-    links, roots = None, None
-    for seed in (1, 2, None):
-        rooted = nodes.withColumn("root", F.col("node")) if roots is None else dimension_join(nodes, roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n")).select("node", "fp", "fp2", "n", F.coalesce("root", "node").alias("root"))
-        found = staged(_verified(staged(_candidates(rooted, radius, radius_128, least, tile, seed), "pairs"), texts, size, least), "links")
-        links = found if links is None else links.unionByName(found)
-        roots = components(links)
+    clusters = _members(components(_candidates(nodes, radius, radius_128, least, tile))).select(F.col("node").alias("_node"), F.col("root").alias("cluster"))
+    members = dimension_join(texts, staged(clusters, "clusters"), F.col("node") == F.col("_node"), "inner").select("cluster", "node", "fp", "fp2", "z")
+    roots = components(_verified(members, radius, radius_128, least, size, verify))
     return texts.select("key", "node").join(_members(roots), "node").select("key", "root")
 
 

@@ -145,7 +145,7 @@ def test_near_copies_in_many_tiles(spark):
     s = [shingle_set(t) for t in rows]
     root = roots(len(s), [(i, j) for i in range(len(s)) for j in range(i) if alike(s[i], s[j])])
     for tile in (10, 1 << 15):
-        got = {bytes(x["key"]): x["root"] for x in simhash.near_copies(docs, tile=tile).collect()}
+        got = {bytes(x["key"]): x["root"] for x in simhash.near_copies(docs, tile=tile, verify=tile).collect()}
         keyed = {x["doc_id"]: bytes(x["_key"]) for x in simhash.with_words_key(docs).collect()}
         mine = [got.get(keyed[i], f"own {i}") for i in range(len(rows))]
         assert len(set(zip(root, mine))) == len(set(root)) == len(set(mine)) < 100
