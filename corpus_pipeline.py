@@ -31,7 +31,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     group = F.coalesce(F.col("root").cast("string").cast("binary"), F.col("_k"))
     groups = staged(dimension_join(ids, roots, F.col("_k") == F.col("_copy")).select("_id", "_k", group.alias("root")), "groups")
     first = groups.groupBy("root").agg(F.min(F.struct("_id", "_k")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("root", "first")
-    drop = staged(groups.join(first, "root").filter(F.struct("_id", "_k") != F.col("first")).select("_id", "_k"), "dropped")
+    first = staged(first.withColumnRenamed("root", "_root"), "firsts")
+    drop = dimension_join(groups, first, F.col("root") == F.col("_root"), "inner").filter(F.struct("_id", "_k") != F.col("first"))
+    drop = staged(drop.select("_id", "_k"), "dropped")
     same = (F.col("doc_id") == F.col("_id")) & (F.col("_key") == F.col("_k"))
     kept = dimension_join(keyed, drop, same, "left_anti")
     again = staged(ids.filter("n > 1").select("_id", "_k"), "again")
