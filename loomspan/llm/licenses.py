@@ -1,99 +1,228 @@
-"""License scan: lines against templates by sparse TF-IDF, then inheritance from the nearest directory above; DataFrame operations only."""
+"""License scan: lines, blocks and whole texts against templates by sparse TF-IDF, then inheritance from the nearest directory above; DataFrame operations only."""
 
 from __future__ import annotations
 
+import itertools
+import math
+import re
+from collections import Counter
+
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import dimension_join, staged, table
 
-#: Usual notices of each license, by its identifier.
-TEMPLATES = (
+#: Paragraphs of public license texts (whole, or how they begin), by identifier.
+TEXTS = (
+    (
+        "Apache-2.0",
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
+        "TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
+        '"License" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document.',
+    ),
+    (
+        "Apache-2.0",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
+        "http://www.apache.org/licenses/LICENSE-2.0",
+        'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. '
+        "See the License for the specific language governing permissions and limitations under the License.",
+    ),
+    (
+        "BSD-3-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. '
+        "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT "
+        "ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. '
+        "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, "
+        "NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
+    (
+        "MIT",
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation '
+        "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. '
+        "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    *(
+        (
+            f"{name}-{version}.0",
+            f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {long} General Public License as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version.",
+        )
+        for name, long, version in (("GPL", "", 2), ("GPL", "", 3), ("LGPL", "Lesser", 3))
+    ),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "The GNU General Public License is a free, copyleft license for software and other kinds of works."),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    (
+        "MPL-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    ),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+)
+#: Usual notices of a line, by identifier.
+NOTICES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "You can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    *((f"CC-{short.replace(' ', '-')}-4.0", text) for short, long in (("BY", ""), ("BY-NC", "-NonCommercial"), ("BY-SA", "-ShareAlike")) for text in (f"This work is licensed under a Creative Commons Attribution{long} 4.0 International License.", f"Licensed under CC {short} 4.0.")),
+    *((f"GPL-{v}.0", f"This work is licensed under the GNU General Public License, version {v}.") for v in (2, 3)),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."),
+    ("MIT", "MIT License"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("proprietary", "All rights reserved. No part may be reproduced without written permission."),
     ("proprietary", "All rights reserved."),
     *((name, f"SPDX-License-Identifier: {name}{end}") for name in ("GPL-2.0", "GPL-3.0", "LGPL-3.0") for end in ("", "-only", "-or-later")),
-    *((name, f"SPDX-License-Identifier: {name}") for name in ("Apache-2.0", "BSD-3-Clause", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "MIT", "MPL-2.0")),
+    *((name, f"SPDX-License-Identifier: {name}") for name in ("Apache-2.0", "BSD-3-Clause", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "ISC", "MIT", "MPL-2.0")),
 )
-#: A line without any of these stems can't be a notice.
-CUES = r"(?i)licen[cs]|copyright|permission|redistribut|rights reserved|public domain"
+#: Each paragraph is a template, and the paragraphs of a text together.
+TEMPLATES = tuple(dict.fromkeys([*NOTICES, *((t[0], p) for t in TEXTS for p in t[1:]), *((t[0], " ".join(t[1:])) for t in TEXTS)]))
 TERM = r"[\p{L}\p{N}]+(?:[.+-][\p{L}\p{N}]+)*"
-#: Least cosine of a match, and the share of a document's characters in matched lines that makes it a license file.
-LEAST, FILE_SHARE = 0.6, 0.5
+#: Signs that begin a line of comment; names of license files; blocks that name a holder only.
+LEAD, NAMED, HOLDER = r"^[ \t]*(?://+|/?\*+/?|#+|;+|--+|%+|<!--)[ \t]*", r"^(?:licen[cs]e|copying|notice|unlicense)[^/]*$", r"^(?:copyright|\(c\)|©)"
+#: Least cosine of a match, least cosine of a whole text that is a license, and share of a block's terms that templates must know.
+LEAST, WHOLE, KNOWN = 0.6, 0.85, 0.5
+
+
+def _weights(templates: tuple[tuple[str, str], ...]) -> tuple[list[tuple[int, str, str, float]], dict[str, float], float]:
+    """(template, license, term, weight of unit length) rows, ln((1 + N) / (1 + df)) + 1 of each term over the N templates, and that of any other."""
+    counts = [Counter(x.lower() for x in regex.findall(TERM, text)) for _, text in templates]
+    seen = Counter(t for c in counts for t in c)
+    idf = {t: math.log((1 + len(counts)) / (1 + n)) + 1 for t, n in seen.items()}
+    rows = []
+    for i, c in enumerate(counts):
+        norm = math.sqrt(sum((n * idf[t]) ** 2 for t, n in c.items()))
+        rows += [(i, templates[i][0], t, n * idf[t] / norm) for t, n in c.items()]
+    return rows, idf, math.log(1 + len(counts)) + 1
+
+
+def cues(rows: list[tuple[int, str, str, float]], least: float) -> set[str]:
+    """Terms of which any text must have one to match a template.
+
+    A text's cosine with a template is at most the length of the template's part that it shares. So the heaviest terms are
+    cues until what is left of the template is shorter than least.
+    """
+    out: set[str] = set()
+    for _, group in itertools.groupby(rows, key=lambda r: r[0]):
+        left = 1.0
+        for _, _, term, w in sorted(group, key=lambda r: (-r[3], r[2])):
+            if math.sqrt(max(0.0, left)) < least - 1e-6:
+                break
+            out.add(term)
+            left -= w * w
+    return out
+
+
+def _any_of(found: set[str]) -> str:
+    """A pattern for texts, lower-cased, that have one of the terms; common beginnings are tried once."""
+    tree: dict = {}
+    for t in sorted(found):
+        at = tree
+        for c in t:
+            at = at.setdefault(c, {})
+        at[""] = {}
+
+    def pattern(at: dict) -> str:
+        if "" in at:
+            return ""
+        some = [re.escape(c) + pattern(x) for c, x in at.items()]
+        return some[0] if len(some) == 1 else f"(?:{'|'.join(some)})"
+
+    return r"(?<![a-z0-9])" + pattern(tree)
 
 
 def terms(line: Column) -> Column:
     return F.regexp_extract_all(F.lower(line), F.lit(TERM), F.lit(0))
 
 
-def score_lines(lines: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = LEAST) -> DataFrame:
-    """lines (key, line, n: how often) with each key once, to (key, license, cosine): the best template of least or more.
+def score_units(units: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = LEAST) -> DataFrame:
+    """units (key, unit) with each key once, to (key, license, cosine): the best template of least or more.
 
-    Weights are counts times ln((1 + N) / (1 + df)) + 1, N and df counted over all lines of the corpus that have a cue.
-    A template's terms meet a line's by a join on the term; the templates are a constant, so that side is broadcast. Ties
-    go to the first license by name.
+    Weights are counts times idf over the templates; a term that no template has weighs most. A unit's terms meet
+    the templates' by a join on the term; the templates are a constant, so that side is broadcast. Ties go to the first
+    license by name.
     """
-    t = lines.select("key", "n", F.explode(terms(F.col("line"))).alias("term")).groupBy("key", "n", "term").agg(F.count("*").alias("tf"))
-    t = staged(t, "terms")
-    total = lines.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    df = t.groupBy("term").agg((F.log((1.0 + total) / (1.0 + F.sum("n"))) + 1).alias("idf"))
-    df = staged(df, "idf")
-    spark = lines.sparkSession
-    known = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(templates)], "tid int, license string, text string")
-    known = known.select("tid", "license", F.explode(terms(F.col("text"))).alias("term")).groupBy("tid", "license", "term").agg(F.count("*").alias("tf"))
-    rare = F.lit(1.0) + F.log(F.lit(1.0 + total))
-    known = known.join(df, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", rare)).drop("idf", "tf")
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("tid")))
-    known = staged(known.select("tid", "license", "term", (F.col("w") / norm).alias("wt")), "templates", small=True)  # a few hundred rows
-    weighed = t.join(df, "term").select("key", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    lengths = weighed.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
-    dots = weighed.join(F.broadcast(known), "term").groupBy("key", "tid", "license").agg(F.sum(F.col("w") * F.col("wt")).alias("dot"))
+    rows, idf, rare = _weights(templates)
+    spark = units.sparkSession
+    t = units.select("key", F.explode(terms(F.col("unit"))).alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf"))
+    known = F.broadcast(spark.createDataFrame(sorted(idf.items()), "term string, idf double"))
+    t = staged(t.join(known, "term", "left").select("key", "term", (F.col("tf") * F.coalesce("idf", F.lit(rare))).alias("w"), F.col("idf").isNotNull().alias("known")), "terms")
+    lengths = t.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
+    weights = F.broadcast(spark.createDataFrame(rows, "tid int, license string, term string, wt double"))
+    dots = t.filter("known").join(weights, "term").groupBy("key", "tid", "license").agg(F.sum(F.col("w") * F.col("wt")).alias("dot"))
     found = dots.join(lengths, "key").withColumn("cosine", F.round(F.col("dot") / F.col("len"), 9)).filter(F.col("cosine") >= least)
     return found.groupBy("key").agg(F.min_by(F.struct("license", "cosine"), F.struct(-F.col("cosine"), F.col("license"))).alias("m")).select("key", "m.*")
 
 
-def scan(docs: DataFrame, least: float = LEAST, file_share: float = FILE_SHARE) -> DataFrame:
+def _units(text: Column, known: list[str]) -> Column:
+    """struct(units: array of (whole, unit), own: all blocks are of a license), for a text with a cue.
+
+    Units are lines, blocks and the whole text, without signs of comments. A block ends at an empty line or with a comment.
+    """
+    lines = F.split(text, "\n")
+    is_note = lambda x: x.rlike(LEAD)
+    bare = F.transform(
+        F.array(lines),
+        lambda l: F.transform(l, lambda x, i: F.concat(F.when((i > 0) & is_note(F.get(l, i - 1)) & ~is_note(x), F.lit("\n")).otherwise(F.lit("")), F.regexp_replace(F.regexp_replace(x, LEAD, ""), r"^\s+$", ""))),  # noqa: E741
+    )[0]
+
+    def of(b: Column) -> Column:
+        whole = F.array_join(b, "\n")
+        blocks = F.filter(F.split(whole, "\n\n+"), lambda x: x.rlike(r"[\p{L}\p{N}]"))
+
+        def owned(x: Column) -> Column:
+            return F.transform(F.array(terms(x)), lambda t: F.size(F.filter(t, lambda y: y.isin(known))) >= KNOWN * F.size(t))[0] | F.lower(F.trim(x)).rlike(HOLDER)
+
+        parts = F.array_distinct(F.concat(F.transform(b, lambda x: F.trim(x)), F.transform(blocks, lambda x: F.trim(x))))
+        units = F.transform(F.filter(parts, lambda x: x != ""), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("unit")))
+        return F.struct(F.concat(units, F.array(F.struct(F.lit(True).alias("whole"), whole.alias("unit")))).alias("units"), F.forall(blocks, owned).alias("own"))
+
+    return F.transform(F.array(bare), of)[0]
+
+
+def scan(docs: DataFrame, least: float = LEAST, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
     """docs (doc_id, path, text): doc_id, path, license, cosine, how, from_dir; a row per row.
 
-    Every line of every text that has a cue is scored; lines that repeat are scored once, counted before the shuffle. how:
-    file, if notices make up half of a text (it then licenses its directory); header, if it has a notice; inherited, if the
-    nearest directory above that a license file licenses has one (from_dir says which); else null, as is license. Among several
-    notices, and among several license files of a directory, the best cosine wins, then the first name; within
-    a text a reservation of rights gives way to any license, as license texts often start with one. Null and
-    empty texts have no notice; a null path lies in the top directory. Rows that repeat a doc_id are judged on their own text.
+    Every line, block of lines and whole text is scored, unless it has none of the terms that any match must have; units that
+    repeat are scored once. how: file, if the text has a notice and its name is that of a license file, or if it is a
+    license as a whole and all of its blocks belong to it (it then licenses its directory); header, if it has a notice;
+    inherited, if the nearest directory above that a license file licenses has one (from_dir says which); else null, as is
+    license. Among several notices, and among several license files of a directory, the best cosine wins, then the first
+    name; within a text a reservation of rights gives way to any license, as license texts often start with one. Null and
+    empty texts have no notice; a null path lies in the top directory. Rows that repeat a doc_id are judged on their own
+    text. Further columns are left out; an empty table gives an empty result.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(CUES))
-    path = F.coalesce(F.col("path"), F.lit(""))
-    d = docs.select("doc_id", "path", F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).otherwise("").alias("dir"), F.length(text).alias("size"), lines.alias("lines"))
-    d = staged(d.withColumn("row", F.monotonically_increasing_id()), "cues")
-    each = d.select("row", "size", F.explode("lines").alias("line")).withColumn("key", F.md5(F.col("line").cast("binary")))
-    kinds = staged(each.groupBy("key").agg(F.first("line").alias("line"), F.count("*").alias("n")), "lines")
-    best = staged(score_lines(kinds, least=least), "matches").withColumnRenamed("key", "_key")
-    hit = dimension_join(each, best, F.col("key") == F.col("_key"), "inner")
-    own = hit.groupBy("row").agg(
+    rows, idf, _ = _weights(templates)
+    cue = _any_of(cues(rows, least))
+    text, path = F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("path"), F.lit(""))
+    d = docs.select(
+        "doc_id",
+        "path",
+        F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).otherwise("").alias("dir"),
+        F.lower(F.regexp_extract(path, "([^/]*)$", 1)).rlike(NAMED).alias("named"),
+        F.when(F.lower(text).rlike(cue), _units(text, sorted(idf))).alias("u"),
+    )
+    d = d.select("doc_id", "path", "dir", "named", F.col("u.own").alias("own"), F.filter("u.units", lambda x: F.lower(x["unit"]).rlike(cue)).alias("units"))
+    d = staged(d.withColumn("row", F.monotonically_increasing_id()), "units")
+    each = d.select("row", F.explode("units").alias("u")).select("row", "u.whole", "u.unit", F.unhex(F.md5(F.col("u.unit").cast("binary"))).alias("key"))
+    kinds = staged(each.groupBy("key").agg(F.first("unit").alias("unit")), "distinct_units")
+    best = staged(score_units(kinds, templates, least), "matches").withColumnRenamed("key", "_key")
+    hit = dimension_join(each.drop("unit"), best, F.col("key") == F.col("_key"), "inner")
+    m = hit.groupBy(F.col("row").alias("_row")).agg(
         F.min_by(F.struct("license", "cosine"), F.struct(F.col("license") == "proprietary", -F.col("cosine"), F.col("license"))).alias("m"),
-        (F.sum(F.length("line")) >= file_share * F.first("size")).alias("file"),
+        F.max(F.when(F.col("whole"), F.col("cosine"))).alias("whole"),
     )
-    own = staged(own, "own").withColumnRenamed("row", "_row")
-    d = d.drop("lines").join(own, F.col("row") == F.col("_row"), "left")
+    d = d.drop("units").join(staged(m, "own"), F.col("row") == F.col("_row"), "left")
+    d = d.withColumn("file", F.coalesce(F.col("m").isNotNull() & (F.col("named") | (F.col("whole") >= WHOLE) & F.col("own")), F.lit(False)))
     files = d.filter("file").groupBy("dir").agg(F.min_by(F.struct("m.license", "m.cosine"), F.struct(-F.col("m.cosine"), F.col("m.license")))["license"].alias("theirs"))
     files = staged(files, "license_dirs", small=True)
     # all directories above, the nearest first, down to the top one, which is empty
@@ -121,29 +250,33 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    """The same result in DuckDB's SQL."""
+    """The same result in DuckDB's SQL, where every line, block and text is scored, with a cue or without, and idf is worked out again."""
     quoted = [(name, text.replace("'", "''")) for name, text in TEMPLATES]
     templates = " union all ".join(f"select {i} as tid, '{name}' as license, '{text}' as text" for i, (name, text) in enumerate(quoted))
+    note = lambda x: f"regexp_matches({x}, '{LEAD}')"
 
     def terms_of(column: str) -> str:
         return f"regexp_extract_all(lower({column}), '{TERM}')"
 
     return f"""
 with d as (select row_number() over () as row, doc_id, coalesce(source, '_') || '/' || coalesce(lang, '_') || '/' || coalesce(cast(doc_id as varchar), '_') || '.txt' as path,
-  coalesce(source, '_') || '/' || coalesce(lang, '_') as dir, coalesce(text, '') as t from documents),
-l as (select row, line from (select row, unnest(string_split(t, chr(10))) as line from d) where regexp_matches(line, '{CUES}')),
-k as (select line, count(*) as n from l group by 1), tt as (select line, n, unnest({terms_of('line')}) as term from k),
-t as (select line, n, term, count(*) as tf from tt group by all), total as (select coalesce(sum(n), 0) as total from k),
-df as (select term, ln((1.0e0 + total) / (1.0e0 + sum(n))) + 1 as idf from t, total group by term, total),
-tp as ({templates}), kn as (select tid, license, unnest({terms_of('text')}) as term from tp),
-kw as (select tid, license, term, count(*) * coalesce(any_value(idf), 1 + ln(1.0e0 + any_value(total))) as w from kn left join df using (term), total group by tid, license, term),
-kt as (select *, w / sqrt(sum(w * w) over (partition by tid)) as wt from kw),
-lw as (select line, term, tf * idf as w from t join df using (term)), len as (select line, sqrt(sum(w * w)) as len from lw group by 1),
-dots as (select line, tid, license, sum(lw.w * wt) as dot from lw join kt using (term) group by all),
-hit as (select line, license, round(dot / len, 9) as cosine from dots join len using (line) where round(dot / len, 9) >= {LEAST}),
-best as (select line, license, cosine from hit qualify row_number() over (partition by line order by cosine desc, license) = 1),
-own as (select l.row, arg_min(struct_pack(license, cosine), struct_pack(a := -cosine, b := license)) as m, sum(length(l.line)) >= {FILE_SHARE} * any_value(length(d.t)) as file from l join best using (line) join d on d.row = l.row group by l.row),
-j as (select d.*, m, coalesce(file, false) as file from d left join own using (row)),
+  coalesce(source, '_') || '/' || coalesce(lang, '_') as dir, string_split(coalesce(text, ''), chr(10)) as l from documents),
+b as (select *, list_transform(l, lambda x, i: case when i > 1 and {note('l[i - 1]')} and not {note('x')} then chr(10) else '' end || regexp_replace(regexp_replace(x, '{LEAD}', ''), '^\\s+$', '')) as b from d),
+w as (select *, array_to_string(b, chr(10)) as whole, list_filter(regexp_split_to_array(array_to_string(b, chr(10)), '\\n\\n+'), lambda x: regexp_matches(x, '[\\p{{L}}\\p{{N}}]')) as blocks from b),
+u as (select row, false as whole, trim(unit, ' ') as unit from (select row, unnest(list_concat(b, blocks)) as unit from w) union select row, true, whole from w),
+k as (select distinct unit from u where unit <> ''), tf as (select unit, term, count(*) as tf from (select unit, unnest({terms_of('unit')}) as term from k) group by all),
+tp as ({templates}), kn as (select tid, license, term, count(*) as tf from (select tid, license, unnest({terms_of('text')}) as term from tp) group by all),
+idf as (select term, ln((1.0e0 + {len(TEMPLATES)}) / (1.0e0 + count(*))) + 1 as idf from kn group by term),
+kt as (select tid, license, term, tf * idf / sqrt(sum((tf * idf) ** 2) over (partition by tid)) as wt from kn join idf using (term)),
+uw as (select unit, term, tf * coalesce(idf, 1 + ln(1.0e0 + {len(TEMPLATES)})) as w from tf left join idf using (term)), len as (select unit, sqrt(sum(w * w)) as len from uw group by 1),
+dots as (select unit, tid, license, sum(w * wt) as dot from uw join kt using (term) group by all),
+hit as (select unit, license, round(dot / len, 9) as cosine from dots join len using (unit) where round(dot / len, 9) >= {LEAST}),
+best as (select unit, license, cosine from hit qualify row_number() over (partition by unit order by cosine desc, license) = 1),
+own as (select row, arg_min(struct_pack(license, cosine), struct_pack(z := license = 'proprietary', a := -cosine, b := license)) as m, max(case when whole then cosine end) as whole from u join best using (unit) group by row),
+bt as (select row, i, block, unnest(case when len({terms_of('block')}) > 0 then {terms_of('block')} else ['?'] end) as term from (select row, unnest(range(1, len(blocks) + 1)) as i, unnest(blocks) as block from w)),
+bo as (select row, i, count(idf) >= {KNOWN} * count(*) or regexp_matches(lower(trim(any_value(block), ' ')), '{HOLDER}') as owned from bt left join idf using (term) group by row, i),
+ow as (select row, bool_and(owned) as owned from bo group by row),
+j as (select w.row, doc_id, path, dir, m, coalesce(m is not null and own.whole >= {WHOLE} and coalesce(owned, true), false) as file from w left join own using (row) left join ow using (row)),
 files as (select dir, arg_min(m.license, struct_pack(a := -m.cosine, b := m.license)) as theirs from j where file group by dir),
 near as (select j.row, coalesce(f1.theirs, f2.theirs, f3.theirs) as theirs, case when f1.dir is not null then f1.dir when f2.dir is not null then f2.dir else f3.dir end as from_dir
   from j left join files f1 on f1.dir = j.dir left join files f2 on f2.dir = split_part(j.dir, '/', 1) left join files f3 on f3.dir = '')

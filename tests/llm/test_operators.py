@@ -644,15 +644,70 @@ def test_license_scan(spark):
 
 def test_short_notices(spark):
     """Each short notice below prose, by the license that it names."""
-    want = {"All rights reserved.": "proprietary", "SPDX-License-Identifier: ISC": None, "no license is named here": None}
+    want: dict = {"All rights reserved.": "proprietary", "SPDX-License-Identifier: ISC": "ISC", "no license is named here": None}
     want |= {f"{lead}SPDX-License-Identifier: {x}": x for lead in ("", "# ", "// ") for x in ("Apache-2.0", "MIT", "BSD-3-Clause", "MPL-2.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0")}
     want |= {f"SPDX-License-Identifier: {x}{end}": x for x in ("GPL-2.0", "GPL-3.0", "LGPL-3.0") for end in ("", "-only", "-or-later")}
-    want |= {"All rights reserved.\n" + licenses.TEMPLATES[2][1]: "BSD-3-Clause"}
+    want |= {"All rights reserved.\n" + licenses.TEXTS[2][1]: "BSD-3-Clause"}
     rows = [(i, f"d{i}/x", "some words of a text\n" * 20 + t) for i, t in enumerate(want)]
     got = known(licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")))
     assert {t: got[i]["license"] for i, t in enumerate(want)} == want
 
 
+def wrapped(text, width=80, lead=""):
+    import textwrap
+
+    return "\n".join(lead + x for x in textwrap.wrap(text, width - len(lead)))
+
+
+def test_license_files_and_headers(spark):
+    """Whole licenses, wrapped, and headers above code, in nested directories."""
+    texts_ = {}
+    for t in licenses.TEXTS:
+        texts_.setdefault(t[0], []).append(t[1:])
+    mit = "\n\n".join(["MIT License", "Copyright (c) 2020 Some One", *(wrapped(p) for p in texts_["MIT"][0])])
+    bsd = "\n\n".join(["Copyright 2021, Other People", *(wrapped(p, 60) for p in texts_["BSD-3-Clause"][0])])
+    apache = "\n#\n".join(wrapped(p, 79, "# ") for p in texts_["Apache-2.0"][1])
+    gpl = wrapped(texts_["GPL-3.0"][0][0], 70, " * ")
+    code = "import os\nprint(os.getcwd())\n"
+    rows = [
+        (1, "a/anything.txt", mit),
+        (2, "a/b/c/x.py", code),
+        (3, "b/x.py", f"{apache}\n{code}"),
+        (4, "b/y.py", code),
+        (5, "c/LICENSE", "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\n" + "Many more words of sections follow, which no template here has. " * 40),
+        (6, "c/d/z.c", f"/*\n{gpl}\n */\n" + "int main(void) { return 0; }\n" * 30),
+        (7, "c/d/e.c", code * 20),
+        (8, "d/f.txt", bsd),
+        (9, "d/g/h.txt", "prose about nothing in particular " * 30),
+        (10, "e/i.txt", ("some words of a text that go on\n" * 60) + wrapped(texts_["MIT"][0][0], 50) + ("\nand on and on they go" * 60)),
+        (11, "e/j.txt", None),
+    ]
+    got = known(licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string").withColumn("units", F.lit(1)).withColumn("whole", F.lit(2))))
+    assert {i: (r["license"], r["how"], r["from_dir"]) for i, r in got.items()} == {
+        1: ("MIT", "file", None),
+        2: ("MIT", "inherited", "a"),
+        3: ("Apache-2.0", "header", None),
+        4: (None, None, None),
+        5: ("GPL-3.0", "file", None),
+        6: ("GPL-3.0", "header", None),
+        7: ("GPL-3.0", "inherited", "c"),
+        8: ("BSD-3-Clause", "file", None),
+        9: ("BSD-3-Clause", "inherited", "d"),
+        10: ("MIT", "header", None),
+        11: (None, None, None),
+    }
+
+
+def test_license_cues_are_complete():
+    """A text without cues stays below the least cosine, whatever else of a template it has."""
+    rows, _, _ = licenses._weights(licenses.TEMPLATES)
+    found = licenses.cues(rows, licenses.LEAST)
+    for i in {r[0] for r in rows}:
+        assert math.sqrt(sum(w * w for t, _, term, w in rows if t == i and term not in found)) < licenses.LEAST
+    pattern = licenses._any_of(found)
+    assert all(re.search(pattern, f"x_{t}") and re.search(pattern, t) for t in found) and not re.search(pattern, "zzz")
+
+
 # 5
 
 
