@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import components, dimension_join, staged, table, words
+from .common import components, dimension_join, spread, staged, table, words
 
 #: A word is an anchor if it makes up at least this share of all words: so there are at most 1 / COMMON anchors.
 COMMON = 1 / 400
-#: Buckets in which words are counted first, to find those that can hold an anchor; documents in a chunk of neighbours.
-BUCKETS, CHUNK = 1 << 16, 512
-SIMILAR = 0.8
+#: Buckets in which words are counted first, to find those that can hold an anchor.
+BUCKETS = 1 << 16
+#: Least Jaccard similarity of linked sets, and sets in a tile that are compared in one place.
+SIMILAR, TILE = 0.8, 512
 
 
 def lowered(text: Column) -> Column:
@@ -71,37 +74,118 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
-def with_next(docs: DataFrame, prepare: dict[str, Column]) -> DataFrame:
+def _order(doc_id: Column, text: Column) -> Column:
+    """A string that sorts as doc_id does, null first, then by a hash of the text."""
+    n = F.lpad(F.hex(doc_id.cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    return F.concat(F.coalesce(F.concat(F.lit("1"), n), F.lit("0")), F.lpad(F.hex(F.xxhash64(text)), 16, "0"))
+
+
+def with_next(docs: DataFrame, prepare: dict[str, Column], chunks: int | None = None) -> DataFrame:
     """docs (doc_id, text) with the columns of prepare, and next: a struct of text and those columns of the next document.
 
     Next in ascending doc_id, null first; rows that share a doc_id in the order of a hash of their texts; after the last
-    the first. Documents are dealt to chunks of CHUNK ids each (as dense as ids are on average), and a chunk's first
-    document goes to the chunk before it too. So each text is shuffled once, and no window holds more than a chunk. Only
-    one id a chunk takes part in the window over all chunks.
+    the first. Documents are dealt to chunks of about as many rows, ranges of that order whose bounds a range partitioning
+    of the keys alone gives (a few for each shuffle partition, whatever the input); a chunk's first document goes to the chunk
+    before it too. So each text is shuffled once, and no window holds more than a chunk, however ids lie; only
+    rows equal in doc_id and text stay together.
     """
-    ids = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
-    width = min(1 << 62, CHUNK * max(1, -(-(ids[1] - ids[0] + 1) // ids[2]))) if ids[2] else CHUNK
-    chunk = F.coalesce(F.floor(F.col("doc_id") / F.lit(width)).cast("long"), F.lit(-(1 << 62)).cast("long"))
-    heads = docs.select("doc_id", chunk.alias("c")).groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id"))["doc_id"].alias("head"))
-    order = W.orderBy("c")
-    heads = heads.withColumn("to", F.coalesce(F.lag("c").over(order), F.max("c").over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))))
-    heads = staged(heads.select("head", "to"), "heads", small=True)
-    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), chunk.alias("chunk"))
-    d = dimension_join(d, heads, F.col("doc_id").eqNullSafe(F.col("head")))
+    chunks = chunks or 4 * spread(docs.sparkSession)
+    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("order", _order(F.col("doc_id"), F.col("text")))
+    first = d.select("order").repartitionByRange(chunks, "order").groupBy(F.spark_partition_id().alias("p")).agg(F.min("order").alias("order"))
+    bounds = sorted({r["order"] for r in first.collect()}) or [""]
+    step = max(1, int(len(bounds) ** 0.5))
+    coarse, fine = F.lit(bounds[step::step] or ["~"]), F.lit(bounds)
+    # how many bounds lie at or below: by every step-th of them, then by those between
+    below = F.size(F.filter(coarse, lambda x: x <= F.col("order"))) * step
+    d = d.withColumn("below", below)
+    chunk = F.col("below") + F.size(F.filter(F.slice(fine, F.col("below") + 1, step), lambda x: x <= F.col("order"))) - 1
+    d = d.withColumn("chunk", chunk).drop("below")
     home = F.struct(F.col("chunk").alias("chunk"), F.lit(False).alias("guest"))
-    away = F.struct(F.col("to").alias("chunk"), F.lit(True).alias("guest"))
-    d = d.withColumn("at", F.explode(F.when(F.col("to").isNull(), F.array(home)).otherwise(F.array(home, away)))).select("doc_id", "text", "at.*")
-    d = d.repartition("chunk").withColumns(prepare)
-    w = W.partitionBy("chunk").orderBy("guest", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    return d.withColumn("next", F.lead(F.struct("text", *prepare)).over(w)).filter("not guest").drop("chunk", "guest")
+    away = F.struct(F.pmod(F.col("chunk") - 1, F.lit(len(bounds))).alias("chunk"), F.lit(True).alias("guest"))
+    head = F.col("order") == F.get(fine, F.col("chunk"))
+    d = d.withColumn("at", F.explode(F.when(head, F.array(home, away)).otherwise(F.array(home)))).select("doc_id", "text", "order", "at.*")
+    d = d.repartition(len(bounds), "chunk").withColumns(prepare)
+    w = W.partitionBy("chunk").orderBy("guest", "order")
+    return d.withColumn("next", F.lead(F.struct("text", *prepare)).over(w)).filter("not guest").drop("chunk", "guest", "order")
+
+
+def _needed(n: Column, least: float) -> Column:
+    """How many of its n signatures a set shares with any set that similar, at least."""
+    return F.ceil(F.lit(least) * n - 1e-9)
+
+
+def similar_sets(sets: DataFrame, least: float = SIMILAR, tile: int = TILE) -> DataFrame:
+    """sets (sid, n, sigs), each set once, to (node, root): sets joined by pairs with a Jaccard similarity of least or more.
+
+    1. Two such sets share n - least * n + 1 first signatures in any order that holds for all: here the rarest come first. A
+       signature that no other set has brings nobody together, so that most sets are out at once.
+    2. Sets meet by those signatures within partitions of set length, whose lengths are least apart: each goes to its own
+       and the next. Of a signature in a partition, each set is linked to the first one only; the components of these
+       links hold all pairs that can be similar.
+    3. Within a component sets are compared tile by tile, where each set gives the first similar set of another
+       group; groups grow together in rounds, until no set finds one. So no pairs are ever rows, and none is left out.
+    """
+    tokens = sets.select("sid", "n", F.explode("sigs").alias("t"))
+    counts = tokens.groupBy("t").agg(F.count("*").alias("df")).filter("df > 1").withColumnRenamed("t", "_t")
+    shared = tokens.join(counts, F.col("t") == F.col("_t")).groupBy("sid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("s"))
+    shared = shared.filter(F.size("s") >= _needed(F.col("n"), least))
+    first = F.slice("s", 1, (F.size("s") - _needed(F.col("n"), least) + 1).cast("int"))
+    size = F.floor(F.log("n") / -math.log(least) + 1e-9).cast("int")
+    keys = shared.select("sid", size.alias("size"), F.explode(first).alias("k"))
+    keys = keys.select("sid", "k.t", F.explode(F.array(F.col("size"), F.col("size") + 1)).alias("size"))
+    keys = staged(keys, "keys")
+    heads = keys.groupBy("t", "size").agg(F.min("sid").alias("head"), F.max("sid").alias("last")).filter("head < last").select(F.col("t").alias("_t"), F.col("size").alias("_size"), "head")
+    meet = keys.join(heads, (F.col("t") == F.col("_t")) & (F.col("size") == F.col("_size"))).select(F.col("sid").alias("u"), F.col("head").alias("v")).distinct()
+    clusters = components(meet)
+    clusters = clusters.unionByName(clusters.select(F.col("root").alias("node"), "root").distinct())
+    clusters = staged(clusters.withColumnsRenamed({"node": "_sid", "root": "cluster"}), "clusters")
+    members = staged(dimension_join(sets, clusters, F.col("sid") == F.col("_sid"), "inner").select("cluster", "sid", "n", "sigs"), "members")
+    large = members.groupBy(F.col("cluster").alias("_c")).agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles")).filter("tiles > 1")
+    members = dimension_join(members, staged(large, "large", small=True), F.col("cluster") == F.col("_c")).withColumn("tiles", F.coalesce("tiles", F.lit(1))).drop("_c")
+    members = staged(members.withColumn("k", F.pmod(F.xxhash64("sid"), F.col("tiles")).cast("int")), "members")
+    links, roots = None, None
+    while True:
+        m = members.withColumn("root", F.col("sid")) if roots is None else dimension_join(members, roots.withColumnsRenamed({"node": "_n", "root": "_r"}), F.col("sid") == F.col("_n")).withColumn("root", F.coalesce("_r", "sid"))
+        pairs = m.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("cluster", F.least("k", "x").alias("ka"), F.greatest("k", "x").alias("kb"), "k", F.struct("sid", "n", "root", "sigs").alias("m"))
+        one = pairs.groupBy("cluster", "ka", "kb").agg(F.collect_list(F.when(F.col("k") == F.col("ka"), F.col("m"))).alias("a"), F.collect_list(F.when(F.col("k") == F.col("kb"), F.col("m"))).alias("b"))
+        one = one.filter("size(a) + size(b) > 2 or ka <> kb").repartition(spread(sets.sparkSession))
+
+        def alike(x: Column, y: Column) -> Column:
+            able = (x["root"] != y["root"]) & (F.least(x["n"], y["n"]) >= least * F.greatest(x["n"], y["n"]) - 1e-9)
+            return able & F.when(able, jaccard(x["sigs"], y["sigs"]) >= least - 1e-12).otherwise(False)
+
+        found = F.transform("a", lambda x: F.struct(x["sid"].alias("u"), F.array_min(F.transform(F.filter("b", lambda y: alike(x, y)), lambda y: y["sid"])).alias("v")))
+        new = staged(one.select(F.explode(F.filter(found, lambda e: e["v"].isNotNull())).alias("e")).select("e.u", "e.v"), "links")
+        if new.isEmpty():
+            return sets.sparkSession.createDataFrame([], "node long, root long") if roots is None else roots
+        links = new if links is None else links.unionByName(new)
+        roots = components(links)
+
+
+def near_groups(docs: DataFrame, known: list[str], least: float = SIMILAR) -> DataFrame:
+    """docs (doc_id, text) to (fingerprint, component_id): the least doc_id among documents whose sets are joined by similar pairs.
+
+    Documents with equal sets are one, counted before the shuffle, so copies are never compared.
+    """
+    each = docs.select("doc_id", signatures(F.col("text"), known).alias("sigs"))
+    sets = each.groupBy(digest(F.col("sigs")).alias("fingerprint")).agg(F.min("doc_id").alias("first"), F.first("sigs").alias("sigs"))
+    sets = staged(sets.withColumns({"sid": F.monotonically_increasing_id(), "n": F.size("sigs")}), "sets")
+    roots = similar_sets(sets.filter("n > 0").select("sid", "n", "sigs"), least).withColumnRenamed("node", "_sid")
+    own = dimension_join(sets.select("fingerprint", "first", "sid"), staged(roots, "roots"), F.col("sid") == F.col("_sid"))
+    own = staged(own.select("fingerprint", "first", F.coalesce("root", "sid").alias("root")), "groups")
+    ids = own.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n")).filter("n > 1").select(F.col("root").alias("_root"), "component_id")
+    out = dimension_join(own, staged(ids, "ids"), F.col("root") == F.col("_root"))
+    return out.select("fingerprint", F.when(F.col("_root").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def fingerprints(docs: DataFrame, common: float = COMMON) -> DataFrame:
-    """docs (doc_id, text): doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, a row per row.
+    """docs (doc_id, text): doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, component_id, a row per row.
 
     The edited text has its last n_chars div 2 characters replaced by the first as many of the next document. Each text's
-    fingerprint is a digest of its set of signatures; the two likenesses are Jaccard similarities of the sets. A
-    null text is empty. An only document is its own next. An empty table gives an empty result.
+    fingerprint is a digest of its set of signatures; the two likenesses are Jaccard similarities of the sets.
+    component_id is the least doc_id among documents that pairs of sets with a similarity of 0.8 or more join. A null
+    text is empty; a null doc_id counts as larger than any other there. An only document is its own next. An empty table
+    gives an empty result; further columns are left out.
     """
     known = anchors(docs, common)
     d = with_next(docs, {"sigs": signatures(F.col("text"), known)})
@@ -109,7 +193,7 @@ def fingerprints(docs: DataFrame, common: float = COMMON) -> DataFrame:
     half = F.floor(n / 2).cast("int")
     d = d.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next.text"), F.lit(1), half)))
     d = d.select("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "sigs", signatures(F.col("edited"), known).alias("esigs"), F.col("next.sigs").alias("nsigs"))
-    return d.select(
+    d = d.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
@@ -118,6 +202,8 @@ def fingerprints(docs: DataFrame, common: float = COMMON) -> DataFrame:
         jaccard(F.col("sigs"), F.col("esigs")).alias("near_edited"),
         jaccard(F.col("sigs"), F.col("nsigs")).alias("near_next"),
     )
+    groups = near_groups(docs, known).withColumnRenamed("fingerprint", "_fingerprint")
+    return d.join(groups, F.col("fingerprint") == F.col("_fingerprint")).drop("_fingerprint")
 
 
 def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -216,7 +216,7 @@ def test_bpe_heap_is_scan():
 # 8
 
 
-def test_spotsigs(spark):
+def test_spotsigs(spark, monkeypatch):
     rows = texts()
     t = [x or "" for x in rows]
     w = [words(x.lower()) for x in t]
@@ -234,10 +234,12 @@ def test_spotsigs(spark):
         return out or ({("all", *ws)} if ws else set())
 
     like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
-    for chunk in (4096, 4):
-        spotsigs.CHUNK, old = chunk, spotsigs.CHUNK
+    own = [sigs(x) for x in t]
+    root = roots(len(t), [(i, j) for i in range(len(t)) for j in range(i) if like(own[i], own[j]) >= 0.8])
+    for chunk in (1, 9):
+        monkeypatch.setattr(spotsigs, "spread", lambda _, n=chunk: n)
         got = known(spotsigs.fingerprints(df, 1 / 200))
-        spotsigs.CHUNK = old
+        assert [got[3 * i]["component_id"] for i in range(len(t))] == [3 * r for r in root]
         for i, x in enumerate(t):
             y, h = t[(i + 1) % len(t)], len(x) // 2
             e = x[: len(x) - h] + y[:h]
@@ -249,6 +251,41 @@ def test_spotsigs(spark):
             assert prints.setdefault(x, got[3 * i]["fingerprint"]) == got[3 * i]["fingerprint"]
 
 
+@pytest.mark.parametrize("tile", [3, 512])
+def test_similar_sets(spark, tile):
+    """Chains, cliques and many sets near the threshold, against all pairs."""
+    r = random.Random(23)
+    sets = []
+    for g in range(12):
+        base = [r.randrange(1 << 40) for _ in range(r.choice([1, 4, 10, 40, 90]))]
+        for _ in range(14):
+            out = [x for x in base if r.random() > 0.07] + [r.randrange(1 << 40) for _ in range(r.choice([0, 0, 1, 6]))]
+            sets.append(sorted(set(out or base)))
+            if g % 3 == 0:
+                base = sets[-1]
+    sets += [[5, 6], [5, 7], [8]]
+    sets = [list(x) for x in dict.fromkeys(map(tuple, sets))]
+    want = roots(len(sets), [(i, j) for i in range(len(sets)) for j in range(i) if len(set(sets[i]) & set(sets[j])) >= 0.8 * len(set(sets[i]) | set(sets[j]))])
+    df = spark.createDataFrame([(i, len(x), x) for i, x in enumerate(sets)], "sid long, n int, sigs array<long>")
+    got = {x["node"]: x["root"] for x in spotsigs.similar_sets(df, tile=tile).collect()}
+    assert [got.get(i, i) for i in range(len(sets))] == want and len(set(want)) < len(sets) - 20
+
+
+@pytest.mark.parametrize("ids", ["far", "null", "same"])
+def test_next_is_dealt_evenly(spark, ids, monkeypatch):
+    rows = [({"far": i if i else 1 << 60, "null": None, "same": 7}[ids], f"text {i}") for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    monkeypatch.setattr(spotsigs, "spread", lambda _: 4)
+    got = spotsigs.with_next(df, {"one": F.lit(1)}).select("doc_id", "text", "next.text", F.spark_partition_id().alias("p")).collect()
+    order = {r[1]: r[2] for r in got}
+    at, seen = "text 0", set()
+    while at not in seen:
+        seen.add(at)
+        at = order[at]
+    assert len(seen) == len(order) == 1200  # one ring through all
+    assert max(Counter(r["p"] for r in got).values()) < 400
+
+
 def test_spotsigs_odd_tables(spark):
     assert spotsigs.fingerprints(frame(spark, [])).collect() == []
     rows = spotsigs.fingerprints(spark.createDataFrame([(None, "a b"), (7, "c"), (7, "c"), (1 << 60, None)], "doc_id long, text string")).collect()
