@@ -123,7 +123,7 @@ def similar_sets(sets: DataFrame, least: float = SIMILAR, tile: int = TILE) -> D
        and the next. Of a signature in a partition, each set is linked to the first one only; the components of these
        links hold all pairs that can be similar.
     3. Within a component sets are compared tile by tile, where each set gives the first similar set of another
-       group; groups grow together in rounds, until no set finds one. So no pairs are ever rows, and none is left out.
+       group; so at least half of the groups go in a round, until no set finds another. So no pairs are ever rows, and none is left out.
     """
     tokens = sets.select("sid", "n", F.explode("sigs").alias("t"))
     counts = tokens.groupBy("t").agg(F.count("*").alias("df")).filter("df > 1").withColumnRenamed("t", "_t")
@@ -154,12 +154,18 @@ def similar_sets(sets: DataFrame, least: float = SIMILAR, tile: int = TILE) -> D
             able = (x["root"] != y["root"]) & (F.least(x["n"], y["n"]) >= least * F.greatest(x["n"], y["n"]) - 1e-9)
             return able & F.when(able, jaccard(x["sigs"], y["sigs"]) >= least - 1e-12).otherwise(False)
 
-        found = F.transform("a", lambda x: F.struct(x["sid"].alias("u"), F.array_min(F.transform(F.filter("b", lambda y: alike(x, y)), lambda y: y["sid"])).alias("v")))
-        new = staged(one.select(F.explode(F.filter(found, lambda e: e["v"].isNotNull())).alias("e")).select("e.u", "e.v"), "links")
+        def firsts(xs: str, ys: str) -> Column:
+            return F.transform(xs, lambda x: F.struct(x["sid"].alias("u"), F.array_min(F.transform(F.filter(ys, lambda y: alike(x, y)), lambda y: y["sid"])).alias("v")))
+
+        found = F.when(F.col("ka") == F.col("kb"), firsts("a", "b")).otherwise(F.concat(firsts("a", "b"), firsts("b", "a")))
+        new = one.select("cluster", F.explode(F.filter(found, lambda e: e["v"].isNotNull())).alias("e")).select("cluster", "e.u", "e.v")
+        new = staged(new, "links")
         if new.isEmpty():
             return sets.sparkSession.createDataFrame([], "node long, root long") if roots is None else roots
-        links = new if links is None else links.unionByName(new)
+        links = new.select("u", "v") if links is None else links.unionByName(new.select("u", "v"))
         roots = components(links)
+        # a component in which no set found another is settled
+        members = dimension_join(members, staged(new.select(F.col("cluster").alias("_c")).distinct(), "open"), F.col("cluster") == F.col("_c"), "left_semi")
 
 
 def near_groups(docs: DataFrame, known: list[str], least: float = SIMILAR) -> DataFrame:
