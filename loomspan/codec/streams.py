@@ -13,6 +13,9 @@ from loomspan.config import Config
 #: Beyond so many elements, sequences and constants are not looked for.
 SEARCHED = 16_384
 
+#: Kinds of exact forms, as records name them.
+EXACT_KINDS = ("raw", "constant", "sequence", "along", "bytes", "integers", "mask_constant", "mask_triangle", "mask_palette", "mask_bits", "mask_runs")
+
 
 def encode_symbols(values: np.ndarray, config: Config, width: int | None = None) -> tuple[dict, bytes]:
     """Metadata and bytes of integers. width: how many bits hold each; needed for packing."""

@@ -10,8 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Kinds of exact storage, and the thresholds of a regression.
-EXACT = ("raw", "const", "aseq", "bseq")
+from loomspan.codec.streams import EXACT_KINDS
+
+#: Kinds of exact storage in reports of other programs, and the thresholds of a regression.
+FOREIGN_EXACT = ("raw", "const", "aseq", "bseq", "lossless")
+EXACT = tuple(dict.fromkeys(EXACT_KINDS + FOREIGN_EXACT))
 RATIO_DROP, ERROR_RISE, RATE_DROP = 0.05, 0.10, 0.10
 
 
@@ -79,14 +82,13 @@ def aggregates(results: DataFrame) -> DataFrame:
 
 
 def compare(baseline: DataFrame, current: DataFrame, ratio_drop: float = RATIO_DROP, error_rise: float = ERROR_RISE, rate_drop: float = RATE_DROP) -> DataFrame:
-    """(benchmark_name, failure) of each threshold that a current row breaks, or of a row that one side lacks."""
+    """(benchmark_name, failure) of each threshold that a current row breaks, or of a current row that the baseline lacks."""
     cols = ("compression_ratio", "mse", "max_abs_error", "encode_rate", "decode_rate")
     b = baseline.select("benchmark_name", F.lit(True).alias("_b"), *[F.col(c).alias(f"b_{c}") for c in cols])
-    j = current.select("benchmark_name", F.lit(True).alias("_c"), *cols).join(b, "benchmark_name", "full_outer")
-    both = F.col("_b") & F.col("_c")
+    j = current.select("benchmark_name", *cols).join(b, "benchmark_name", "left")
+    both = F.col("_b")
     fails = [
         F.when(F.col("_b").isNull(), "missing baseline"),
-        F.when(F.col("_c").isNull(), "missing current"),
         F.when(both & (F.col("compression_ratio") < F.col("b_compression_ratio") * (1.0 - ratio_drop)), "compression ratio"),
         F.when(both & (F.col("mse") > F.col("b_mse") * (1.0 + error_rise)), "mse"),
         F.when(both & (F.col("max_abs_error") > F.col("b_max_abs_error") * (1.0 + error_rise)), "max abs error"),

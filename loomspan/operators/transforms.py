@@ -75,18 +75,20 @@ def fit_components(df: DataFrame, array: str, threshold: float = 0.95) -> Compon
     """The fewest components that explain threshold of the variance of an array column.
 
     The d x d moments are summed by the executors, in one pass with a row of d + d * d sums per task, so any number of rows
-    will do; d is the width of a row. Only the eigenvectors are made on the driver.
+    will do; d is the width of a row. All rows are shifted by one of them first, as squares of large cells would cancel. Only
+    the d + d * d sums and the eigenvectors are the driver's.
     """
-    d = df.select(F.size(array)).first()[0]
+    shift = np.array(df.select(F.col(array).cast("array<double>")).first()[0])
+    d = len(shift)
 
     def moments(batches):
         import pandas as pd
 
-        s, ss, n, shift = np.zeros(d), np.zeros((d, d)), 0, None
+        s, ss, n = np.zeros(d), np.zeros((d, d)), 0
         for b in batches:
             if not len(b):
                 continue
-            m = np.stack(b[array].to_numpy()).astype(float)
+            m = np.stack(b[array].to_numpy()).astype(float) - shift
             s, ss, n = s + m.sum(0), ss + m.T @ m, n + len(m)
         yield pd.DataFrame({"n": [n], "s": [s.tolist()], "ss": [ss.ravel().tolist()]})
 
@@ -100,7 +102,7 @@ def fit_components(df: DataFrame, array: str, threshold: float = 0.95) -> Compon
     value, vector = np.maximum(value[::-1], 0), vector[:, ::-1].T
     ratio = value / value.sum() if value.sum() > 0 else np.eye(1, d)[0]
     k = min(d, int(np.searchsorted(np.cumsum(ratio), threshold - 1e-12)) + 1)
-    return Components(mean, vector[:k], ratio[:k])
+    return Components(mean + shift, vector[:k], ratio[:k])
 
 
 def _dot(a: Column, b: Column) -> Column:

@@ -557,9 +557,9 @@ def bench_aggregates(spark, d):
     return rounded(a, 6, *[c for c, t in a.dtypes if t == "double"])
 
 
-@query(f"""with {RESULTS}, {CURRENT}, j as (select coalesce(r.benchmark_name, cur.benchmark_name) as name, r.benchmark_name as rb, cur.benchmark_name as cb, list_filter([case when r.benchmark_name is null then 'missing baseline' end, case when cur.benchmark_name is null then 'missing current' end,
+@query(f"""with {RESULTS}, {CURRENT}, j as (select coalesce(r.benchmark_name, cur.benchmark_name) as name, r.benchmark_name as rb, cur.benchmark_name as cb, list_filter([case when r.benchmark_name is null then 'missing baseline' end,
   case when cur.compression_ratio < r.compression_ratio * 0.95e0 then 'compression ratio' end, case when cur.mse > r.mse * 1.1e0 then 'mse' end, case when cur.max_abs_error > r.max_abs_error * 1.1e0 then 'max abs error' end,
-  case when cur.encode_rate < r.encode_rate * 0.9e0 then 'encode rate' end, case when cur.decode_rate < r.decode_rate * 0.9e0 then 'decode rate' end], lambda f: f is not null) as f from r full join cur on r.benchmark_name = cur.benchmark_name)
+  case when cur.encode_rate < r.encode_rate * 0.9e0 then 'encode rate' end, case when cur.decode_rate < r.decode_rate * 0.9e0 then 'decode rate' end], lambda f: f is not null) as f from cur left join r on r.benchmark_name = cur.benchmark_name)
 select name as benchmark_name, unnest(f) as failure from j""")
 def bench_compare(spark, d):
     return reports.compare(results(spark, d), current_results(spark, d))
@@ -581,7 +581,7 @@ def bench_spotlights(spark, d):
 
 
 @query(f"""with {RESULTS}, t as (select coalesce(container_overhead_bytes, metadata_bytes + header_bytes) as o, coalesce(nullif(container_bytes, 0), compressed_bytes) as e from r where raw_bytes <= 8192
-  and case when exact_kind is not null then exact_kind in ('raw', 'const', 'aseq', 'bseq') else mse = 0 and max_abs_error = 0 and relative_error = 0 end), s as (select o, coalesce(cast(o as double) / nullif(e, 0), 0) as s from t)
+  and case when exact_kind is not null then exact_kind in ('raw', 'const', 'aseq', 'bseq', 'lossless', 'constant', 'sequence', 'along', 'bytes', 'integers', 'mask_constant', 'mask_triangle', 'mask_palette', 'mask_bits', 'mask_runs') else mse = 0 and max_abs_error = 0 and relative_error = 0 end), s as (select o, coalesce(cast(o as double) / nullif(e, 0), 0) as s from t)
 select count(*) as rows, round(avg(s), 6) as mean_share, round((list_sort(list(s)))[count(*) // 2 + 1], 6) as median_share, round(avg(o), 6) as mean_overhead from s""")
 def bench_tiny_cohort(spark, d):
     return rounded(reports.tiny_cohort(results(spark, d), 8192), 6, "mean_share", "median_share", "mean_overhead")

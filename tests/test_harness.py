@@ -24,6 +24,9 @@ def test_suite(spark, tmp_path):
     assert reports.compare(rows, rows).count() == 0
     worse = rows.withColumn("compression_ratio", F.col("compression_ratio") * 0.9)
     assert reports.compare(rows, worse).count() == 11
+    exact = rows.filter(reports.is_exact() & F.col("exact_kind").isNotNull())
+    assert {r["exact_kind"] for r in exact.collect()} >= {r["exact_kind"] for r in got.values() if r["mse"] == 0 and r["exact_kind"]}
+    assert reports.tiny_cohort(full, 1 << 20).first()["rows"] == rows.filter((F.col("raw_bytes") <= 1 << 20) & reports.is_exact()).count() > 0
     for kind in ("json", "csv"):
         files.write_rows(rows, str(tmp_path / kind), kind)
         back = files.read_rows(spark, str(tmp_path / kind), kind)
@@ -41,6 +44,10 @@ def test_report_files(spark, tmp_path):
     p.write_text(json.dumps({"schema_version": 2, "results": [{"benchmark_name": "a", "raw_bytes": 5, "what": 1}, {"benchmark_name": "b"}]}))
     got = files.read_report(spark, str(p)).orderBy("benchmark_name").collect()
     assert [r["raw_bytes"] for r in got] == [5, None] and len(got[0]) == 39
+    foreign = {"benchmark_name": "c", "raw_bytes": 8, "other_payload_bytes": 3, "other_container_payload_bytes": 4, "container_bytes": 9, "encode_throughput_bytes_per_sec": 2.5, "other_exact_kind": "aseq", "was_sampled": True, "model_id": None}
+    p.write_text(json.dumps({"schema_version": 3, "results": [foreign]}))
+    got = files.read_report(spark, str(p)).first()
+    assert (got["payload_bytes"], got["container_payload_bytes"], got["container_bytes"], got["encode_rate"], got["exact_kind"], got["was_sampled"], got["model_id"], got["raw_bytes"]) == (3, 4, 9, 2.5, "aseq", True, None, 8)
     p.write_text(json.dumps({"schema_version": 9, "results": []}))
     with pytest.raises(Exception, match="unknown version"):
         files.read_report(spark, str(p)).collect()

@@ -140,3 +140,11 @@ def test_difference_stream(spark, tmp_path):
     q.awaitTermination(120)
     got = {(r["k"], r["i"]): r["delta"] for r in spark.table("deltas").collect()}
     assert len(got) == 12 and sum(v for (k, _), v in got.items() if k == 1) in (25.0, 25.0 - 0.0)
+
+
+def test_components_far_from_zero(spark):
+    r = np.random.default_rng(3)
+    a = r.normal(size=(300, 4)) * [3, 2, 1, 0.5]
+    near, far = (transforms.fit_components(spark.createDataFrame([(x.tolist(),) for x in a + shift], "x array<double>"), "x", 1.0) for shift in (0, 1e8))
+    want = np.linalg.eigvalsh(np.cov(a.T, bias=True))[::-1]
+    assert np.allclose(near.ratio, want / want.sum()) and np.allclose(far.ratio, near.ratio, atol=1e-6) and np.allclose(far.mean, a.mean(0) + 1e8)
