@@ -13,8 +13,8 @@ from .common import LOWER, UPPER, staged, table
 
 #: Folds of doc_id, the one held out, and the score from which a text is predicted good.
 FOLDS, HELD_OUT, GOOD = 5, 0, 0.3
-#: The sample that the model is fit on: at most so many labelled texts, each of at most so many lines.
-SAMPLE, SAMPLE_LINES = 4000, 2000
+#: The sample that the model is fit on: at most so many labelled texts, all of their lines. A parameter of train and classify.
+SAMPLE = 4000
 ROUNDS, RATE, RIDGE = 150, 0.1, 1.0
 #: Lines whose marginals a worker computes at once.
 LINES = 100_000
@@ -107,6 +107,19 @@ def marginals(score: np.ndarray, starts: np.ndarray, counts: np.ndarray, move: n
     return good[:, 1] / good.sum(1), both, float(np.log(scale).sum() + top.sum())
 
 
+def likelihood(x: np.ndarray, y: np.ndarray, starts: np.ndarray, counts: np.ndarray, w: np.ndarray, move: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log of the probability of line labels y, less a ridge, with its gradients by the weights and by the transitions.
+
+    Labels stay the same within a text, so that the transitions observed are those of each label to itself.
+    """
+    score = x @ w
+    p, both, log_z = marginals(score, starts, counts, move)
+    first = y[starts]
+    observed = np.diag([float((counts[first == s] - 1).sum()) for s in (0, 1)])
+    value = float(score @ y + (observed * move).sum() - log_z - RIDGE / 2 * (w @ w + (move * move).sum()))
+    return value, x.T @ (y - p) - RIDGE * w, observed - both - RIDGE * move
+
+
 def fit(bits: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Weights of a line's features and log-potentials of transitions, by gradient ascent on the likelihood of labels.
 
@@ -117,13 +130,10 @@ def fit(bits: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndar
     x = spread_bits(np.concatenate(bits), starts)
     y = np.repeat(labels, counts).astype(float)
     w, move = np.zeros(x.shape[1]), np.zeros((2, 2))
-    # of a text's transitions, all stay: fixed counts
-    stay = np.array([(counts[labels == s] - 1).sum() for s in (0, 1)], float)
-    observed = np.diag(stay)
     first, second = np.zeros(len(w) + 4), np.zeros(len(w) + 4)
     for k in range(1, ROUNDS + 1):
-        p, both, _ = marginals(x @ w, starts, counts, move)
-        g = np.concatenate([x.T @ (y - p) - RIDGE * w, (observed - both).ravel() - RIDGE * move.ravel()])
+        _, by_w, by_move = likelihood(x, y, starts, counts, w, move)
+        g = np.concatenate([by_w, by_move.ravel()])
         first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
         step = RATE * (first / (1 - 0.9**k)) / (np.sqrt(second / (1 - 0.99**k)) + 1e-8)
         w, move = w + step[:-4], move + step[-4:].reshape(2, 2)
@@ -160,8 +170,8 @@ def fold(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
     """The model, from at most sample labelled texts outside the held-out fold, the first by a hash of doc_id. None without labels.
 
-    The ids of the sample (16 bytes each) are all that is broadcast, and their lines' features (8 bytes a line, at most
-    SAMPLE_LINES lines a text) all that comes to the driver.
+    The ids of the sample (16 bytes each) are all that is broadcast, and the features of its lines (8 bytes a line) all
+    that comes to the driver, which grows with sample only.
     """
     known = labels.filter("quality in (0, 1) and doc_id is not null").filter(fold(F.col("doc_id")) != HELD_OUT)
     known = known.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("quality").cast("int").alias("good"))
@@ -170,9 +180,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [line_bits(t.as_py() or "") for t in b.column(1)]
-            kept = [i for i, x in enumerate(found) if len(x[0]) <= SAMPLE_LINES]
-            packed = [np.array(found[i], np.int32).tobytes() for i in kept]  # the bits, then the lengths
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(kept, pa.int64())), b.column(2).take(pa.array(kept, pa.int64())), pa.array(packed, pa.binary())], ["id", "good", "bits"])
+            packed = [np.array(x, np.int32).tobytes() for x in found]  # the bits, then the lengths
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(packed, pa.binary())], ["id", "good", "bits"])
 
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_id", "text", "good").mapInArrow(run, "id long, good int, bits binary")
     got = sorted(rows.collect(), key=lambda r: (r["id"], bytes(r["bits"])))
@@ -221,7 +230,7 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     """docs with score (0 to 1, higher: label 1 likelier) and predicted (1 if score >= 0.3, else 0); all columns are kept.
 
     Only the text is scored; a null text counts as empty, and an empty one as a line without words. Each row is scored on
-    its own, without a shuffle. Without labels every score is 0.5. A column of docs named score or predicted gives way.
+    its own, without a shuffle, so repeated rows have equal scores. Without labels every score is 0.5; an empty table gives an empty result. A column of docs named score or predicted gives way.
     """
     model = train(docs, labels, sample)
     names = [c for c in docs.columns if c not in ("score", "predicted")]

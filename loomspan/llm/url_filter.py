@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, staged, table
+from .common import BROADCAST_ROWS, LOWER, UPPER, staged, table
 
 #: The rules, each a host and a path prefix.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-#: Longest context, and the least share of all places of its length that a context needs to be kept (so at most
-#: 1 / LEAST contexts of a length), the weight of the shorter context, and the share of accepted URLs that may be blocked.
-ORDER, LEAST, BACK, FALSE_BLOCK = 4, 1 / 2000, 4.0, 0.01
+#: Longest context, the weight of the shorter context, and the share of accepted URLs that may be blocked.
+ORDER, BACK, FALSE_BLOCK = 4, 4.0, 0.01
+#: Contexts of so many characters have at most SYMBOLS ** (SHORT + 1) entries, which may be broadcast; rows that a hot longer one is spread over.
+SHORT, SALTS = 2, 16
 #: Characters that the models know.
 SYMBOLS = 45
 #: Scores are binned to so many steps per nat, within so many nats, to calibrate.
@@ -60,19 +61,16 @@ def _places(rows: DataFrame, keep: list[str]) -> DataFrame:
 def train(labelled: DataFrame) -> DataFrame:
     """labelled (s, verdict) to the model (c, x, gain).
 
-    Both models count every character after each of its contexts of 0 to ORDER characters, over all labelled URLs. A
-    context is kept while it holds LEAST of all places of its length, which bounds the model whatever the input
-    (1 / LEAST contexts a length, SYMBOLS characters each). The probability after a context is smoothed by that after
+    Both models count every character after each of its contexts of 0 to ORDER characters, over all labelled URLs, and
+    keep all of them, so that the model grows with the input. The probability after a context is smoothed by that after
     the context without its first character, down to a uniform one. gain is the log of the accepted over the rejected
-    probability, less the same for the shorter context: summed over the kept contexts of a place it gives the log ratio
+    probability, less the same for the shorter context: summed over the contexts of a place it gives the log ratio
     at the longest of them in which the character was seen, so the order varies from place to place.
     """
     counted = _places(labelled, ["verdict"]).groupBy("o", "c", "x").agg(F.count_if(F.col("verdict") == "allow").alias("a"), F.count_if(F.col("verdict") == "block").alias("b"))
     counted = staged(counted, "grams")
     ctx = counted.groupBy("o", "c").agg(F.sum("a").alias("ca"), F.sum("b").alias("cb"))
-    size = ctx.groupBy("o").agg(F.sum(F.col("ca") + F.col("cb")).alias("t"))  # ORDER + 1 rows
-    ctx = ctx.join(F.broadcast(size), "o").filter(F.col("ca") + F.col("cb") >= LEAST * F.col("t")).drop("t")
-    kept = staged(counted.join(ctx, ["o", "c"]), "kept")
+    kept = staged(counted.join(ctx, ["o", "c"]), "contexts")
 
     def smooth(n: str, t: str, p: Column) -> Column:
         return (F.col(n) + BACK * p) / (F.col(t) + BACK)
@@ -83,23 +81,32 @@ def train(labelled: DataFrame) -> DataFrame:
         if longer is None:
             here = here.withColumns({"qa": F.lit(1 / SYMBOLS), "qb": F.lit(1 / SYMBOLS), "base": F.lit(0.0)})
         else:
-            # what a kept context has seen, its shorter one has seen as often at least, so that one is kept too
+            # what a context has seen, its shorter one has seen too
             shorter = longer.select(F.col("c").alias("_c"), F.col("x").alias("_x"), F.col("pa").alias("qa"), F.col("pb").alias("qb"), F.log(F.col("pa") / F.col("pb")).alias("base"))
             here = here.join(shorter, (F.substring("c", 2, ORDER) == F.col("_c")) & (F.col("x") == F.col("_x")))
-        longer = staged(here.select("c", "x", smooth("a", "ca", F.col("qa")).alias("pa"), smooth("b", "cb", F.col("qb")).alias("pb"), "base"), f"order{o}", small=True)
+        longer = staged(here.select("c", "x", smooth("a", "ca", F.col("qa")).alias("pa"), smooth("b", "cb", F.col("qb")).alias("pb"), "base"), f"order{o}", small=o <= SHORT)
         gain = longer.select("c", "x", (F.log(F.col("pa") / F.col("pb")) - F.col("base")).alias("gain"))
         out = gain if out is None else out.unionByName(gain)
     return out
 
 
-def score(urls: DataFrame, model: DataFrame) -> DataFrame:
+def score(urls: DataFrame, model: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """urls (id, s) to (id, score): the log ratio summed over a URL's characters, divided by their number.
 
-    The model has at most (ORDER + 1) / LEAST * SYMBOLS rows, a bound that no input moves, so it is broadcast; each URL's
-    sum is made before the only shuffle. Rows of an id that repeat with the same s leave its mean as it is.
+    A model of up to BROADCAST_ROWS rows (counted) is broadcast. Of a larger one only the short contexts are, whose number
+    no input moves; longer ones are joined by a shuffle, each salted, as some are in a large part of all URLs. Rows of an id that
+    repeat with the same s leave its mean as it is.
     """
-    m = F.broadcast(model.select(F.col("c").alias("_c"), F.col("x").alias("_x"), "gain"))
-    hit = _places(urls, ["id"]).join(m, (F.col("c") == F.col("_c")) & (F.col("x") == F.col("_x")), "left")
+    m = model.select(F.col("c").alias("_c"), F.col("x").alias("_x"), "gain")
+    places, same = _places(urls, ["id"]), (F.col("c") == F.col("_c")) & (F.col("x") == F.col("_x"))
+    if m.limit(limit + 1).count() <= limit:
+        hit = places.join(F.broadcast(m), same, "left").select("id", "o", "gain")
+    else:
+        short, long = (m.filter(F.length("_c") <= SHORT), m.filter(F.length("_c") > SHORT))
+        hit = places.filter(F.col("o") <= SHORT).join(F.broadcast(short), same, "left").select("id", "o", "gain")
+        salted = long.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rest = places.filter(F.col("o") > SHORT).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+        hit = hit.unionByName(rest.join(salted, same & (F.col("salt") == F.col("_salt")), "left").select("id", "o", "gain"))
     return hit.groupBy("id").agg((F.coalesce(F.sum("gain"), F.lit(0.0)) / F.count_if(F.col("o") == 0)).alias("score"))
 
 
@@ -133,7 +140,7 @@ def url_filter(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, fal
     sides = known.agg(F.count_if(F.col("verdict") == "allow"), F.count_if(F.col("verdict") == "block")).first()
     if not (sides[0] and sides[1]):
         return p.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("score"))
-    model = staged(train(known.filter("fold <> 0")), "model", small=True)
+    model = staged(train(known.filter("fold <> 0")), "model")
     held = known.filter("fold = 0 and verdict = 'allow'").select(F.struct("page_id", "s").alias("id"), "s")
     cutoff = calibrate(score(held, model), false_block)
     unknown = p.filter("verdict is null")
@@ -173,8 +180,7 @@ r as (select *, {rule} as rule from p), v as (select *, {verdict} as verdict,
 texts as (select page_id, s, verdict, fold from v), i as (select *, unnest(range(2, length(s) + 1)) as i from texts), io as (select *, unnest(range(0, least({ORDER}, i - 1) + 1)) as o from i),
 places as (select page_id, s, verdict, fold, cast(o as int) as o, substr(s, cast(i - o as int), cast(o as int)) as c, substr(s, cast(i as int), 1) as x from io),
 g as (select o, c, x, count_if(verdict = 'allow') as a, count_if(verdict = 'block') as b from places where verdict is not null and fold <> 0 group by all),
-ctx as (select o, c, sum(a) as ca, sum(b) as cb from g group by all), size as (select o, sum(ca + cb) as t from ctx group by o),
-kept as (select g.*, ca, cb from g join ctx using (o, c) join size using (o) where ca + cb >= {LEAST} * t),
+ctx as (select o, c, sum(a) as ca, sum(b) as cb from g group by all), kept as (select g.*, ca, cb from g join ctx using (o, c)),
 {", ".join(orders)}, model as ({model}),
 score as (select page_id, s, coalesce(sum(gain), 0) / count_if(o = 0) as score from places left join model using (c, x) where verdict is null or verdict = 'allow' and fold = 0 group by page_id, s),
 held as (select distinct page_id, s from texts where verdict = 'allow' and fold = 0),

@@ -598,20 +598,18 @@ def test_url_rules(spark):
     assert got[301]["score"] > got[300]["score"] and got[301]["verdict"] == "allow" and got[300]["verdict"] == "block"
 
 
-def test_url_models_against_plain_ones(spark, monkeypatch):
-    monkeypatch.setattr(url_filter, "LEAST", 1 / 60)
+@pytest.mark.parametrize("limit", [100_000, 10])
+def test_url_models_against_plain_ones(spark, limit):
     r = random.Random(21)
     spelt = lambda ends: "^" + "".join(r.choice("abc./") for _ in range(r.randint(3, 14))) + r.choice(ends) + "$"
     rows = [(spelt(["xx", "y"]), "allow") for _ in range(60)] + [(spelt(["zz", "y"]), "block") for _ in range(40)]
     order, back = url_filter.ORDER, url_filter.BACK
-    seen, total, places = Counter(), Counter(), Counter()
+    seen, total = Counter(), Counter()
     for text, side in rows:
         for i in range(1, len(text)):
             for o in range(min(order, i) + 1):
                 seen[side, text[i - o : i], text[i]] += 1
                 total[side, text[i - o : i]] += 1
-                places[o] += 1
-    kept = {c for _, c in total if sum(total[v, c] for v in ("allow", "block")) >= places[len(c)] / 60}
 
     def chance(side, c, x):
         shorter = chance(side, c[1:], x) if c else 1 / url_filter.SYMBOLS
@@ -620,14 +618,14 @@ def test_url_models_against_plain_ones(spark, monkeypatch):
     def plain(text):
         out = 0.0
         for i in range(1, len(text)):
-            found = [text[i - o : i] for o in range(min(order, i) + 1) if text[i - o : i] in kept and any(seen[v, text[i - o : i], text[i]] for v in ("allow", "block"))]
+            found = [text[i - o : i] for o in range(min(order, i) + 1) if any(seen[v, text[i - o : i], text[i]] for v in ("allow", "block"))]
             if found:
                 out += math.log(chance("allow", found[-1], text[i]) / chance("block", found[-1], text[i]))
         return out / (len(text) - 1)
 
     model = url_filter.train(spark.createDataFrame(rows, "s string, verdict string"))
     texts_ = [spelt(["xx", "zz", "q"]) for _ in range(40)] + ["^$"]
-    got = {x["id"]: x["score"] for x in url_filter.score(spark.createDataFrame([(i, t) for i, t in enumerate(texts_)], "id long, s string"), model).collect()}
+    got = {x["id"]: x["score"] for x in url_filter.score(spark.createDataFrame([(i, t) for i, t in enumerate(texts_)], "id long, s string"), model, limit).collect()}
     for i, t in enumerate(texts_):
         assert got[i] == pytest.approx(plain(t), abs=1e-9), t
 
@@ -771,6 +769,43 @@ def test_marginals_against_all_paths():
     assert np.allclose(p, want) and np.allclose(both, pairs) and abs(log_z - total) < 1e-9
 
 
+def test_likelihood_by_all_paths_and_small_steps():
+    """The value against a sum over all labellings, its gradients against differences."""
+    r = np.random.default_rng(5)
+    counts = np.array([3, 1, 4])
+    starts = np.cumsum(counts) - counts
+    x, y = r.integers(0, 2, (8, 3)).astype(float), np.repeat([1.0, 0.0, 1.0], counts)
+    w, move = r.normal(size=3), r.normal(size=(2, 2))
+
+    def plain(w, move):
+        out = -quality_crf.RIDGE / 2 * (w @ w + (move * move).sum())
+        for s, n in zip(starts, counts):
+            def path(v):
+                return sum(x[s + i] @ w * v[i] for i in range(n)) + sum(move[v[i], v[i + 1]] for i in range(n - 1))
+
+            every = [[k >> i & 1 for i in range(n)] for k in range(1 << n)]
+            out += path([int(v) for v in y[s : s + n]]) - math.log(sum(math.exp(path(v)) for v in every))
+        return out
+
+    value, by_w, by_move = quality_crf.likelihood(x, y, starts, counts, w, move)
+    assert value == pytest.approx(plain(w, move))
+    e = 1e-5
+    for i in range(3):
+        d = e * (np.arange(3) == i)
+        assert by_w[i] == pytest.approx((plain(w + d, move) - plain(w - d, move)) / (2 * e), abs=1e-6)
+    for i in range(4):
+        d = e * (np.arange(4) == i).reshape(2, 2)
+        assert by_move.ravel()[i] == pytest.approx((plain(w, move + d) - plain(w, move - d)) / (2 * e), abs=1e-6)
+
+
+def test_classifier_uses_long_texts(spark):
+    """A sample of texts of thousands of lines is used whole."""
+    rows = ["\n".join("A calm line of words goes here." if i % 2 else "$$$ BUY!! | free |" for _ in range(2500)) for i in range(8)]
+    labels = spark.createDataFrame([(3 * i, i % 2) for i in range(8)], "doc_id long, quality int")
+    out = known(quality_crf.classify(frame(spark, rows), labels))
+    assert all((out[3 * i]["predicted"] == 1) == bool(i % 2) for i in range(8))
+
+
 def test_classifier_learns(spark):
     good = "The quick words of a calm sentence go on here.\nAnother calm line follows it."
     bad = "BUY!! NOW!! $$$ ***\nfree | free | free | free | free | free"
