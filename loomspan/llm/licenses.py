@@ -91,30 +91,43 @@ TERM = r"[\p{L}\p{N}]+(?:[.+-][\p{L}\p{N}]+)*"
 LEAD, NAMED, HOLDER = r"^[ \t]*(?://+|/?\*+/?|#+|;+|--+|%+|<!--)[ \t]*", r"^(?:licen[cs]e|copying|notice|unlicense)[^/]*$", r"^(?:copyright|\(c\)|©)"
 #: Least cosine of a match, least cosine of a whole text that is a license, and share of a block's terms that templates must know.
 LEAST, WHOLE, KNOWN = 0.6, 0.85, 0.5
+#: Share of a line's terms that templates must know for it to be in a run.
+NEAR = 0.8
+#: Kinds of units. Lines are held against all templates, blocks against those of at least so many different terms, whole texts against all, but by WHOLE.
+LINE, BLOCK, TEXT = 0, 1, 2
+LONG = 15
 
 
 def _weights(templates: tuple[tuple[str, str], ...]) -> tuple[list[tuple[int, str, str, float]], dict[str, float], float]:
-    """(template, license, term, weight of unit length) rows, ln((1 + N) / (1 + df)) + 1 of each term over the N templates, and that of any other."""
+    """(template, license, term, weight of unit length) rows, ln((1 + N) / (1 + df)) + 1 of each term over the N templates, and that of any other.
+
+    A weight is 1 + ln(count), times that.
+    """
     counts = [Counter(x.lower() for x in regex.findall(TERM, text)) for _, text in templates]
     seen = Counter(t for c in counts for t in c)
     idf = {t: math.log((1 + len(counts)) / (1 + n)) + 1 for t, n in seen.items()}
     rows = []
     for i, c in enumerate(counts):
-        norm = math.sqrt(sum((n * idf[t]) ** 2 for t, n in c.items()))
-        rows += [(i, templates[i][0], t, n * idf[t] / norm) for t, n in c.items()]
+        w = {t: (1 + math.log(n)) * idf[t] for t, n in c.items()}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        rows += [(i, templates[i][0], t, x / norm) for t, x in w.items()]
     return rows, idf, math.log(1 + len(counts)) + 1
 
 
-def cues(rows: list[tuple[int, str, str, float]], least: float) -> set[str]:
+def _long(rows: list[tuple[int, str, str, float]]) -> set[int]:
+    return {i for i, n in Counter(r[0] for r in rows).items() if n >= LONG}
+
+
+def cues(rows: list[tuple[int, str, str, float]], least: float, seen: dict[str, int] | None = None) -> set[str]:
     """Terms of which any text must have one to match a template.
 
-    A text's cosine with a template is at most the length of the template's part that it shares. So the heaviest terms are
-    cues until what is left of the template is shorter than least.
+    A text's cosine with a template is at most the length of the template's part that it shares. So terms are taken as
+    cues until what is left of the template is shorter than least: those first that few documents have for their weight.
     """
     out: set[str] = set()
     for _, group in itertools.groupby(rows, key=lambda r: r[0]):
         left = 1.0
-        for _, _, term, w in sorted(group, key=lambda r: (-r[3], r[2])):
+        for _, _, term, w in sorted(group, key=lambda r: (-(r[3] ** 2) / (1 + (seen or {}).get(r[2], 0)), r[2])):
             if math.sqrt(max(0.0, left)) < least - 1e-6:
                 break
             out.add(term)
@@ -145,28 +158,33 @@ def terms(line: Column) -> Column:
 
 
 def score_units(units: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = LEAST) -> DataFrame:
-    """units (key, unit) with each key once, to (key, license, cosine): the best template of least or more.
+    """units (key, kind, unit) with each key once, to (key, license, cosine): the best template of least or more, that the kind allows.
 
-    Weights are counts times idf over the templates; a term that no template has weighs most. A unit's terms meet
+    Weights are 1 + ln(count) times idf over the templates; a term that no template has weighs most. A unit's terms meet
     the templates' by a join on the term; the templates are a constant, so that side is broadcast. Ties go to the first
     license by name.
     """
     rows, idf, rare = _weights(templates)
+    long = _long(rows)
     spark = units.sparkSession
-    t = units.select("key", F.explode(terms(F.col("unit"))).alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf"))
+    t = units.select("key", "kind", F.explode(terms(F.col("unit"))).alias("term")).groupBy("key", "kind", "term").agg((1 + F.log(F.count("*"))).alias("tf"))
     known = F.broadcast(spark.createDataFrame(sorted(idf.items()), "term string, idf double"))
-    t = staged(t.join(known, "term", "left").select("key", "term", (F.col("tf") * F.coalesce("idf", F.lit(rare))).alias("w"), F.col("idf").isNotNull().alias("known")), "terms")
-    lengths = t.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
-    weights = F.broadcast(spark.createDataFrame(rows, "tid int, license string, term string, wt double"))
-    dots = t.filter("known").join(weights, "term").groupBy("key", "tid", "license").agg(F.sum(F.col("w") * F.col("wt")).alias("dot"))
-    found = dots.join(lengths, "key").withColumn("cosine", F.round(F.col("dot") / F.col("len"), 9)).filter(F.col("cosine") >= least)
+    w = F.col("tf") * F.coalesce("idf", F.lit(rare))
+    t = t.join(known, "term", "left").withColumn("w", w)
+    # what templates don't know counts for the length only: its squares are summed before they are written
+    t = t.groupBy("key", "kind").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"), F.collect_list(F.when(F.col("idf").isNotNull(), F.struct("term", "w"))).alias("known"))
+    t = t.select("key", "kind", "len", F.explode("known").alias("k")).select("key", "kind", "len", "k.*")
+    weights = F.broadcast(spark.createDataFrame([(*r, r[0] in long) for r in rows], "tid int, license string, term string, wt double, long boolean"))
+    dots = t.join(weights, "term").filter((F.col("kind") != BLOCK) | F.col("long")).groupBy("key", "kind", "tid", "license").agg((F.sum(F.col("w") * F.col("wt")) / F.first("len")).alias("cosine"))
+    found = dots.withColumn("cosine", F.round("cosine", 9)).filter(F.col("cosine") >= F.when(F.col("kind") == TEXT, F.lit(WHOLE)).otherwise(F.lit(least)))
     return found.groupBy("key").agg(F.min_by(F.struct("license", "cosine"), F.struct(-F.col("cosine"), F.col("license"))).alias("m")).select("key", "m.*")
 
 
 def _units(text: Column, known: list[str]) -> Column:
-    """struct(units: array of (whole, unit), own: all blocks are of a license), for a text with a cue.
+    """struct(units: array of (kind, unit), own: all blocks are of a license), for a text with a cue.
 
-    Units are lines, blocks and the whole text, without signs of comments. A block ends at an empty line or with a comment.
+    Units are lines, blocks and the whole text, without signs of comments. A block ends at an empty line or with a comment;
+    a run of lines whose terms templates know is one too, so that a notice in the middle of other lines is seen whole.
     """
     lines = F.split(text, "\n")
     is_note = lambda x: x.rlike(LEAD)
@@ -179,12 +197,19 @@ def _units(text: Column, known: list[str]) -> Column:
         whole = F.array_join(b, "\n")
         blocks = F.filter(F.split(whole, "\n\n+"), lambda x: x.rlike(r"[\p{L}\p{N}]"))
 
+        def share(x: Column, least: float) -> Column:
+            return F.transform(F.array(terms(x)), lambda t: (F.size(t) > 0) & (F.size(F.filter(t, lambda y: y.isin(known))) >= least * F.size(t)))[0]
+
         def owned(x: Column) -> Column:
-            return F.transform(F.array(terms(x)), lambda t: F.size(F.filter(t, lambda y: y.isin(known))) >= KNOWN * F.size(t))[0] | F.lower(F.trim(x)).rlike(HOLDER)
+            return share(x, KNOWN) | F.lower(F.trim(x)).rlike(HOLDER)
 
-        parts = F.array_distinct(F.concat(F.transform(b, lambda x: F.trim(x)), F.transform(blocks, lambda x: F.trim(x))))
-        units = F.transform(F.filter(parts, lambda x: x != ""), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("unit")))
-        return F.struct(F.concat(units, F.array(F.struct(F.lit(True).alias("whole"), whole.alias("unit")))).alias("units"), F.forall(blocks, owned).alias("own"))
+        runs = F.filter(F.split(F.array_join(F.transform(b, lambda x: F.when(share(x, NEAR), x).otherwise(F.lit(""))), "\n"), "\n\n+"), lambda x: x != "")
+
+        def kind(n: int, xs: Column) -> Column:
+            return F.transform(F.array_distinct(F.filter(F.transform(xs, lambda x: F.trim(x)), lambda x: x != "")), lambda x: F.struct(F.lit(n).alias("kind"), x.alias("unit")))
+
+        units = F.concat(kind(LINE, b), kind(BLOCK, F.concat(blocks, runs)), F.array(F.struct(F.lit(TEXT).alias("kind"), whole.alias("unit"))))
+        return F.struct(units.alias("units"), F.forall(blocks, owned).alias("own"))
 
     return F.transform(F.array(bare), of)[0]
 
@@ -202,27 +227,38 @@ def scan(docs: DataFrame, least: float = LEAST, templates: tuple[tuple[str, str]
     text. Further columns are left out; an empty table gives an empty result.
     """
     rows, idf, _ = _weights(templates)
-    cue = _any_of(cues(rows, least))
     text, path = F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("path"), F.lit(""))
+    vocabulary = F.lit(sorted(idf))
+    counted = docs.select(F.explode(F.array_intersect(terms(text), vocabulary)).alias("term")).groupBy("term").count()
+    seen = {r["term"]: r["count"] for r in counted.collect()}  # the templates' terms only
+    long = _long(rows)
+    some = {LINE: cues(rows, least, seen), BLOCK: cues([r for r in rows if r[0] in long], least, seen), TEXT: cues(rows, WHOLE, seen)}
+    cue = {k: _any_of(x) for k, x in some.items()}
+
+    def may(x: Column) -> Column:
+        u = F.lower(x["unit"])
+        return F.when(x["kind"] == LINE, u.rlike(cue[LINE])).when(x["kind"] == BLOCK, u.rlike(cue[BLOCK])).otherwise(u.rlike(cue[TEXT]))
+
     d = docs.select(
         "doc_id",
         "path",
         F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).otherwise("").alias("dir"),
         F.lower(F.regexp_extract(path, "([^/]*)$", 1)).rlike(NAMED).alias("named"),
-        F.when(F.lower(text).rlike(cue), _units(text, sorted(idf))).alias("u"),
+        F.when(F.lower(text).rlike(_any_of(set().union(*some.values()))), _units(text, sorted(idf))).alias("u"),
     )
-    d = d.select("doc_id", "path", "dir", "named", F.col("u.own").alias("own"), F.filter("u.units", lambda x: F.lower(x["unit"]).rlike(cue)).alias("units"))
+    d = d.select("doc_id", "path", "dir", "named", F.col("u.own").alias("own"), F.filter("u.units", may).alias("units"))
     d = staged(d.withColumn("row", F.monotonically_increasing_id()), "units")
-    each = d.select("row", F.explode("units").alias("u")).select("row", "u.whole", "u.unit", F.unhex(F.md5(F.col("u.unit").cast("binary"))).alias("key"))
-    kinds = staged(each.groupBy("key").agg(F.first("unit").alias("unit")), "distinct_units")
+    key = F.unhex(F.md5(F.concat(F.col("u.kind").cast("string"), F.col("u.unit")).cast("binary")))
+    each = d.select("row", F.explode("units").alias("u")).select("row", "u.kind", "u.unit", key.alias("key"))
+    kinds = each.groupBy("key").agg(F.first(F.struct("kind", "unit")).alias("u")).select("key", "u.*")
     best = staged(score_units(kinds, templates, least), "matches").withColumnRenamed("key", "_key")
     hit = dimension_join(each.drop("unit"), best, F.col("key") == F.col("_key"), "inner")
     m = hit.groupBy(F.col("row").alias("_row")).agg(
         F.min_by(F.struct("license", "cosine"), F.struct(F.col("license") == "proprietary", -F.col("cosine"), F.col("license"))).alias("m"),
-        F.max(F.when(F.col("whole"), F.col("cosine"))).alias("whole"),
+        F.max(F.col("kind") == TEXT).alias("whole"),
     )
     d = d.drop("units").join(staged(m, "own"), F.col("row") == F.col("_row"), "left")
-    d = d.withColumn("file", F.coalesce(F.col("m").isNotNull() & (F.col("named") | (F.col("whole") >= WHOLE) & F.col("own")), F.lit(False)))
+    d = d.withColumn("file", F.coalesce(F.col("m").isNotNull() & (F.col("named") | F.col("whole") & F.col("own")), F.lit(False)))
     files = d.filter("file").groupBy("dir").agg(F.min_by(F.struct("m.license", "m.cosine"), F.struct(-F.col("m.cosine"), F.col("m.license")))["license"].alias("theirs"))
     files = staged(files, "license_dirs", small=True)
     # all directories above, the nearest first, down to the top one, which is empty
@@ -263,20 +299,23 @@ with d as (select row_number() over () as row, doc_id, coalesce(source, '_') ||
   coalesce(source, '_') || '/' || coalesce(lang, '_') as dir, string_split(coalesce(text, ''), chr(10)) as l from documents),
 b as (select *, list_transform(l, lambda x, i: case when i > 1 and {note('l[i - 1]')} and not {note('x')} then chr(10) else '' end || regexp_replace(regexp_replace(x, '{LEAD}', ''), '^\\s+$', '')) as b from d),
 w as (select *, array_to_string(b, chr(10)) as whole, list_filter(regexp_split_to_array(array_to_string(b, chr(10)), '\\n\\n+'), lambda x: regexp_matches(x, '[\\p{{L}}\\p{{N}}]')) as blocks from b),
-u as (select row, false as whole, trim(unit, ' ') as unit from (select row, unnest(list_concat(b, blocks)) as unit from w) union select row, true, whole from w),
-k as (select distinct unit from u where unit <> ''), tf as (select unit, term, count(*) as tf from (select unit, unnest({terms_of('unit')}) as term from k) group by all),
-tp as ({templates}), kn as (select tid, license, term, count(*) as tf from (select tid, license, unnest({terms_of('text')}) as term from tp) group by all),
+tp as ({templates}), kn as (select tid, license, term, 1 + ln(count(*)) as tf from (select tid, license, unnest({terms_of('text')}) as term from tp) group by all),
 idf as (select term, ln((1.0e0 + {len(TEMPLATES)}) / (1.0e0 + count(*))) + 1 as idf from kn group by term),
+vo as (select list(term) as vo from idf),
+runs as (select row, unnest(list_filter(regexp_split_to_array(array_to_string(list_transform(b, lambda x: case when len({terms_of('x')}) > 0 and len(list_filter({terms_of('x')}, lambda y: list_contains(vo, y))) >= {NEAR} * len({terms_of('x')}) then x else '' end), chr(10)), '\\n\\n+'), lambda x: x <> '')) as unit from w, vo),
+u as (select row, {LINE} as kind, trim(unit, ' ') as unit from (select row, unnest(b) as unit from w) union select row, {BLOCK}, trim(unit, ' ') from (select row, unnest(blocks) as unit from w union all select row, unit from runs) union all select row, {TEXT}, whole from w),
+k as (select distinct unit from u where unit <> ''), tf as (select unit, term, 1 + ln(count(*)) as tf from (select unit, unnest({terms_of('unit')}) as term from k) group by all),
 kt as (select tid, license, term, tf * idf / sqrt(sum((tf * idf) ** 2) over (partition by tid)) as wt from kn join idf using (term)),
 uw as (select unit, term, tf * coalesce(idf, 1 + ln(1.0e0 + {len(TEMPLATES)})) as w from tf left join idf using (term)), len as (select unit, sqrt(sum(w * w)) as len from uw group by 1),
 dots as (select unit, tid, license, sum(w * wt) as dot from uw join kt using (term) group by all),
-hit as (select unit, license, round(dot / len, 9) as cosine from dots join len using (unit) where round(dot / len, 9) >= {LEAST}),
-best as (select unit, license, cosine from hit qualify row_number() over (partition by unit order by cosine desc, license) = 1),
-own as (select row, arg_min(struct_pack(license, cosine), struct_pack(z := license = 'proprietary', a := -cosine, b := license)) as m, max(case when whole then cosine end) as whole from u join best using (unit) group by row),
+lt as (select tid, count(*) >= {LONG} as long from kn group by tid), hit as (select unit, kind, license, round(dot / len, 9) as cosine from dots join len using (unit) join lt using (tid), (select unnest([{LINE}, {BLOCK}, {TEXT}]) as kind)
+  where round(dot / len, 9) >= case when kind = {TEXT} then {WHOLE} else {LEAST} end and (kind <> {BLOCK} or long)),
+best as (select unit, kind, license, cosine from hit qualify row_number() over (partition by unit, kind order by cosine desc, license) = 1),
+own as (select row, arg_min(struct_pack(license, cosine), struct_pack(z := license = 'proprietary', a := -cosine, b := license)) as m, bool_or(kind = {TEXT}) as whole from u join best using (unit, kind) group by row),
 bt as (select row, i, block, unnest(case when len({terms_of('block')}) > 0 then {terms_of('block')} else ['?'] end) as term from (select row, unnest(range(1, len(blocks) + 1)) as i, unnest(blocks) as block from w)),
 bo as (select row, i, count(idf) >= {KNOWN} * count(*) or regexp_matches(lower(trim(any_value(block), ' ')), '{HOLDER}') as owned from bt left join idf using (term) group by row, i),
 ow as (select row, bool_and(owned) as owned from bo group by row),
-j as (select w.row, doc_id, path, dir, m, coalesce(m is not null and own.whole >= {WHOLE} and coalesce(owned, true), false) as file from w left join own using (row) left join ow using (row)),
+j as (select w.row, doc_id, path, dir, m, coalesce(m is not null and own.whole and coalesce(owned, true), false) as file from w left join own using (row) left join ow using (row)),
 files as (select dir, arg_min(m.license, struct_pack(a := -m.cosine, b := m.license)) as theirs from j where file group by dir),
 near as (select j.row, coalesce(f1.theirs, f2.theirs, f3.theirs) as theirs, case when f1.dir is not null then f1.dir when f2.dir is not null then f2.dir else f3.dir end as from_dir
   from j left join files f1 on f1.dir = j.dir left join files f2 on f2.dir = split_part(j.dir, '/', 1) left join files f3 on f3.dir = '')
