@@ -98,20 +98,19 @@ LINE, BLOCK, TEXT = 0, 1, 2
 LONG = 15
 
 
-def _weights(templates: tuple[tuple[str, str], ...]) -> tuple[list[tuple[int, str, str, float]], dict[str, float], float]:
-    """(template, license, term, weight of unit length) rows, ln((1 + N) / (1 + df)) + 1 of each term over the N templates, and that of any other.
+def _weights(templates: tuple[tuple[str, str], ...], seen: dict[str, int] | None = None, documents: int = 0) -> tuple[list[tuple[int, str, str, float]], dict[str, float], float]:
+    """(template, license, term, weight of unit length) rows, ln((1 + N) / (1 + df)) + 1 of each term over N documents, and that of any other term.
 
-    A weight is 1 + ln(count), times that.
+    seen: in how many documents each term of a template is. A weight is 1 + ln(count), times that.
     """
     counts = [Counter(x.lower() for x in regex.findall(TERM, text)) for _, text in templates]
-    seen = Counter(t for c in counts for t in c)
-    idf = {t: math.log((1 + len(counts)) / (1 + n)) + 1 for t, n in seen.items()}
+    idf = {t: math.log((1 + documents) / (1 + (seen or {}).get(t, 0))) + 1 for t in sorted({t for c in counts for t in c})}
     rows = []
     for i, c in enumerate(counts):
         w = {t: (1 + math.log(n)) * idf[t] for t, n in c.items()}
         norm = math.sqrt(sum(x * x for x in w.values()))
         rows += [(i, templates[i][0], t, x / norm) for t, x in w.items()]
-    return rows, idf, math.log(1 + len(counts)) + 1
+    return rows, idf, math.log(1 + documents) + 1
 
 
 def _long(rows: list[tuple[int, str, str, float]]) -> set[int]:
@@ -145,26 +144,26 @@ def _any_of(found: set[str]) -> str:
         at[""] = {}
 
     def pattern(at: dict) -> str:
-        if "" in at:
+        some = [re.escape(c) + pattern(x) for c, x in at.items() if c]
+        if not some:
             return ""
-        some = [re.escape(c) + pattern(x) for c, x in at.items()]
-        return some[0] if len(some) == 1 else f"(?:{'|'.join(some)})"
+        return f"(?:{'|'.join(some)}){'?' * ('' in at)}"
 
-    return r"(?<![a-z0-9])" + pattern(tree)
+    return r"(?<![a-z0-9])" + pattern(tree) + r"(?![a-z0-9])"
 
 
 def terms(line: Column) -> Column:
     return F.regexp_extract_all(F.lower(line), F.lit(TERM), F.lit(0))
 
 
-def score_units(units: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = LEAST) -> DataFrame:
+def score_units(units: DataFrame, weights: tuple[list[tuple[int, str, str, float]], dict[str, float], float], least: float = LEAST) -> DataFrame:
     """units (key, kind, unit) with each key once, to (key, license, cosine): the best template of least or more, that the kind allows.
 
-    Weights are 1 + ln(count) times idf over the templates; a term that no template has weighs most. A unit's terms meet
+    Weights are 1 + ln(count) times idf; a term that no template has weighs as one that no document has. A unit's terms meet
     the templates' by a join on the term; the templates are a constant, so that side is broadcast. Ties go to the first
     license by name.
     """
-    rows, idf, rare = _weights(templates)
+    rows, idf, rare = weights
     long = _long(rows)
     spark = units.sparkSession
     t = units.select("key", "kind", F.explode(terms(F.col("unit"))).alias("term")).groupBy("key", "kind", "term").agg((1 + F.log(F.count("*"))).alias("tf"))
@@ -174,8 +173,8 @@ def score_units(units: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPL
     # what templates don't know counts for the length only: its squares are summed before they are written
     t = t.groupBy("key", "kind").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"), F.collect_list(F.when(F.col("idf").isNotNull(), F.struct("term", "w"))).alias("known"))
     t = t.select("key", "kind", "len", F.explode("known").alias("k")).select("key", "kind", "len", "k.*")
-    weights = F.broadcast(spark.createDataFrame([(*r, r[0] in long) for r in rows], "tid int, license string, term string, wt double, long boolean"))
-    dots = t.join(weights, "term").filter((F.col("kind") != BLOCK) | F.col("long")).groupBy("key", "kind", "tid", "license").agg((F.sum(F.col("w") * F.col("wt")) / F.first("len")).alias("cosine"))
+    theirs = F.broadcast(spark.createDataFrame([(*r, r[0] in long) for r in rows], "tid int, license string, term string, wt double, long boolean"))
+    dots = t.join(theirs, "term").filter((F.col("kind") != BLOCK) | F.col("long")).groupBy("key", "kind", "tid", "license").agg((F.sum(F.col("w") * F.col("wt")) / F.first("len")).alias("cosine"))
     found = dots.withColumn("cosine", F.round("cosine", 9)).filter(F.col("cosine") >= F.when(F.col("kind") == TEXT, F.lit(WHOLE)).otherwise(F.lit(least)))
     return found.groupBy("key").agg(F.min_by(F.struct("license", "cosine"), F.struct(-F.col("cosine"), F.col("license"))).alias("m")).select("key", "m.*")
 
@@ -226,12 +225,13 @@ def scan(docs: DataFrame, least: float = LEAST, templates: tuple[tuple[str, str]
     empty texts have no notice; a null path lies in the top directory. Rows that repeat a doc_id are judged on their own
     text. Further columns are left out; an empty table gives an empty result.
     """
-    rows, idf, _ = _weights(templates)
+    _, idf, _ = _weights(templates)
     text, path = F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("path"), F.lit(""))
     vocabulary = F.lit(sorted(idf))
-    counted = docs.select(F.explode(F.array_intersect(terms(text), vocabulary)).alias("term")).groupBy("term").count()
+    counted = docs.select(F.explode(F.array_intersect(terms(text), vocabulary)).alias("term")).groupBy("term").count()  # once a document
     seen = {r["term"]: r["count"] for r in counted.collect()}  # the templates' terms only
-    long = _long(rows)
+    weights = _weights(templates, seen, docs.count())
+    rows, long = weights[0], _long(weights[0])
     some = {LINE: cues(rows, least, seen), BLOCK: cues([r for r in rows if r[0] in long], least, seen), TEXT: cues(rows, WHOLE, seen)}
     cue = {k: _any_of(x) for k, x in some.items()}
 
@@ -251,7 +251,7 @@ def scan(docs: DataFrame, least: float = LEAST, templates: tuple[tuple[str, str]
     key = F.unhex(F.md5(F.concat(F.col("u.kind").cast("string"), F.col("u.unit")).cast("binary")))
     each = d.select("row", F.explode("units").alias("u")).select("row", "u.kind", "u.unit", key.alias("key"))
     kinds = each.groupBy("key").agg(F.first(F.struct("kind", "unit")).alias("u")).select("key", "u.*")
-    best = staged(score_units(kinds, templates, least), "matches").withColumnRenamed("key", "_key")
+    best = staged(score_units(kinds, weights, least), "matches").withColumnRenamed("key", "_key")
     hit = dimension_join(each.drop("unit"), best, F.col("key") == F.col("_key"), "inner")
     m = hit.groupBy(F.col("row").alias("_row")).agg(
         F.min_by(F.struct("license", "cosine"), F.struct(F.col("license") == "proprietary", -F.col("cosine"), F.col("license"))).alias("m"),
@@ -300,13 +300,14 @@ with d as (select row_number() over () as row, doc_id, coalesce(source, '_') ||
 b as (select *, list_transform(l, lambda x, i: case when i > 1 and {note('l[i - 1]')} and not {note('x')} then chr(10) else '' end || regexp_replace(regexp_replace(x, '{LEAD}', ''), '^\\s+$', '')) as b from d),
 w as (select *, array_to_string(b, chr(10)) as whole, list_filter(regexp_split_to_array(array_to_string(b, chr(10)), '\\n\\n+'), lambda x: regexp_matches(x, '[\\p{{L}}\\p{{N}}]')) as blocks from b),
 tp as ({templates}), kn as (select tid, license, term, 1 + ln(count(*)) as tf from (select tid, license, unnest({terms_of('text')}) as term from tp) group by all),
-idf as (select term, ln((1.0e0 + {len(TEMPLATES)}) / (1.0e0 + count(*))) + 1 as idf from kn group by term),
+n as (select count(*) as n from d), se as (select term, count(*) as df from (select distinct row, unnest({terms_of("array_to_string(l, chr(10))")}) as term from d) group by term),
+idf as (select term, ln((1.0e0 + any_value(n)) / (1.0e0 + coalesce(any_value(df), 0))) + 1 as idf from (select distinct term from kn) left join se using (term), n group by term),
 vo as (select list(term) as vo from idf),
 runs as (select row, unnest(list_filter(regexp_split_to_array(array_to_string(list_transform(b, lambda x: case when len({terms_of('x')}) > 0 and len(list_filter({terms_of('x')}, lambda y: list_contains(vo, y))) >= {NEAR} * len({terms_of('x')}) then x else '' end), chr(10)), '\\n\\n+'), lambda x: x <> '')) as unit from w, vo),
 u as (select row, {LINE} as kind, trim(unit, ' ') as unit from (select row, unnest(b) as unit from w) union select row, {BLOCK}, trim(unit, ' ') from (select row, unnest(blocks) as unit from w union all select row, unit from runs) union all select row, {TEXT}, whole from w),
 k as (select distinct unit from u where unit <> ''), tf as (select unit, term, 1 + ln(count(*)) as tf from (select unit, unnest({terms_of('unit')}) as term from k) group by all),
 kt as (select tid, license, term, tf * idf / sqrt(sum((tf * idf) ** 2) over (partition by tid)) as wt from kn join idf using (term)),
-uw as (select unit, term, tf * coalesce(idf, 1 + ln(1.0e0 + {len(TEMPLATES)})) as w from tf left join idf using (term)), len as (select unit, sqrt(sum(w * w)) as len from uw group by 1),
+uw as (select unit, term, tf * coalesce(idf, 1 + ln(1.0e0 + n)) as w from tf left join idf using (term), n), len as (select unit, sqrt(sum(w * w)) as len from uw group by 1),
 dots as (select unit, tid, license, sum(w * wt) as dot from uw join kt using (term) group by all),
 lt as (select tid, count(*) >= {LONG} as long from kn group by tid), hit as (select unit, kind, license, round(dot / len, 9) as cosine from dots join len using (unit) join lt using (tid), (select unnest([{LINE}, {BLOCK}, {TEXT}]) as kind)
   where round(dot / len, 9) >= case when kind = {TEXT} then {WHOLE} else {LEAST} end and (kind <> {BLOCK} or long)),
