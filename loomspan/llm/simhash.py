@@ -24,7 +24,7 @@ TILE, AT_ONCE, HELD = 32_768, 1 << 18, 400_000
 #: pairs of texts with it (measured), none differs in more than 17 of the first.
 COPY_SHINGLE, COPY_LEAST, COPY_RADIUS, COPY_RADIUS_128 = 5, 0.8, 17, 30
 #: Texts of candidates in a tile.
-COPY_TILE = 2048
+COPY_TILE = 1024
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
@@ -81,7 +81,7 @@ def _lanes(x: np.ndarray, lanes: int) -> np.ndarray:
     return np.stack([np.bitwise_count(x >> np.uint64(width * i) & mask) for i in range(lanes)], 1).astype(np.int16)
 
 
-def _pairs(a: np.ndarray, b: np.ndarray, radius: int, lanes: int = 4) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _pairs(a: np.ndarray, b: np.ndarray, radius: int, lanes: int = 4, at_once: int = AT_ONCE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places (i, j) where a[i] and b[j] differ in radius bits at most: every pair, unless population counts rule it out.
 
     A large tile is cut into smaller ones of equal population counts in 4, then 8 lanes; two of these are skipped if the
@@ -102,7 +102,7 @@ def _pairs(a: np.ndarray, b: np.ndarray, radius: int, lanes: int = 4) -> Iterato
             for i, j in _pairs(a[pa_], b[pb], radius, lanes * 2):
                 yield pa_[i], pb[j]
         return
-    step = max(1, AT_ONCE // max(1, len(b)))
+    step = max(1, at_once // max(1, len(b)))
     for i in range(0, len(a), step):
         x = np.bitwise_count(a[i : i + step, None] ^ b[None, :]) <= radius
         if x.any():
@@ -113,15 +113,15 @@ def _pairs(a: np.ndarray, b: np.ndarray, radius: int, lanes: int = 4) -> Iterato
 class Forest:
     """Links thinned to a spanning forest, so that what is held and sent grows with the nodes, not with the pairs."""
 
-    def __init__(self) -> None:
-        self.u, self.v, self.n = [], [], 0
+    def __init__(self, held: int = HELD) -> None:
+        self.u, self.v, self.n, self.held = [], [], 0, held
 
     def add(self, u: np.ndarray, v: np.ndarray) -> None:
         keep = u != v
         self.u.append(u[keep])
         self.v.append(v[keep])
         self.n += int(keep.sum())
-        if self.n > HELD:
+        if self.n > self.held:
             self.thin()
 
     def thin(self) -> tuple[np.ndarray, np.ndarray]:
@@ -279,11 +279,11 @@ def _candidates(nodes: DataFrame, radius: int, radius_128: int, least: float, ti
     both = _meet(*_tiles(nodes, kind, tile, carry), steps, carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = Forest()
+        found = Forest(HELD // 4)  # in a wide radius whole tiles may be alike
         for batch in batches:
             for row in range(len(batch)):
                 fa, ga, ia, na, fb, gb, ib, nb = _row(batch, row)
-                for i, j in _pairs(fa.view(np.uint64), fb.view(np.uint64), radius):
+                for i, j in _pairs(fa.view(np.uint64), fb.view(np.uint64), radius, at_once=AT_ONCE // 4):
                     near = _allowed(fa[i], ga[i], na[i], fb[j], gb[j], nb[j], radius_128, least)
                     found.add(ia[i][near], ib[j][near])
         u, v = found.thin()
@@ -350,7 +350,7 @@ def _verified(members: DataFrame, radius: int, radius_128: int, least: float, si
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(nodes[first[far]])], ["u", "v"])
             group.clear()
 
-        for b in batches:
+        for b in (x.slice(i, 512) for x in batches for i in range(0, len(x), 512)):
             for *of, k, node, fp, fp2, z in zip(*(c.to_pylist() for c in b.columns)):
                 if of != key:
                     yield from links()
