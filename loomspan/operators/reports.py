@@ -10,12 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomspan.codec.record import SIZE, dump
 from loomspan.codec.streams import EXACT_KINDS
 
 #: Kinds of exact storage in reports of other programs, and the thresholds of a regression.
 FOREIGN_EXACT = ("raw", "const", "aseq", "bseq", "lossless")
 EXACT = tuple(dict.fromkeys(EXACT_KINDS + FOREIGN_EXACT))
 RATIO_DROP, ERROR_RISE, RATE_DROP = 0.05, 0.10, 0.10
+#: Types that a summary shows of their own, and the size up to which exact rows are taken as stored one by one.
+SPOTLIGHTS, TINY = ("mask", "bias", "mixed_precision"), 4096
 
 
 def effective_bytes() -> Column:
@@ -112,6 +115,75 @@ def spotlight_deltas(baseline: DataFrame, current: DataFrame, types: list[str],
     return j.orderBy(F.desc("saved"), F.desc("tensor_type"), F.desc("benchmark_name")).limit(k)
 
 
+def _json_length(text: Column) -> Column:
+    """How long a text is as JSON in ASCII, without its quotes."""
+    for characters, written in (("[\\x{10000}-\\x{10FFFF}]", "u" * 12), ("[^\\x00-\\x7F]", "u" * 6), ("[\"\\\\\\x08-\\x0A\\x0C\\x0D]", "uu"), ("[\\x00-\\x1F]", "u" * 6)):
+        text = F.regexp_replace(text, characters, written)
+    return F.length(text)
+
+
+def stored_bytes() -> Column:
+    """Bytes of a row's record in a container of its own: two segments, their metadata with these lengths, the payload."""
+    payload, meta, raw = (F.coalesce(F.col(c), F.lit(0)) for c in ("payload_bytes", "metadata_bytes", "raw_bytes"))
+    record = {"chunk_count": 1, "chunk_lengths": [0], "header": bytes(SIZE), "metadata": b"", "name": "", "original_nbytes": 0, "record_id": 0}
+    fixed = len(dump(record)) + len(dump({"index": 0, "length": 0, "record_id": 0})) - 3 + 2 * 24
+    digits = lambda c: F.length(c.cast("string"))
+    return fixed + 2 * digits(payload) + digits(raw) + 4 * F.ceil(meta / 3) + _json_length(F.col("tensor_name")) + payload
+
+
+def summary_bytes() -> Column:
+    """Bytes that summaries compare: those in the container if known, else of small exact rows what they would take in one, else compressed ones."""
+    return F.coalesce("container_bytes", F.when(is_exact() & (F.col("raw_bytes") <= TINY), stored_bytes()).otherwise(F.col("compressed_bytes")))
+
+
+def summary_overhead() -> Column:
+    """The part of summary_bytes that is not payload."""
+    apart = stored_bytes() - F.coalesce("payload_bytes", F.lit(0))
+    known = F.coalesce("metadata_bytes", F.lit(0)) + F.coalesce("header_bytes", F.lit(0))
+    return F.coalesce("container_overhead_bytes", F.when(is_exact() & (F.col("raw_bytes") <= TINY), apart).otherwise(known))
+
+
+def spotlights(results: DataFrame, types: list[str], k: int) -> DataFrame:
+    """The k rows of these types that lose most to the raw baseline, then to the quantized one, then the largest; a row without one comes last."""
+    e = results.filter(F.col("tensor_type").isin(types)).withColumn("eff", summary_bytes())
+    loss = [F.desc_nulls_last(F.col("eff") - F.nullif(f"zstd_{z}_bytes", F.lit(0))) for z in ("raw", "quantized")]
+    return e.orderBy(*loss, F.desc("eff"), "benchmark_name").limit(k)
+
+
+def summary(results: DataFrame, worst: int = 8, spotlight: int = 8, tiny: int = TINY) -> dict[str, DataFrame]:
+    """Tables of a summary by title: aggregates, worst rows, small exact rows, spotlights."""
+    a, shown = aggregates(results), ["benchmark_name", "tensor_type", "raw_bytes", "eff", "zstd_raw_bytes", "zstd_quantized_bytes"]
+    columns = ["rows", "raw_bytes_total", "compressed_bytes_total", "aggregate_compression_ratio", "mean_mse", "mean_cosine_similarity", "mean_overhead_bytes", "median_overhead_bytes"]
+    out = {"overall": a.filter("level = 'run'").select(columns)}
+    out["by model"] = a.filter("level = 'model'").select("model", "revision", *columns).orderBy("model", "revision")
+    out["by type"] = a.filter("level = 'type'").select("tensor_type", *columns).orderBy("tensor_type")
+    out["worst against the quantized baseline"] = worst_vs_quantized(results.withColumn("container_bytes", summary_bytes()), worst).select(shown)
+    out[f"exact rows of up to {tiny} bytes"] = tiny_cohort(results.withColumns({"container_bytes": summary_bytes(), "container_overhead_bytes": summary_overhead()}), tiny)
+    for t in SPOTLIGHTS:
+        out[f"spotlight: {t}"] = spotlights(results.filter(F.lower("tensor_type") == t), [t, t.upper()], spotlight).select(shown)
+    return out
+
+
+def summary_deltas(baseline: DataFrame, current: DataFrame, spotlight: int = 8, tiny: int = TINY) -> dict[str, DataFrame]:
+    """Tables of what changed: aggregates of the run and of the spotlit types, small exact rows, spotlit rows."""
+    key, named = F.coalesce("tensor_type", F.lit("run")), ["rows", "compressed_bytes_total", "aggregate_compression_ratio"]
+
+    def totals(r: DataFrame, name: str) -> DataFrame:
+        a = aggregates(r).filter((F.col("level") == "run") | (F.col("level") == "type") & F.lower("tensor_type").isin(*SPOTLIGHTS))
+        return a.select(key.alias("of"), *[F.col(c).alias(f"{c}_{name}") for c in named])
+
+    def small(r: DataFrame, name: str) -> DataFrame:
+        c = tiny_cohort(r.withColumns({"container_bytes": summary_bytes(), "container_overhead_bytes": summary_overhead()}), tiny)
+        return c.select(F.lit(name).alias("of"), "*")
+
+    rows = spotlight_deltas(baseline, current, [x for t in SPOTLIGHTS for x in (t, t.upper())], spotlight)
+    return {
+        "aggregates": totals(baseline, "before").join(totals(current, "after"), "of").orderBy("of"),
+        f"exact rows of up to {tiny} bytes": small(baseline, "before").unionByName(small(current, "after")),
+        "spotlights": rows.select("benchmark_name", "tensor_type", "before", "compressed_bytes", "saved"),
+    }
+
+
 def is_exact() -> Column:
     free = (F.col("mse") == 0) & (F.col("max_abs_error") == 0) & (F.col("relative_error") == 0)
     return F.when(F.col("exact_kind").isNotNull(), F.col("exact_kind").isin(*EXACT)).otherwise(free)
