@@ -5,8 +5,8 @@ from __future__ import annotations
 import numpy as np
 
 from loomspan.codec import tensors as T
+from loomspan.operators.routing import KV_NAMES, NORM_NAMES, OPTIMIZER_NAMES, WEIGHT_NAMES
 
-OPTIMIZER = ("exp_avg", "exp_avg_sq", "adam", "momentum", "moments", "state", "optimizer", "velocity")
 SAMPLE, MASKED = 65_536, 4096
 
 
@@ -41,13 +41,13 @@ def detect(name: str, a: np.ndarray, ndim: int | None = None, shape: tuple[int,
     has = lambda *parts: any(p in low for p in parts)
     rules = (
         (lambda: not a.size, T.UNKNOWN),
-        (lambda: has(*OPTIMIZER), T.OPTIMIZER_STATE),
+        (lambda: has(*OPTIMIZER_NAMES), T.OPTIMIZER_STATE),
         (lambda: a.dtype != np.float32, T.MIXED_PRECISION),
         (lambda: has("embed"), T.EMBEDDING),
         (lambda: ndim >= 2 and _mask(a), T.MASK),
         (lambda: has("bias"), T.BIAS),
-        (lambda: ndim == 4 and has("k_cache", "v_cache", "key", "value"), T.KV_CACHE),
-        (lambda: has("weight", "lm_head", "mlp", "attn"), T.WEIGHT),
+        (lambda: ndim == 4 and has(*KV_NAMES), T.KV_CACHE),
+        (lambda: has(*WEIGHT_NAMES), T.WEIGHT),
         (lambda: float((np.abs(_sample(a, SAMPLE)) < 1e-6).mean()) > 0.5, T.ACTIVATION),
         (lambda: ndim == 2 and _gaussian(a), T.WEIGHT),
         (lambda: ndim >= 4 and _cache_shape(shape), T.KV_CACHE),
@@ -59,5 +59,5 @@ def detect(name: str, a: np.ndarray, ndim: int | None = None, shape: tuple[int,
 def exact(name: str, nbytes: int) -> bool:
     """Small tensors, and those of normalization layers by name, are kept as they are."""
     low = (name or "").lower()
-    norm = any(p in low for p in ("layernorm", "layer_norm", "rmsnorm", "rms_norm", ".ln_", ".norm")) or low.startswith("ln_") or low.endswith(("norm.weight", "norm.bias"))
+    norm = any(p in low for p in (*NORM_NAMES, ".ln_", ".norm")) or low.startswith("ln_") or low.endswith(("norm.weight", "norm.bias"))
     return nbytes <= T.EXACT_BYTES or norm

@@ -159,8 +159,8 @@ def errors(df: DataFrame, back: DataFrame) -> DataFrame:
     return s.select("tensor_name", "n", (F.col("se") / F.col("n")).alias("mse"), "max_abs", F.when(flat, 1.0).otherwise(F.col("ab") / F.sqrt(F.when(flat, 1.0).otherwise(F.col("aa") * F.col("bb")))).alias("cosine"))
 
 
-def write_container(records: DataFrame, path: str, chunk_size: int = 1 << 20, version: int = container.THREE) -> int:
-    """Records in one file, by name and chunk. Its bytes are in one order, so one task writes it; the table of records is
+def write_container(records: DataFrame, path: str, chunk_size: int = 1 << 20, version: int = container.THREE, count: int | None = None) -> int:
+    """Records in one file, by name and chunk; count: how many there are, if known, for the header. Its bytes are in one order, so one task writes it; the table of records is
     the form to keep at scale. Tensors of several chunks are written as one record a chunk, named name#chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,6 +172,6 @@ def write_container(records: DataFrame, path: str, chunk_size: int = 1 << 20, ve
                         r.name = f"{r.name}#{row['chunk']}"
                     yield r
 
-        yield pa.RecordBatch.from_arrays([pa.array([container.write(path, records(), chunk_size, version)], pa.int64())], ["n"])
+        yield pa.RecordBatch.from_arrays([pa.array([container.write(path, records(), chunk_size, version, count)], pa.int64())], ["n"])
 
     return records.repartition(1).sortWithinPartitions("tensor_name", "chunk").mapInArrow(run, "n long").first()[0]

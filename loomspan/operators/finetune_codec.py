@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
-from dataclasses import replace
+from dataclasses import asdict, replace
+from datetime import UTC, datetime
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,8 @@ from loomspan.config import Config
 from loomspan.operators.compress import _rows, array_of
 from loomspan.operators.finetune import TINY, membership
 
+#: The route, and the name, of the record that tells what a table of differences holds; no tensor has this route.
+MANIFEST = "manifest"
 #: The columns of a table of differences. route is added for tensors that the base lacks; base_crc identifies the base's chunk.
 DELTAS = "tensor_name string, dtype string, shape array<long>, chunk int, chunks int, first long, route string, base_crc long, meta string, payload binary"
 
@@ -140,7 +144,7 @@ def restore(base: DataFrame, deltas: DataFrame) -> DataFrame:
     from loomspan.sources.tables import SCHEMA
 
     b = base.select(F.col("tensor_name").alias("_n"), F.col("chunk").alias("_c"), F.col("data").alias("base"))
-    joined = deltas.join(b, (F.col("tensor_name") == F.col("_n")) & (F.col("chunk") == F.col("_c")), "left").drop("_n", "_c")
+    joined = deltas.filter(F.col("route") != MANIFEST).join(b, (F.col("tensor_name") == F.col("_n")) & (F.col("chunk") == F.col("_c")), "left").drop("_n", "_c")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,7 +164,41 @@ def restore(base: DataFrame, deltas: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, SCHEMA)
 
 
+def pack_manifest(told: dict) -> np.ndarray:
+    """A manifest as a tensor of bytes: JSON with sorted keys."""
+    return np.frombuffer(json.dumps(told, sort_keys=True, separators=(",", ":")).encode(), np.uint8)
+
+
+def unpack_manifest(a: np.ndarray) -> dict:
+    try:
+        return json.loads(np.ascontiguousarray(a, np.uint8).tobytes())
+    except ValueError as e:
+        raise CodecError("not a manifest") from e
+
+
+def with_manifest(base: DataFrame, deltas: DataFrame, base_id: str, config: Config = Config()) -> DataFrame:
+    """A table of differences with a record more: a manifest, for those who have not got the base.
+
+    It tells what is shared, added and removed with routes and sizes, the settings, and when it was made (UTC). It is one
+    row, so it has the names of all tensors, which are metadata, and none of their cells.
+    """
+    rows = [r.asDict() for r in manifest(base, deltas).orderBy("tensor_name").toLocalIterator()]
+    told = {"format_version": 1, "base_model_id": base_id, "config": asdict(config), "created_at": datetime.now(UTC).isoformat(), "tensors": rows}
+    a = pack_manifest(told)
+    row = (MANIFEST, "uint8", [len(a)], 0, 1, 0, MANIFEST, 0, "{}", bytearray(a.tobytes()))
+    return deltas.unionByName(deltas.sparkSession.createDataFrame([row], DELTAS))
+
+
+def inspect(deltas: DataFrame) -> dict:
+    """The manifest of a table of differences, read without the base."""
+    row = deltas.filter(F.col("route") == MANIFEST).select("payload").first()
+    if row is None:
+        raise CodecError("no manifest among the differences")
+    return unpack_manifest(np.frombuffer(row[0], np.uint8))
+
+
 def manifest(base: DataFrame, deltas: DataFrame) -> DataFrame:
     """What a table of differences holds: each tensor's route and sizes, and those that the base has and it lacks (removed)."""
+    deltas = deltas.filter(F.col("route") != MANIFEST)
     d = deltas.groupBy("tensor_name").agg(F.first("route").alias("route"), F.sum(F.octet_length("payload")).alias("payload_bytes"))
     return membership(base, deltas).join(d, "tensor_name", "left")

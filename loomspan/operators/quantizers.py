@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +33,13 @@ class Layout:
         return [*named, ("block", F.floor(F.col(self.channel) / F.lit(self.block_size)))]
 
 
+class Ranges(Protocol):
+    """What finds the range of values of each group; any object with this method is a policy."""
+
+    def ranges(self, cells: DataFrame, keys: list[str], x: str, mode: str) -> DataFrame:
+        """keys, lo, hi: a row per group."""
+
+
 @dataclass(frozen=True)
 class Policy:
     """Least and largest value of a group, or percentiles that leave out its tails."""
@@ -51,7 +59,7 @@ class Policy:
         return percentiles(cells, keys, x, [tail, 1 - tail]).withColumnsRenamed({"p0": "lo", "p1": "hi"})
 
 
-def calibrate(cells: DataFrame, tensor: list[str], bits: int, mode: str = affine.SYMMETRIC, layout: Layout = Layout(), policy: Policy = Policy(), x: str = "x") -> DataFrame:
+def calibrate(cells: DataFrame, tensor: list[str], bits: int, mode: str = affine.SYMMETRIC, layout: Layout = Layout(), policy: Ranges = Policy(), x: str = "x") -> DataFrame:
     """Parameters of each group: its keys, lo, hi, scale, zero."""
     keys = layout.keys(tensor)
     named = cells.withColumns(dict(keys))
@@ -59,14 +67,48 @@ def calibrate(cells: DataFrame, tensor: list[str], bits: int, mode: str = affine
     return r.withColumn("p", affine.params(F.col("lo"), F.col("hi"), bits, mode)).select("*", "p.scale", "p.zero").drop("p")
 
 
-def quantize(cells: DataFrame, tensor: list[str], bits: int, mode: str = affine.SYMMETRIC, layout: Layout = Layout(), policy: Policy = Policy(), x: str = "x") -> DataFrame:
+def _joined(cells: DataFrame, parameters: DataFrame, tensor: list[str], layout: Layout) -> DataFrame:
+    keys = layout.keys(tensor)
+    named, p = cells.withColumns(dict(keys)), parameters.drop("lo", "hi")
+    return named.join(p, [k for k, _ in keys]) if keys else named.crossJoin(F.broadcast(p))  # one row of parameters
+
+
+def quantize(cells: DataFrame, tensor: list[str], bits: int, mode: str = affine.SYMMETRIC, layout: Layout = Layout(), policy: Ranges = Policy(), x: str = "x") -> DataFrame:
     """cells with scale, zero, the code q and the value y that it stands for.
 
     Parameters are joined to the cells by group. Cells are the large side and are not shuffled while the parameters
     are few enough to be broadcast; else the join is by group, which AQE splits if one is hot.
     """
-    p = calibrate(cells, tensor, bits, mode, layout, policy, x)
-    keys = layout.keys(tensor)
-    j = cells.withColumns(dict(keys)).join(p.drop("lo", "hi"), [k for k, _ in keys])
-    j = j.withColumn("q", affine.quantize(F.col(x), F.col("scale"), F.col("zero"), bits, mode))
-    return j.withColumn("y", affine.dequantize(F.col("q"), F.col("scale"), F.col("zero")))
+    q = Uniform(bits, mode, layout)
+    return q.dequantize(q.quantize(cells, tensor, calibrate(cells, tensor, bits, mode, layout, policy, x), x))
+
+
+@dataclass(frozen=True)
+class Calibrator:
+    """Settings under which parameters are found, as one object: calibrate(cells, tensor) gives keys, lo, hi, scale, zero."""
+
+    bits: int = 8
+    mode: str = affine.SYMMETRIC
+    layout: Layout = Layout()
+    policy: Ranges = Policy()
+
+    def calibrate(self, cells: DataFrame, tensor: list[str], x: str = "x") -> DataFrame:
+        return calibrate(cells, tensor, self.bits, self.mode, self.layout, self.policy, x)
+
+
+@dataclass(frozen=True)
+class Uniform:
+    """Codes of cells under parameters that were found before, on these cells or on others, and back."""
+
+    bits: int = 8
+    mode: str = affine.SYMMETRIC
+    layout: Layout = Layout()
+
+    def quantize(self, cells: DataFrame, tensor: list[str], parameters: DataFrame, x: str = "x") -> DataFrame:
+        """cells with scale, zero and the code q. A cell whose group has no parameters is left out, as it has no code."""
+        j = _joined(cells, parameters, tensor, self.layout)
+        return j.withColumn("q", affine.quantize(F.col(x), F.col("scale"), F.col("zero"), self.bits, self.mode))
+
+    def dequantize(self, codes: DataFrame) -> DataFrame:
+        """codes (q, scale, zero) with y, the values that they stand for."""
+        return codes.withColumn("y", affine.dequantize(F.col("q"), F.col("scale"), F.col("zero")))

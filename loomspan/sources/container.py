@@ -26,6 +26,8 @@ KINDS = ("raw", "constant", "sequence", "along")
 ELEMENTS = ("|b1", "|u1", "|i1", "<u2", "<i2", "<u4", "<i4", "<u8", "<i8", "<f2", "<f4", "<f8")
 #: Exact tensors up to so many bytes are bundled; up to twice as many if their form says it all.
 BUNDLED = 2048
+#: A segment of the writer's holds so many of them at most, so that what waits is bounded.
+MOST_BUNDLED = 65_536
 
 
 @dataclass(frozen=True)
@@ -59,14 +61,18 @@ def _bundle_entry(r: Record) -> tuple[bytes, bytes]:
 
 
 class Writer:
-    """Writes records as they come. Small exact ones wait, to share a segment if there are two or more of them in a row."""
+    """Writes records as they come. Small exact ones wait, to share a segment if there are two or more of them in a row.
 
-    def __init__(self, path: str, chunk_size: int = 1 << 20, version: int = THREE) -> None:
+    count: how many records there will be, if that is known; the header then tells it, and another number raises at the end.
+    """
+
+    def __init__(self, path: str, chunk_size: int = 1 << 20, version: int = THREE, count: int | None = None) -> None:
         self.store, self.path = store_of(path)
-        self.chunk_size, self.version, self.n, self.waiting = chunk_size, version, 0, []
+        self.chunk_size, self.version, self.n, self.waiting, self.count = chunk_size, version, 0, [], count
         self.file = self.store.open_output_stream(self.path, compression=None)
-        # the count is at the end of the header, which a stream can't go back to: it is told as unknown
-        self.file.write(struct.pack(LEAD, MARK, version) + struct.pack(REST, STREAMED, UNKNOWN))
+        # the count is at the end of the header, which a stream can't go back to: if it is not known before, it is told as unknown
+        told = (STREAMED, UNKNOWN) if count is None else (STREAMED | COUNTED, count)
+        self.file.write(struct.pack(LEAD, MARK, version) + struct.pack(REST, *told))
 
     def __enter__(self) -> Writer:
         return self
@@ -75,6 +81,8 @@ class Writer:
         if kind is None:
             self._flush()
         self.file.close()
+        if kind is None and self.count not in (None, self.n):
+            raise CodecError(f"{self.n} tensors were written where {self.count} were told")
 
     def _segment(self, kind: int, meta: bytes, payload: bytes) -> None:
         self.file.write(struct.pack(SEGMENT, SEGMENT_MARK, 1, kind, 0, len(meta), len(payload)))
@@ -84,6 +92,8 @@ class Writer:
     def add(self, r: Record) -> None:
         if self.version == THREE and bundles(r):
             self.waiting.append(r)
+            if len(self.waiting) == MOST_BUNDLED:
+                self._flush()
             return
         self._flush()
         self._tensor(r)
@@ -107,8 +117,8 @@ class Writer:
         self.n += 1
 
 
-def write(path: str, records: Iterable[Record], chunk_size: int = 1 << 20, version: int = THREE) -> int:
-    with Writer(path, chunk_size, version) as w:
+def write(path: str, records: Iterable[Record], chunk_size: int = 1 << 20, version: int = THREE, count: int | None = None) -> int:
+    with Writer(path, chunk_size, version, count) as w:
         for r in records:
             w.add(r)
     return w.n

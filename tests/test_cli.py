@@ -20,7 +20,7 @@ def test_commands(spark, tmp_path, capsys):
         assert np.abs(back - a["w.weight"]).max() < 0.1 and (np.load(tmp_path / f"back-{out}" / "ids.npy") == a["ids"]).all()
     assert run(["profile", path("m")], spark) == 0
     assert run(["delta-compress", path("m"), path("t"), path("d")], spark) == 0
-    assert run(["delta-inspect", path("m"), path("d")], spark) == 0
+    assert run(["delta-inspect", path("d")], spark) == 0
     assert run(["delta-restore", path("m"), path("d"), path("again")], spark) == 0
     assert np.abs(np.load(tmp_path / "again" / "w.weight.npy") - a["w.weight"] - 0.001).max() < 1e-4
     assert "sign_scale" in capsys.readouterr().out
@@ -28,6 +28,14 @@ def test_commands(spark, tmp_path, capsys):
         assert run(["decompress", path("c"), path(out)], spark) == 0
     assert (np.load(tmp_path / "x.npz")["ids"] == a["ids"]).all()
     assert run(["benchmark", "synthetic", path("b1")], spark) == 0 and run(["compare", path("b1"), path("b1")], spark) == 0
+    assert run(["summarize", path("b1"), "--compare", path("b1"), "--tiny-threshold", "8192"], spark) == 0
+    out = capsys.readouterr().out
+    assert "spotlight: mixed_precision" in out and "h.0.ln_1.bias" in out and "aggregates" in out
+    assert run(["benchmark", "synthetic", path("b2"), "--seed", "3", "--repeats", "1", "--zstd-level", "1", "--extras", "1"], spark) == 0
+    from loomspan.sources.reports import read_rows
+
+    names = {r[0] for r in read_rows(spark, path("b2")).select("tensor_name").collect()}
+    assert len([n for n in names if n.startswith("symbols.")]) <= 1 < len(names)
     assert run(["benchmark", path("m")], spark) == 0
     assert run(["compress", path("none"), path("x")], spark) == 1 and run(["compress", path("m"), path("x"), "--bits", "99"], spark) == 1
 

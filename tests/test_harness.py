@@ -81,3 +81,38 @@ def test_backends():
         registry.register(registry.CODERS, "lanes", lanes)
     with pytest.raises(ValueError):
         registry.get(registry.PACKERS, "none")
+
+
+def test_quantizer_objects(spark):
+    from loomspan.operators import quantizers as Q
+
+    cells = spark.createDataFrame([("a", float(x)) for x in range(-7, 8)] + [("b", 70.0)], "t string, x double")
+
+    class Fixed:
+        def ranges(self, cells, keys, x, mode):
+            return cells.select(*keys).distinct().selectExpr("*", "-7D as lo", "7D as hi")
+
+    p = Q.Calibrator(4, policy=Fixed()).calibrate(cells, ["t"])
+    coded = Q.Uniform(4).quantize(cells, ["t"], p)
+    back = {(r["t"], r["x"]): (r["q"], r["y"]) for r in Q.Uniform(4).dequantize(coded).collect()}
+    assert all(back["a", float(x)] == (x, float(x)) for x in range(-7, 8)) and back["b", 70.0] == (7, 7.0)
+    same = Q.quantize(cells, ["t"], 4, policy=Fixed()).collect()
+    assert {(r["t"], r["x"]): (r["q"], r["y"]) for r in same} == back
+    whole = Q.quantize(cells, [], 4)
+    assert whole.count() == 16 and whole.agg({"q": "max"}).first()[0] == 7
+
+
+def test_spotlights(spark):
+    from loomspan.sources.reports import complete
+
+    rows = [("big", "mask", 9000, 500, 400, 300, None), ("none", "mask", 9000, 900, None, 100, None), ("zero", "mask", 9000, 901, 0, 950, None), ("tiny", "mask", 64, 10, 900, 10, "raw"), ("other", "bias", 1, 1, 1, 1, None)]
+    df = spark.createDataFrame(rows, "tensor_name string, tensor_type string, raw_bytes long, compressed_bytes long, zstd_raw_bytes long, zstd_quantized_bytes long, exact_kind string")
+    df = complete(df.selectExpr("*", "tensor_name as benchmark_name", "10L as payload_bytes", "5L as metadata_bytes", "1D as mse"))
+    got = reports.spotlights(df, ["mask"], 10).select("benchmark_name", "eff").collect()
+    assert [r[0] for r in got] == ["big", "tiny", "none", "zero"]
+    record = '{"chunk_count":1,"chunk_lengths":[10],"header":{"__bytes__":true,"data":"' + "A" * 86 + '=="},"metadata":{"__bytes__":true,"data":"AAAAAAA="},"name":"tiny","original_nbytes":64,"record_id":0}'
+    assert got[1]["eff"] == 48 + len(record) + len('{"index":0,"length":10,"record_id":0}') + 10
+    odd = df.filter("tensor_name = 'tiny'").withColumn("tensor_name", reports.F.lit('é"\n\x01\U0001f600')).select(reports._json_length(reports.F.col("tensor_name")).alias("n"))
+    import json
+
+    assert odd.first()["n"] == len(json.dumps('é"\n\x01\U0001f600')) - 2

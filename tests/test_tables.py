@@ -163,3 +163,45 @@ def test_fine_tuned(spark, tmp_path, chunk):
         assert np.abs(got[n].astype(float) - a).sum() <= np.abs(base.get(n, a).astype(float) - a).sum() + 1e-9 or n == "new"
     with pytest.raises(Exception, match="not the base"):
         finetune_codec.restore(t, deltas).collect()
+
+
+def test_header_count(spark, tmp_path):
+    from loomspan.codec import tensors
+    from loomspan.codec.errors import CodecError
+    from loomspan.config import Config
+    from loomspan.sources import container
+
+    made = [tensors.encode(f"t{i}", np.arange(i + 3), tensors.WEIGHT, Config(lossless=True)) for i in range(3)]
+    path = str(tmp_path / "counted.qnc")
+    assert container.write(path, made, count=3) == 3
+    head = open(path, "rb").read(12)
+    assert int.from_bytes(head[6:8], "little") == container.STREAMED | container.COUNTED and int.from_bytes(head[8:12], "little") == 3
+    assert [e.name for e in container.scan(path)] == ["t0", "t1", "t2"]
+    with pytest.raises(CodecError):
+        container.write(path, made, count=4)
+    with pytest.raises(CodecError):
+        list(container.scan(path))
+    container.write(path, made)
+    assert int.from_bytes(open(path, "rb").read(12)[8:12], "little") == container.UNKNOWN
+
+
+def test_manifest(spark):
+    from loomspan.codec.errors import CodecError
+    from loomspan.operators import finetune_codec
+    from loomspan.sources.tables import SCHEMA
+
+    def tensors_of(made):
+        return spark.createDataFrame([(n, a.dtype.name, list(a.shape), 0, 1, 0, bytearray(a.tobytes())) for n, a in made.items()], SCHEMA)
+
+    a = np.arange(600, dtype=np.float32)
+    base, tuned = tensors_of({"a": a, "gone": a}), tensors_of({"a": a, "new": a})
+    deltas = finetune_codec.compress(base, tuned)
+    told = finetune_codec.with_manifest(base, deltas, "base")
+    m = finetune_codec.inspect(told)
+    assert m["base_model_id"] == "base" and m["created_at"].endswith("+00:00") and m["config"]["bits"]
+    assert {r["tensor_name"]: r["membership"] for r in m["tensors"]} == {"a": "shared", "gone": "removed", "new": "added"}
+    assert sorted(r["tensor_name"] for r in finetune_codec.restore(base, told).collect()) == ["a", "new"]
+    assert (finetune_codec.unpack_manifest(finetune_codec.pack_manifest(m)) == m) and finetune_codec.pack_manifest(m).dtype == np.uint8
+    for bad in (lambda: finetune_codec.inspect(deltas), lambda: finetune_codec.unpack_manifest(np.array([1, 2], np.uint8))):
+        with pytest.raises(CodecError):
+            bad()
