@@ -9,7 +9,7 @@ import struct
 import uuid
 import zlib
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs
@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, new_path, spread, staged, table
 
-#: An archive is closed beyond so many bytes; lines in an index block; bytes of an archive that one reading task covers.
-ARCHIVE, BLOCK, STRETCH = 256 << 20, 3000, 4 << 20
+#: An archive is closed beyond so many bytes; lines in an index block; bytes of an archive that one range read covers; bytes
+#: between two records that are read along rather than by another request.
+ARCHIVE, BLOCK, STRETCH, GAP = 256 << 20, 3000, 4 << 20, 64 << 10
 #: Fixed values of the format.
 VERSION, DATE = "WARC/1.1", "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -234,10 +235,24 @@ def look_up(wanted: DataFrame, index: DataFrame, folder: str) -> DataFrame:
     return keys.repartition(spread(wanted.sparkSession), "file").sortWithinPartitions("file", "key").mapInArrow(run, "archive string, at long, size long")
 
 
+def spans(entries: Iterable[tuple[str, int, int]], stretch: int = STRETCH, gap: int = GAP) -> Iterator[tuple[str, list[tuple[int, int]]]]:
+    """Entries (archive, at, size), in order, to what is read at once: records of one archive that are gap bytes apart at
+    most, over stretch bytes, or one larger record."""
+    name, held = None, []
+    for archive, at, size in entries:
+        if held and (archive != name or at - sum(held[-1]) > gap or at + size - held[0][0] > stretch):
+            yield name, held
+            held = []
+        name = archive
+        held.append((at, size))
+    if held:
+        yield name, held
+
+
 def read_records(entries: DataFrame, folder: str) -> DataFrame:
     """Reads records by range, in the order of each archive: page_id, url, payload_bytes, payload_digest, record_type, refers_to.
 
-    A response whose payload does not have the digest in its header raises.
+    Records near to each other share a range (spans), so that a store sees a request per STRETCH, not one per page. A response whose payload does not have the digest in its header raises.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,14 +260,17 @@ def read_records(entries: DataFrame, folder: str) -> DataFrame:
         name, file = None, None
         for b in batches:
             rows: list[tuple] = []
-            for archive, at, size in zip(*(c.to_pylist() for c in b.columns)):
+            for archive, places in spans(zip(*(c.to_pylist() for c in b.columns))):
                 if archive != name:
                     name, file = archive, store.open_input_file(f"{root}/{archive}")
-                fields, payload = parse(file.read_at(size, at))
-                digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-                if fields["WARC-Type"] == "response" and base32_sha1(payload) != digest:
-                    raise ValueError(f"{archive} at {at}: payload and digest differ")
-                rows.append((_page(fields["WARC-Record-ID"]), fields.get("WARC-Target-URI"), int(fields["WARC-Payload-Length"]), digest, fields["WARC-Type"], _page(fields.get("WARC-Refers-To"))))
+                start = places[0][0]
+                data = memoryview(file.read_at(sum(places[-1]) - start, start))
+                for at, size in places:
+                    fields, payload = parse(data[at - start : at - start + size])
+                    digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
+                    if fields["WARC-Type"] == "response" and base32_sha1(payload) != digest:
+                        raise ValueError(f"{archive} at {at}: payload and digest differ")
+                    rows.append((_page(fields["WARC-Record-ID"]), fields.get("WARC-Target-URI"), int(fields["WARC-Payload-Length"]), digest, fields["WARC-Type"], _page(fields.get("WARC-Refers-To"))))
             cols = list(zip(*rows)) or [()] * 6
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"])

@@ -844,3 +844,10 @@ def test_warc(spark, monkeypatch):
 
 def test_surt():
     assert warc.surt("http://Blog.A.com/x y?q") == "com,a,blog)/x%20y?q" and warc.surt(None) == ")"
+
+
+def test_warc_spans():
+    entries = [("a", 0, 10), ("a", 10, 5), ("a", 20, 5), ("a", 40, 100), ("a", 150, 3), ("b", 153, 4), ("b", 157, 1)]
+    got = list(warc.spans(iter(entries), stretch=30, gap=5))
+    assert got == [("a", [(0, 10), (10, 5), (20, 5)]), ("a", [(40, 100)]), ("a", [(150, 3)]), ("b", [(153, 4), (157, 1)])]
+    assert [(n, *p) for n, ps in got for p in ps] == entries and list(warc.spans(iter([]))) == []
