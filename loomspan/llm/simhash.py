@@ -23,8 +23,8 @@ TILE, AT_ONCE, HELD = 32_768, 1 << 18, 400_000
 #: may differ, of the first 64 and of all 128. At that share one expects 9.7 and 19.4, with deviations of 2.9 and 4.1; of 2,355
 #: pairs of texts with it (measured), none differs in more than 17 of the first.
 COPY_SHINGLE, COPY_LEAST, COPY_RADIUS, COPY_RADIUS_128 = 5, 0.8, 17, 30
-#: Texts of candidates in a tile.
-COPY_TILE = 1024
+#: Texts of candidates in a tile, and their bytes, compressed: a worker holds the shingles of two tiles.
+COPY_TILE, COPY_BYTES = 1024, 4 << 20
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
@@ -328,10 +328,11 @@ def joined(sets: list[np.ndarray], fp: np.ndarray, fp2: np.ndarray, sides: tuple
 def _verified(members: DataFrame, radius: int, radius_128: int, least: float, size: int, tile: int) -> DataFrame:
     """members (cluster, node, fp, fp2, z) to (u, v): links that connect just what similar texts of a cluster connect.
 
-    Only texts of one cluster of candidates can be linked. A cluster of more than tile texts is dealt to tiles, each pair
+    Only texts of one cluster of candidates can be linked. A cluster of more than tile texts, or of more than COPY_BYTES, is dealt to tiles, each pair
     of which is a task's worth; so no task holds more than two tiles of texts, and what comes back grows with the texts, not with their pairs.
     """
-    large = members.groupBy(F.col("cluster").alias("_c")).agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles")).filter("tiles > 1")
+    tiles = F.ceil(F.greatest(F.count("*") / tile, F.least(F.sum(F.octet_length("z")) / COPY_BYTES, F.count("*"))))
+    large = members.groupBy(F.col("cluster").alias("_c")).agg(tiles.cast("int").alias("tiles")).filter("tiles > 1")
     dealt = dimension_join(members, staged(large, "large", small=True), F.col("cluster") == F.col("_c")).withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     dealt = dealt.withColumn("k", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     dealt = dealt.select("cluster", F.least("k", "x").alias("ka"), F.greatest("k", "x").alias("kb"), "k", "node", "fp", "fp2", "z")

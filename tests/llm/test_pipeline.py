@@ -135,7 +135,7 @@ def test_repeated_and_null_ids(spark):
     assert sorted(((x["doc_id"], x["text"]) for x in kept), key=str) == sorted([(1, a), (2, min(b, b.upper())), (3, c), (3, d), (None, a), (None, d)], key=str)
 
 
-def test_near_copies_in_many_tiles(spark):
+def test_near_copies_in_many_tiles(spark, monkeypatch):
     """A large group whose members share 0.9 with their origin but less with each other, in small tiles."""
     r = random.Random(33)
     word = lambda: "".join(r.choice("aeioubcdfg") for _ in range(6))
@@ -144,7 +144,8 @@ def test_near_copies_in_many_tiles(spark):
     docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(rows)], DOCS)
     s = [shingle_set(t) for t in rows]
     root = roots(len(s), [(i, j) for i in range(len(s)) for j in range(i) if alike(s[i], s[j])])
-    for tile in (10, 1 << 15):
+    for tile, most in ((10, simhash.COPY_BYTES), (1 << 15, simhash.COPY_BYTES), (1 << 15, 3000)):
+        monkeypatch.setattr(simhash, "COPY_BYTES", most)
         got = {bytes(x["key"]): x["root"] for x in simhash.near_copies(docs, tile=tile, verify=tile).collect()}
         keyed = {x["doc_id"]: bytes(x["_key"]) for x in simhash.with_words_key(docs).collect()}
         mine = [got.get(keyed[i], f"own {i}") for i in range(len(rows))]
