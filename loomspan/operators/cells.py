@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: So many rows of parameters at most are sent to every task.
+FEW = 10_000
+
 
 def array_cells(df: DataFrame, key: str, array: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """A row per element of an array column: key, dim, x."""
@@ -17,6 +20,21 @@ def column_tensors(df: DataFrame, columns: list[str], keep: tuple[str, ...] = ()
     return df.select(*keep, F.explode(pairs).alias("t")).select(*keep, "t.*")
 
 
+def beside(cells: DataFrame, parameters: DataFrame, keys: list[str], how: str = "inner", few: int = FEW) -> DataFrame:
+    """cells joined to parameters, which has one row per group.
+
+    A join by key sends all cells of a group to one task, and a tensor is one group. So parameters are computed at once, and
+    up to few rows of them are broadcast: cells stay where they are, however large a group is. More groups are joined by key,
+    where AQE splits one that is hot.
+    """
+    if not keys:
+        return cells.crossJoin(F.broadcast(parameters))
+    rows = parameters.limit(few + 1).toArrow()
+    if rows.num_rows <= few:
+        parameters = F.broadcast(cells.sparkSession.createDataFrame(rows, parameters.schema))
+    return cells.join(parameters, keys, how)
+
+
 def coordinate(idx: Column, shape: list[int], axis: int) -> Column:
     """Coordinate along an axis (negative axes from the end) of a flat index in C order."""
     axis = axis if axis >= 0 else axis + len(shape)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.functions import affine
+from loomspan.operators.cells import beside
 
 #: Differences nearer to zero than this count as none.
 TINY = 1e-7
@@ -59,13 +60,13 @@ def approximate(diff: DataFrame, row: list[str], tensor: list[str], route: str,
         return diff.withColumn("approx", F.col(d).cast("double"))
     if route == "sign_scale":
         s = sign_scale(diff, row, d).select(*row, "scale")
-        return diff.join(s, row).withColumn("approx", F.when(F.col(d) >= 0, F.col("scale")).otherwise(-F.col("scale"))).drop("scale")
+        return beside(diff, s, row).withColumn("approx", F.when(F.col(d) >= 0, F.col("scale")).otherwise(-F.col("scale"))).drop("scale")
     keep = F.abs(F.col(d)) >= TINY if route == "sparse" else F.lit(True)
     width = min(bits + 2, 8) if route == "sparse" else bits
     group = tensor if route == "sparse" else row
     r = diff.filter(keep).groupBy(*group).agg(F.min(d).alias("lo"), F.max(d).alias("hi")).withColumn("p", affine.params(F.col("lo"), F.col("hi"), width)).select(*group, "p.*")
     q = affine.quantize(F.col(d), F.col("scale"), F.col("zero"), width)
-    return diff.join(r, group, "left").withColumn("approx", F.when(keep, affine.dequantize(q, F.col("scale"), F.col("zero"))).otherwise(0.0)).drop("scale", "zero")
+    return beside(diff, r, group, "left").withColumn("approx", F.when(keep, affine.dequantize(q, F.col("scale"), F.col("zero"))).otherwise(0.0)).drop("scale", "zero")
 
 
 def apply(approximated: DataFrame) -> DataFrame:

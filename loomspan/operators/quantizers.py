@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.functions import affine
+from loomspan.operators.cells import beside
 from loomspan.operators.profile import percentiles
 
 
@@ -69,15 +70,15 @@ def calibrate(cells: DataFrame, tensor: list[str], bits: int, mode: str = affine
 
 def _joined(cells: DataFrame, parameters: DataFrame, tensor: list[str], layout: Layout) -> DataFrame:
     keys = layout.keys(tensor)
-    named, p = cells.withColumns(dict(keys)), parameters.drop("lo", "hi")
-    return named.join(p, [k for k, _ in keys]) if keys else named.crossJoin(F.broadcast(p))  # one row of parameters
+    return beside(cells.withColumns(dict(keys)), parameters.drop("lo", "hi"), [k for k, _ in keys])
 
 
 def quantize(cells: DataFrame, tensor: list[str], bits: int, mode: str = affine.SYMMETRIC, layout: Layout = Layout(), policy: Ranges = Policy(), x: str = "x") -> DataFrame:
     """cells with scale, zero, the code q and the value y that it stands for.
 
     Parameters are joined to the cells by group. Cells are the large side and are not shuffled while the parameters
-    are few enough to be broadcast; else the join is by group, which AQE splits if one is hot.
+    are few enough to be broadcast (cells.FEW), for which they are computed at once; else the join is by group, which AQE
+    splits if one is hot.
     """
     q = Uniform(bits, mode, layout)
     return q.dequantize(q.quantize(cells, tensor, calibrate(cells, tensor, bits, mode, layout, policy, x), x))

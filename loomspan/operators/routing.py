@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomspan.operators.cells import beside
 from loomspan.operators.profile import any_of
 
 #: The codes of the tensor types.
@@ -65,7 +66,7 @@ def kv_shape(shape: Column) -> Column:
 def mask_values(cells: DataFrame, keys: list[str], idx: str = "idx", x: str = "x", most: int = 4096) -> DataFrame:
     """constant_or_mask of each tensor, from an even sample: four values at most, all one or all of 0, 1 and infinities."""
     size = cells.groupBy(*keys).agg(F.count("*").alias("_n"))
-    s = cells.join(size, keys).filter(F.pmod(F.col(idx), F.greatest(F.lit(1), F.floor(F.col("_n") / most))) == 0)
+    s = beside(cells, size, keys).filter(F.pmod(F.col(idx), F.greatest(F.lit(1), F.floor(F.col("_n") / most))) == 0)
     plain = F.col(x).isin(0.0, 1.0) | (F.abs(x) == float("inf"))
     # the sample has about most cells, so the distinct values of a tensor are bounded
     out = s.groupBy(*keys).agg(F.count_distinct(x).alias("d"), F.bool_and(plain).alias("plain"))

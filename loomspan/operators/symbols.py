@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomspan.operators.cells import beside
+
 TOTAL = 1 << 16
 
 
@@ -61,7 +63,7 @@ def arithmetic(df: DataFrame, keys: list[str], idx: str, x: str) -> DataFrame:
     """Whether x = start + step * idx throughout each group, with the start and step of its two first cells."""
     ends = df.groupBy(*keys).agg(F.min_by(x, idx).alias("start"), F.min(idx).alias("i0"), F.max_by(x, idx).alias("end"), F.max(idx).alias("i1"))
     step = F.when(F.col("i1") > F.col("i0"), (F.col("end") - F.col("start")) / (F.col("i1") - F.col("i0"))).otherwise(F.lit(0.0))
-    j = df.join(ends.select(*keys, F.col("start").alias("_s"), "i0", step.alias("_step")), keys)
+    j = beside(df, ends.select(*keys, F.col("start").alias("_s"), "i0", step.alias("_step")), keys)
     ok = F.col(x) == F.col("_s") + (F.col(idx) - F.col("i0")) * F.col("_step")
     return j.groupBy(*keys).agg(F.first("_s").alias("start"), F.first("_step").alias("step"), F.count("*").alias("n"), F.bool_and(ok).alias("arithmetic"))
 

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomspan.operators.cells import beside
+
 
 def channel_params(cells: DataFrame, channel: list[str], x: str = "x") -> DataFrame:
     """scale and zero of each channel in single precision: its largest magnitude and 0 if it crosses zero, else its range and least."""
@@ -21,7 +23,7 @@ def channel_params(cells: DataFrame, channel: list[str], x: str = "x") -> DataFr
 
 def normalize(cells: DataFrame, channel: list[str], x: str = "x") -> DataFrame:
     """cells with scale, zero and y = (x - zero) / scale, each step rounded to single precision."""
-    j = cells.join(channel_params(cells, channel, x), channel)
+    j = beside(cells, channel_params(cells, channel, x), channel)
     return j.withColumn("y", ((F.col(x).cast("float") - F.col("zero")).cast("float") / F.col("scale")).cast("float"))
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from loomspan.codec import rans
 from loomspan.functions import affine
 from loomspan.operators import profile, quantizers, routing, symbols, transforms
-from loomspan.operators.cells import coordinate, strided
+from loomspan.operators.cells import beside, coordinate, strided
 from loomspan.streaming import encode as streaming
 
 RNG = np.random.default_rng(7)
@@ -34,6 +34,46 @@ def test_not_finite_raises(spark):
         quantizers.quantize(df, ["t"], 4).collect()
 
 
+def moved(df):
+    """Rows that a query shuffles, at most in one exchange."""
+    df.collect()
+    plan, most = df._jdf.queryExecution().executedPlan(), 0
+    todo = [plan.finalPhysicalPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan]
+    while todo:
+        p = todo.pop()
+        if p.nodeName() == "Exchange":
+            most = max(most, p.metrics().apply("shuffleRecordsWritten").value())
+        todo += [p.plan()] if p.nodeName().endswith("QueryStage") else [p.children().apply(i) for i in range(p.children().size())]
+    return most
+
+
+@pytest.fixture
+def cells_are_large(spark):
+    """No table is small enough to be broadcast by its size alone."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1k")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_cells_of_few_groups_stay_where_they_are(spark, cells_are_large):
+    df = spark.range(20_000).selectExpr("concat('t', id % 2) as t", "id as i", "float(id % 100) as x")
+    assert moved(quantizers.quantize(df, ["t"], 8).groupBy("q").count()) < 2000
+    assert moved(transforms.normalize(df, ["t"]).groupBy("y").count()) < 2000
+    assert moved(symbols.arithmetic(df, ["t"], "i", "x")) < 2000
+    assert moved(routing.mask_values(df, ["t"], "i", "x")) < 2000
+
+
+@pytest.mark.parametrize("few", [0, 3, 100])
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_beside(spark, few, how):
+    rows = "values (1, timestamp '2024-11-03 01:30:00', 'a'), (2, null, null), (3, timestamp '2024-11-03 02:30:00', 'ä'), (4, timestamp '1900-01-01 00:00:00', 'a')"
+    df = spark.sql(f"select * from {rows} t(n, at, k)")
+    p = df.filter("n < 4").groupBy("at", "k").agg(F.max("n").alias("m"), F.min(F.col("n").cast("decimal(9,2)")).alias("d"))
+    got = sorted((r["n"], r["m"], r["d"]) for r in beside(df, p, ["at", "k"], how, few).collect())
+    assert got == sorted((r["n"], r["m"], r["d"]) for r in df.join(p, ["at", "k"], how).collect()) and len(got) == (2 if how == "inner" else 4)
+    assert beside(df.filter("n > 9"), p.filter("m > 9"), ["at", "k"], how, few).collect() == []
+
+
 @pytest.mark.parametrize("gathered", [profile.GATHERED, 50])
 def test_percentiles(spark, gathered):
     v = np.concatenate([RNG.normal(size=3000), [1e6, 1e6, -5e3], np.zeros(500)])
