@@ -63,39 +63,71 @@ def percentiles(cells: DataFrame, keys: list[str], x: str, at: list[float], gath
     """Exact percentiles (0 to 1) with linear interpolation: keys, then p0, p1, ... in the order of at.
 
     The built-in aggregate keeps all of a group's values in one task. So groups of over gathered values are narrowed down
-    instead: each round counts the values of a group within BINS equal parts of what is left around each wanted rank,
-    until that is few values or one. A round sends BINS counts a group, task and rank.
+    instead: each round counts the values of a group within BINS parts of what is left around each wanted rank,
+    until that is few values or one. A round sends BINS counts a group, task and range. What is left of the ranks, a few rows
+    per gathered values at most, is broadcast: the cells of a large group stay where they are.
     """
     sizes = cells.filter(F.col(x).isNotNull()).groupBy(*keys).agg(F.count(x).alias("n"), F.min(x).cast("double").alias("lo"), F.max(x).cast("double").alias("hi"))
-    large = sizes.filter(F.col("n") > gathered).persist()
+    large = _kept(sizes.filter(F.col("n") > gathered))
     # one aggregate for all, as each keeps the counts of all values
     wanted = F.expr(f"percentile({x}, array({', '.join(f'{p!r}D' for p in at)}))").alias("_p")
-    few = cells if large.isEmpty() else cells.join(large.select(*keys), keys, "left_anti")
+    none = large.isEmpty()
+    few = cells if none else _meet(cells, large.select(*keys), keys, how="left_anti")
     out = few.groupBy(*keys).agg(wanted).select(*keys, *[F.get("_p", F.lit(i)).alias(f"p{i}") for i in range(len(at))])
-    return out if large.isEmpty() else out.unionByName(_narrowed(cells.filter(F.col(x).isNotNull()), large, keys, x, at, gathered))
+    if none:
+        return out
+    narrowed = _narrowed(cells.filter(F.col(x).isNotNull()), large, keys, x, at, gathered)
+    return out.unionByName(narrowed) if keys else narrowed
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
+def _meet(df: DataFrame, small: DataFrame, keys: list[str], also: Column | None = None, how: str = "inner") -> DataFrame:
+    """df joined to small by keys, of which nulls are equal, and by also; small is sent to every task."""
+    names = {k: f"_key{i}" for i, k in enumerate(keys)}
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()], F.lit(True) if also is None else also)
+    return df.join(F.broadcast(small.withColumnsRenamed(names)), on, how).drop(*names.values())
+
+
+def _place(v: Column) -> Column:
+    """The order of magnitude of a value, with its sign: never falls where values rise."""
+    return F.when(v > 0, F.least(F.log2(v) + 1075, F.lit(2100.0))).when(v < 0, -F.least(F.log2(-v) + 1075, F.lit(2100.0))).otherwise(0.0)
 
 
 def _narrowed(cells: DataFrame, large: DataFrame, keys: list[str], x: str, at: list[float], few: int) -> DataFrame:
     rank = [F.struct(F.lit(i).alias("_i"), F.floor((F.col("n") - 1) * p).alias("_k"), ((F.col("n") - 1) * p - F.floor((F.col("n") - 1) * p)).alias("_w")) for i, p in enumerate(at)]
     want = large.select(*keys, "n", F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.explode(F.array(*rank)).alias("_r")).select(*keys, "_lo", "_hi", "_r.*")
     want = want.withColumn("_up", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_k", F.col("_k") + F.col("_up")).withColumn("_c", F.lit(1 << 62))
-    ids = [*keys, "_i", "_up"]
-    v = F.col(x).cast("double")
-    for _ in range(12):
-        want = want.checkpoint() if cells.sparkSession.sparkContext.getCheckpointDir() else want.persist()
-        if want.filter((F.col("_c") > few) & (F.col("_hi") > F.col("_lo"))).isEmpty():
+    span = [*keys, "_lo", "_hi"]
+    values = cells.select(*keys, F.col(x).cast("double").alias("_v"))
+    wide = (F.col("_c") > few) & (F.col("_hi") > F.col("_lo"))
+
+    def inside(ranks: DataFrame) -> DataFrame:
+        """The values within each range; ranks of the same range count them once."""
+        return _meet(values, ranks.select(*span).distinct(), keys, F.expr("_v between _lo and _hi"))
+
+    # parts of equal width and of equal magnitude by turns: one or the other shrinks any range, infinite or skewed
+    for turn in range(12):
+        want = _kept(want)
+        todo = want.filter(wide)
+        if todo.isEmpty():
             break
-        inside = cells.select(*keys, v.alias("_v")).join(want, keys).filter("_v between _lo and _hi")
-        part = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(BINS - 1), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * BINS))).otherwise(0)
-        counts = inside.groupBy(*ids, "_k", "_w", part.alias("_b")).agg(F.count("*").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-        before = F.sum("_c").over(W.partitionBy(*ids).orderBy("_b")) - F.col("_c")
-        counts = counts.withColumn("_before", before).filter((F.col("_k") >= F.col("_before")) & (F.col("_k") < F.col("_before") + F.col("_c")))
-        want = counts.withColumn("_k", F.col("_k") - F.col("_before")).select(*keys, "_lo", "_hi", "_i", "_k", "_w", "_up", "_c")
-    inside = cells.select(*keys, v.alias("_v")).join(want, keys).filter("_v between _lo and _hi").groupBy(*ids, "_k", "_w", "_v").agg(F.count("*").alias("_c"))
-    upto = F.sum("_c").over(W.partitionBy(*ids).orderBy("_v"))
-    got = inside.withColumn("_upto", upto).filter((F.col("_k") < F.col("_upto")) & (F.col("_k") >= F.col("_upto") - F.col("_c")))
+        v, lo, hi = (_place(F.col(c)) if turn % 2 else F.col(c) for c in ("_v", "_lo", "_hi"))
+        part = F.when(hi > lo, F.least(F.lit(BINS - 1), F.floor((v - lo) / (hi - lo) * BINS))).otherwise(0)
+        counts = inside(todo).groupBy(*span, part.alias("_b")).agg(F.count("*").alias("_c"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
+        counts = counts.withColumn("_before", F.sum("_c").over(W.partitionBy(*span).orderBy("_b")) - F.col("_c"))
+        met = _meet(counts, todo.drop("_c"), span).filter((F.col("_k") >= F.col("_before")) & (F.col("_k") < F.col("_before") + F.col("_c")))
+        less = met.select(*keys, F.col("_least").alias("_lo"), F.col("_most").alias("_hi"), "_i", (F.col("_k") - F.col("_before")).alias("_k"), "_w", "_up", "_c")
+        want = want.filter(~wide).unionByName(less)
+    left = inside(want).groupBy(*span, "_v").agg(F.count("*").alias("_c"))
+    left = left.withColumn("_upto", F.sum("_c").over(W.partitionBy(*span).orderBy("_v")))
+    got = _meet(left, want.drop("_c"), span).filter((F.col("_k") < F.col("_upto")) & (F.col("_k") >= F.col("_upto") - F.col("_c")))
     each = got.groupBy(*keys, "_i").agg(F.max(F.when(F.col("_up") == 0, F.col("_v"))).alias("_a"), F.max(F.when(F.col("_up") == 1, F.col("_v"))).alias("_b"), F.max("_w").alias("_w"))
-    value = F.col("_a") + F.coalesce((F.col("_b") - F.col("_a")) * F.col("_w"), F.lit(0.0))
+    a, b, w = F.col("_a"), F.coalesce("_b", "_a"), F.col("_w")
+    far = (1 - w) * a + w * b  # one of them is infinite, or the step between them
+    value = F.when((a == b) | (w == 0), a).when(F.abs(b - a) == float("inf"), far).otherwise(a + (b - a) * w)
     return each.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == i, value)).alias(f"p{i}") for i in range(len(at))])
 
 

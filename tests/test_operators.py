@@ -85,6 +85,23 @@ def test_percentiles(spark, gathered):
     assert got["b"] == [4.0] * 5 and got["c"] == pytest.approx([0, 0.03, 3, 5.994, 6])
 
 
+def test_percentiles_of_large_groups_stay_where_they_are(spark, cells_are_large):
+    df = spark.range(20_000).selectExpr("if(id % 2 = 0, 'even', null) as k", "double(id) as x")
+    out = profile.percentiles(df, ["k"], "x", [0.005, 0.5, 0.999], 100)
+    assert {r["k"]: [r["p0"], r["p1"], r["p2"]] for r in out.collect()} == {k: pytest.approx([a + 99.99, a + 9999, a + 19978.002]) for k, a in (("even", 0), (None, 1))}
+    assert moved(out) < 2000
+
+
+@pytest.mark.parametrize("keys", [["k"], []])
+def test_percentiles_of_odd_values(spark, keys):
+    """Narrowed and gathered alike: over all magnitudes, both zeros, infinite, long runs of one value."""
+    v = np.concatenate([10.0 ** RNG.uniform(-300, 300, 2000), -(10.0 ** RNG.uniform(-320, 10, 1000)), [0.0, -0.0] * 40, [float("inf")] * 60, [-float("inf")] * 5, [2.5] * 300])
+    df = spark.createDataFrame([("a", float(x)) for x in v] + [("a", None)], "k string, x double")
+    at = [0.001, 0.002, 0.3, 0.31, 0.5, 0.7, 0.99, 1.0]
+    got, plain = ([list(r) for r in profile.percentiles(df, keys, "x", at, n).collect()] for n in (20, 10**6))
+    assert len(got) == 1 and got[0][:-len(at)] == plain[0][:-len(at)] and got[0][-len(at):] == pytest.approx(plain[0][-len(at):], rel=1e-12)
+
+
 @pytest.mark.parametrize("counts", [[5, 4, 3, 2, 1], [1] * 600 + [10**7], [1] * 300, [7], [1, 1, 10**9], [3] * 200 + [10**6] * 2])
 @pytest.mark.parametrize("total", [65_536, 1024])
 def test_normalized_frequencies_agree(spark, counts, total):
