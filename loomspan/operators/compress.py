@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from loomspan.codec import detect, tensors
 from loomspan.codec.record import Record, dump, load
 from loomspan.config import Config
+from loomspan.operators.cells import beside
 from loomspan.operators.symbols import allocate_bits
 from loomspan.sources import container
 
@@ -35,10 +36,10 @@ def encode(df: DataFrame, config: Config = Config(), allocate: bool = False) ->
     allocate: bits by entropy, config.bits a tensor on average; that takes a pass over the values first.
     """
     first = df.filter("chunk = 0").mapInArrow(_types, "tensor_name string, tensor_type int")
-    rows = df.join(first.withColumnRenamed("tensor_name", "_n"), F.col("tensor_name") == F.col("_n")).drop("_n")
+    rows = beside(df, first, ["tensor_name"])
     if allocate:
-        bits = allocate_bits(entropies(df), "tensor_name", config.bits).select(F.col("tensor_name").alias("_n"), "bits")
-        rows = rows.join(bits, F.col("tensor_name") == F.col("_n"), "left").drop("_n")
+        bits = allocate_bits(entropies(df), "tensor_name", config.bits).select("tensor_name", "bits")
+        rows = beside(rows, bits, ["tensor_name"], "left")
     else:
         rows = rows.withColumn("bits", F.lit(None).cast("int"))
 
@@ -97,7 +98,7 @@ def entropies(df: DataFrame, bins: int = 256) -> DataFrame:
             yield pa.RecordBatch.from_pylist(out, kind)
 
     r = df.mapInArrow(ranges, "tensor_name string, n long, lo double, hi double").groupBy("tensor_name").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    j = df.join(r, "tensor_name").mapInArrow(counts, "tensor_name string, bin int, c long").groupBy("tensor_name", "bin").agg(F.sum("c").alias("c"))
+    j = beside(df, r, ["tensor_name"]).mapInArrow(counts, "tensor_name string, bin int, c long").groupBy("tensor_name", "bin").agg(F.sum("c").alias("c"))
     s = j.groupBy("tensor_name").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log2("c")).alias("s"))
     return s.select("tensor_name", F.greatest(F.lit(0.0), F.log2("n") - F.col("s") / F.col("n")).alias("bits"))
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from loomspan.codec import streams, tensors
 from loomspan.codec.errors import CodecError
 from loomspan.config import Config
+from loomspan.operators.cells import beside
 from loomspan.operators.compress import _rows, array_of
 from loomspan.operators.finetune import TINY, membership
 
@@ -121,8 +122,8 @@ def compress(base: DataFrame, tuned: DataFrame, config: Config = Config()) -> Da
     b = base.select(F.col("tensor_name").alias("_n"), F.col("chunk").alias("_c"), F.col("dtype").alias("_d"), F.col("shape").alias("_s"), F.col("data").alias("base"))
     on = (F.col("tensor_name") == F.col("_n")) & (F.col("chunk") == F.col("_c")) & (F.col("dtype") == F.col("_d")) & (F.col("shape") == F.col("_s"))
     joined = tuned.join(b, on, "left").drop("_n", "_c", "_d", "_s")
-    routes = statistics(joined.filter("base is not null")).select(F.col("tensor_name").alias("_n"), F.col("route").alias("_r"))
-    joined = joined.join(routes, F.col("tensor_name") == F.col("_n"), "left").drop("_n")
+    routes = statistics(joined.filter("base is not null")).select("tensor_name", F.col("route").alias("_r"))
+    joined = beside(joined, routes, ["tensor_name"], "left")
     names = DELTAS.replace(" string", "").replace(" array<long>", "").replace(" int", "").replace(" long", "").replace(" binary", "").split(", ")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomspan.operators.cells import beside
+
 #: Values nearer to zero than this count as zero.
 TINY = 1e-6
 #: Above so many values of a group, percentiles are narrowed down by counting instead of gathered.
@@ -53,7 +55,7 @@ def histogram_entropy(cells: DataFrame, keys: list[str], x: str = "x", most_bins
     """Entropy of real values over equal bins from least to largest: sqrt(n) of them, within limits; 0 for a constant."""
     r = cells.groupBy(*keys).agg(F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"))
     r = r.withColumn("bins", F.least(F.lit(most_bins), F.greatest(F.lit(least_bins), F.floor(F.sqrt("n")))))
-    j = cells.join(r.select(*keys, "lo", "hi", "bins"), keys)  # as many rows as tensors: AQE broadcasts it while that is small
+    j = beside(cells, r.select(*keys, "lo", "hi", "bins"), keys)
     at = F.least(F.floor((F.col(x) - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.col("bins")), F.col("bins") - 1)
     counts = j.withColumn("bin", F.when(F.col("hi") > F.col("lo"), at).otherwise(0)).groupBy(*keys, "bin").agg(F.count("*").alias("c"))
     return _entropy(counts, keys).select(*keys, "n", "bits")

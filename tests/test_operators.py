@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 
 from loomspan.codec import rans
 from loomspan.functions import affine
-from loomspan.operators import profile, quantizers, routing, symbols, transforms
+from loomspan.operators import compress, profile, quantizers, routing, symbols, transforms
 from loomspan.operators.cells import beside, coordinate, strided
+from loomspan.sources.tables import SCHEMA
 from loomspan.streaming import encode as streaming
 
 RNG = np.random.default_rng(7)
@@ -34,15 +35,15 @@ def test_not_finite_raises(spark):
         quantizers.quantize(df, ["t"], 4).collect()
 
 
-def moved(df):
-    """Rows that a query shuffles, at most in one exchange."""
+def moved(df, metric="shuffleRecordsWritten"):
+    """Rows (or by another metric) that a query shuffles, at most in one exchange."""
     df.collect()
     plan, most = df._jdf.queryExecution().executedPlan(), 0
     todo = [plan.finalPhysicalPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan]
     while todo:
         p = todo.pop()
         if p.nodeName() == "Exchange":
-            most = max(most, p.metrics().apply("shuffleRecordsWritten").value())
+            most = max(most, p.metrics().apply(metric).value())
         todo += [p.plan()] if p.nodeName().endswith("QueryStage") else [p.children().apply(i) for i in range(p.children().size())]
     return most
 
@@ -61,6 +62,13 @@ def test_cells_of_few_groups_stay_where_they_are(spark, cells_are_large):
     assert moved(transforms.normalize(df, ["t"]).groupBy("y").count()) < 2000
     assert moved(symbols.arithmetic(df, ["t"], "i", "x")) < 2000
     assert moved(routing.mask_values(df, ["t"], "i", "x")) < 2000
+    assert moved(profile.histogram_entropy(df, ["t"])) < 2000
+
+
+def test_chunks_of_few_tensors_stay_where_they_are(spark, cells_are_large):
+    chunk = np.arange(25_000, dtype="<f4").tobytes()
+    df = spark.createDataFrame([("t", "<f4", [500_000], i, 20, i * 25_000, bytearray(chunk)) for i in range(20)], SCHEMA).repartition(4).localCheckpoint()
+    assert moved(compress.entropies(df), "dataSize") < len(chunk) and moved(compress.encode(df), "dataSize") < len(chunk)
 
 
 @pytest.mark.parametrize("few", [0, 3, 100])
