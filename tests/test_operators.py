@@ -100,6 +100,22 @@ def test_percentiles_of_large_groups_stay_where_they_are(spark, cells_are_large)
     assert moved(out) < 2000
 
 
+@pytest.fixture
+def gathers_few(monkeypatch):
+    """Groups of over 100 values count as large."""
+    monkeypatch.setattr(profile.percentiles, "__defaults__", (100,))
+
+
+def test_tails_of_large_groups(spark, cells_are_large, gathers_few):
+    df = spark.range(20_000).selectExpr("if(id % 2 = 0, 'even', 'odd') as k", "id - 1000D as x")
+    out = quantizers.calibrate(df, ["k"], 4, affine.ASYMMETRIC, policy=quantizers.Policy("percentile", 99.0))
+    got = {r["k"]: [r["lo"], r["hi"], r["scale"], r["zero"]] for r in out.collect()}
+    for k, a in (("even", -1000), ("odd", -999)):
+        lo, hi = np.percentile(np.arange(a, 19_000, 2), [0.5, 99.5])
+        assert got[k] == pytest.approx([lo, hi, (hi - lo) / 15, np.rint(-lo / ((hi - lo) / 15))])
+    assert moved(out) < 2000
+
+
 @pytest.mark.parametrize("keys", [["k"], []])
 def test_percentiles_of_odd_values(spark, keys):
     """Narrowed and gathered alike: over all magnitudes, both zeros, infinite, long runs of one value."""
