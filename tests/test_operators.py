@@ -116,6 +116,16 @@ def test_tails_of_large_groups(spark, cells_are_large, gathers_few):
     assert moved(out) < 2000
 
 
+def test_magnitudes_of_large_groups(spark, cells_are_large, gathers_few):
+    df = spark.range(20_000).selectExpr("if(id % 2 = 0, 'even', 'odd') as k", "id - 1000D as x")
+    out = quantizers.calibrate(df, ["k"], 8, policy=quantizers.Policy("percentile", 99.9))
+    got = {r["k"]: [r["lo"], r["hi"], r["scale"], r["zero"]] for r in out.collect()}
+    for k, a in (("even", -1000), ("odd", -999)):
+        top = np.percentile(np.abs(np.arange(a, 19_000, 2)), 99.9)
+        assert got[k] == pytest.approx([-top, top, top / 127, 0])
+    assert moved(out) < 2000
+
+
 @pytest.mark.parametrize("keys", [["k"], []])
 def test_percentiles_of_odd_values(spark, keys):
     """Narrowed and gathered alike: over all magnitudes, both zeros, infinite, long runs of one value."""
